@@ -24,8 +24,6 @@ decorrelate goes to the loop).
 
 from __future__ import annotations
 
-import contextlib
-import io
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -58,20 +56,21 @@ def _strip_sql(ql: str) -> str:
     return ql
 
 
-def analysed_plan(df: DataFrame) -> str:
-    """The analysed logical plan text of a DataFrame (via ``explain``)."""
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain(extended=True)
-    text = buf.getvalue()
+def analysed_plan(spark: SparkSession, ql: str) -> str:
+    """The analysed logical plan text of a query (``EXPLAIN EXTENDED``)."""
+    text = spark.sql(f"EXPLAIN EXTENDED {ql}").collect()[0][0]
     start = text.find("== Analyzed Logical Plan ==")
     end = text.find("== Optimized Logical Plan ==")
     return text[start:end] if start >= 0 else text
 
 
 def analyse_topic_sql(spark: SparkSession, name: str, ql: str, schema: StructType,
-                      others: dict[str, StructType] | None = None) -> DataFrame:
-    """Analyse the topic SQL against empty tables of the given schemas."""
+                      others: dict[str, StructType] | None = None, lane: bool = False):
+    """Analyse the topic SQL against empty tables of the given schemas.
+
+    Returns the (empty) result DataFrame, or with ``lane=True`` the lane the
+    SQL needs as well.
+    """
     private = spark.newSession()
     private.createDataFrame([], schema).createOrReplaceTempView(name)
     for other, oschema in (others or {}).items():
@@ -85,13 +84,15 @@ def analyse_topic_sql(spark: SparkSession, name: str, ql: str, schema: StructTyp
     dups = sorted({c for c in cols if lowered.count(c.lower()) > 1})
     if dups:
         raise ValueError(f"topic {name!r}: duplicate result column(s) {dups}")
-    return df
+    if not lane:
+        return df
+    plan = analysed_plan(private, _strip_sql(ql))
+    return df, ("loop" if any(m in plan for m in LOOP_MARKERS) else "plan")
 
 
 def choose_lane(spark: SparkSession, name: str, ql: str, schema: StructType,
                 others: dict[str, StructType] | None = None) -> str:
-    plan = analysed_plan(analyse_topic_sql(spark, name, ql, schema, others))
-    return "loop" if any(m in plan for m in LOOP_MARKERS) else "plan"
+    return analyse_topic_sql(spark, name, ql, schema, others, lane=True)[1]
 
 
 @dataclass(frozen=True)

@@ -15,11 +15,20 @@ from ..session import scratch_path
 
 
 def stage_replay(df: DataFrame, n_files: int, ts: str = "ts", path: str | None = None) -> str:
-    """Write ``df`` as ``n_files`` files, each a contiguous range of ``ts``."""
+    """Write ``df`` as ``n_files`` files, each a contiguous range of ``ts``.
+
+    The file source replays files oldest first, so the ranges are landed one
+    after another in time order: one parallel range-partitioned write, then
+    one small append per range file, in range order.
+    """
     spark = df.sparkSession
     path = path or scratch_path(spark, "replay")
+    ranged = scratch_path(spark, "replay-ranges")
     (df.repartitionByRange(n_files, ts).sortWithinPartitions(ts)
-       .write.parquet(path))
+       .write.parquet(ranged))
+    # part-00000 holds the earliest range, part-00001 the next, ...
+    for f in sorted(spark.read.parquet(ranged).inputFiles(), key=lambda p: p.rsplit("/", 1)[-1]):
+        spark.read.schema(df.schema).parquet(f).write.mode("append").parquet(path)
     return path
 
 

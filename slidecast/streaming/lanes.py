@@ -103,7 +103,7 @@ class SqlTopicStream:
         cond = F.col(self.ts) < new_wm
         if prev_wm is not None:
             cond = cond & (F.col(self.ts) >= prev_wm - wdelta)
-            cond = cond & (F.col("__pane") > self._pane_key(prev_wm - wdelta))
+            cond = cond & (F.col("__pane") >= self._pane_key(prev_wm - wdelta))
         cand = stored.filter(cond).drop("__pane", "batch")
         rows = assign_windows(cand, t.window_us / 1e6, t.slide_us / 1e6, t.origin_us / 1e6, ts=self.ts)
         closing = F.col(WINDOW_END) <= new_wm
