@@ -111,7 +111,7 @@ def windowed_sql(rows: DataFrame, topic: str, ql: str, *, lane: str = "auto",
                  record_cols: Sequence[str] | None = None,
                  windows: DataFrame | None = None,
                  others: Sequence[OtherTopic] = (),
-                 loop_chunk: int = 64) -> DataFrame:
+                 loop_chunk: int = 64, check: bool = True) -> DataFrame:
     """Run ``ql`` over every window of ``rows``; returns window columns + result.
 
     ``rows`` carries the record columns plus ``window_start``/``window_end``.
@@ -130,7 +130,7 @@ def windowed_sql(rows: DataFrame, topic: str, ql: str, *, lane: str = "auto",
         windows = rows.select(WINDOW_START, WINDOW_END).distinct()
     if lane == "auto":
         lane = choose_lane(spark, topic, ql, schema, other_schemas)
-    else:
+    elif check:
         analyse_topic_sql(spark, topic, ql, schema, other_schemas)
     if lane == "plan":
         return _plan_lane(spark, rows, windows, topic, ql, record_cols, others)
@@ -190,17 +190,20 @@ def _loop_lane(spark, rows, windows, topic, ql, record_cols, others, chunk) -> D
                                      {o.name: o.rows.select(*[c for c in o.rows.columns
                                                              if c not in RESERVED]).schema
                                       for o in others}).schema
-    out_path = scratch_path(spark, "loop-out")
-    wrote = False
+    if not win_list:
+        fields = rows.select(WINDOW_START, WINDOW_END).schema.fields + empty_schema.fields
+        return spark.createDataFrame([], StructType(fields))
+    # List each stored table once; every window's relation prunes to its folder.
+    base = private.read.parquet(stored)
+    other_bases = [private.read.parquet(p) for p in other_paths]
+    blocks = []
     for lo in range(0, len(win_list), chunk):
         parts = []
         for w in win_list[lo:lo + chunk]:
-            (private.read.parquet(stored).filter(F.col("__wkey") == w["k"])
-                .select(*record_cols).createOrReplaceTempView(topic))
+            base.filter(F.col("__wkey") == w["k"]).select(*record_cols).createOrReplaceTempView(topic)
             for i, o in enumerate(others):
                 ocols = [c for c in o.rows.columns if c not in RESERVED]
-                key = w[f"k{i}"]
-                (private.read.parquet(other_paths[i]).filter(F.col("__wkey") == key)
+                (other_bases[i].filter(F.col("__wkey") == w[f"k{i}"])
                     .select(*ocols).createOrReplaceTempView(o.name))
             res = private.sql(ql)
             parts.append(res.select(F.lit(w["s"]).cast(ts_type).alias(WINDOW_START),
@@ -208,9 +211,12 @@ def _loop_lane(spark, rows, windows, topic, ql, record_cols, others, chunk) -> D
         block = parts[0]
         for p in parts[1:]:
             block = block.unionByName(p)
+        blocks.append(block)
+    if len(blocks) == 1:
+        return blocks[0]
+    # Several chunks: land each in the shared folder so no plan grows with the
+    # number of windows and a lost executor repeats only its chunk.
+    out_path = scratch_path(spark, "loop-out")
+    for block in blocks:
         block.write.mode("append").parquet(out_path)
-        wrote = True
-    if not wrote:
-        fields = rows.select(WINDOW_START, WINDOW_END).schema.fields + empty_schema.fields
-        return spark.createDataFrame([], StructType(fields))
     return spark.read.parquet(out_path)

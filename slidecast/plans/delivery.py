@@ -12,6 +12,7 @@ ever holds an unbounded window.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,7 +100,7 @@ def subscribe_stream(spark: SparkSession, path: str, channel: str, topic: str,
             listener(topic, first[0]["columns"].split(","), batch)
 
     writer = (src.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
-              .queryName(f"sub.{channel}.{topic}"))
+              .queryName(f"sub.{channel}.{topic}.{uuid.uuid4().hex[:8]}"))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
 

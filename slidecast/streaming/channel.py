@@ -71,7 +71,8 @@ class Channel:
 
 def list_channels(spark: SparkSession) -> list[str]:
     """Names of the channels with at least one running topic query."""
-    return sorted({(q.name or "").split(".", 1)[0] for q in spark.streams.active if q.name and "." in q.name})
+    return sorted({q.name.split(".", 1)[0] for q in spark.streams.active
+                   if q.name and "." in q.name and not q.name.startswith("sub.")})
 
 
 def find_channel_queries(spark: SparkSession, channel: str) -> list[StreamingQuery]:

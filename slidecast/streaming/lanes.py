@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.durations import interval_text
-from ..operators.topicsql import windowed_sql
+from ..operators.topicsql import choose_lane, windowed_sql
 from ..operators.windows import WINDOW_END, WINDOW_START, assign_windows, window_struct
 from ..plans.spec import TopicSpec
 from ..session import scratch_path
@@ -68,10 +68,14 @@ class SqlTopicStream:
         self.ts = ts
         self.delay_us = delay_us
         self.to_output = to_output or (lambda df: df)
+        self._lane = None  # chosen once, on the first batch
 
     def _pane_key(self, col: Column) -> Column:
+        # A pane is the smallest multiple of the slide that covers a window, so a
+        # closing window reads one or two pane folders.
         t = self.topic
-        pane = window_struct(col, interval_text(t.slide_us), interval_text(t.slide_us),
+        pane_us = t.slide_us * -(-t.window_us // t.slide_us)
+        pane = window_struct(col, interval_text(pane_us), interval_text(pane_us),
                              interval_text(t.origin_us))
         return F.concat(F.lit("p"), F.date_format(pane.end, _KEY_FMT))
 
@@ -110,7 +114,12 @@ class SqlTopicStream:
         if prev_wm is not None:
             closing = closing & (F.col(WINDOW_END) > prev_wm)
         rows = rows.filter(closing)
-        result = windowed_sql(rows, t.name, t.ql) if t.fn is None else t.fn(rows)
+        if t.fn is not None:
+            result = t.fn(rows)
+        else:
+            if self._lane is None:
+                self._lane = choose_lane(spark, t.name, t.ql, cand.schema)
+            result = windowed_sql(rows, t.name, t.ql, lane=self._lane, check=False)
         self.to_output(result).write.mode("overwrite").parquet(f"{self.sink}/batch_id={batch_id}")
 
 

@@ -42,3 +42,27 @@ def test_publish_and_subscribe_prune(spark, events_of):
     assert "PartitionFilters" in plan or "partition" in plan.lower()
     assert subscribe(spark, path, "ch", "a_b").count() == 1
     assert subscribe(spark, path, "ch_a", "b").count() == 1
+
+
+def test_unsubscribe_stops_only_that_handle(spark, events_of):
+    from slidecast.operators.topicsql import windowed_sql
+    from slidecast.operators.windows import assign_windows
+    from slidecast.plans.delivery import subscribe_stream
+    ev = events_of([(1, 1, "view", 1.0), (2, 2, "click", 2.0)])
+    path = scratch_path(spark, "pub-unsub")
+    publish(envelope(windowed_sql(assign_windows(ev, 5), "a", "select * from a"), "ch", "a"), path)
+    seen = {"one": 0, "two": 0}
+
+    def listener(key):
+        def on(topic, columns, rows):
+            seen[key] += rows.count()
+        return on
+
+    one = subscribe_stream(spark, path, "ch", "a", listener("one"), scratch_path(spark, "ck1"))
+    two = subscribe_stream(spark, path, "ch", "a", listener("two"), scratch_path(spark, "ck2"))
+    one.processAllAvailable()
+    two.processAllAvailable()
+    one.stop()
+    assert not one.isActive and two.isActive
+    two.stop()
+    assert seen == {"one": 2, "two": 2}
