@@ -24,6 +24,8 @@ decorrelate goes to the loop).
 
 from __future__ import annotations
 
+import logging
+import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -44,6 +46,8 @@ LOOP_MARKERS = (
 
 RESERVED = (WINDOW_START, WINDOW_END)
 
+log = logging.getLogger("slidecast.topicsql")
+
 
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
@@ -167,15 +171,30 @@ def _window_key(col) -> F.Column:
     return F.concat(F.lit("w"), F.date_format(col, "yyyyMMddHHmmssSSSSSS"))
 
 
+def _store_by_window(rows: DataFrame, path: str) -> None:
+    """Write windowed rows to one folder per window.
+
+    Range-partitioning on ``(window_end, ts)`` first keeps the file count near
+    the partition count plus the window count (not tasks x windows), and a
+    hot window is still spread over several tasks.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(WINDOW_END)] + [F.col(c) for c in rows.columns if c not in RESERVED][:1]
+    (rows.withColumn("__wkey", _window_key(F.col(WINDOW_END)))
+         .repartitionByRange(n, *order)
+         .write.partitionBy("__wkey").parquet(path))
+
+
 def _loop_lane(spark, rows, windows, topic, ql, record_cols, others, chunk) -> DataFrame:
+    t0 = time.perf_counter()
     ts_type = rows.schema[WINDOW_END].dataType.simpleString()
     stored = scratch_path(spark, "loop-rows")
-    (rows.withColumn("__wkey", _window_key(F.col(WINDOW_END)))
-         .write.partitionBy("__wkey").parquet(stored))
+    _store_by_window(rows, stored)
     other_paths = []
     for o in others:
         p = scratch_path(spark, "loop-other")
-        o.rows.withColumn("__wkey", _window_key(F.col(WINDOW_END))).write.partitionBy("__wkey").parquet(p)
+        _store_by_window(o.rows, p)
         other_paths.append(p)
     fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     sel = [F.date_format(WINDOW_START, fmt).alias("s"), F.date_format(WINDOW_END, fmt).alias("e"),
@@ -184,6 +203,7 @@ def _loop_lane(spark, rows, windows, topic, ql, record_cols, others, chunk) -> D
     # The window list is metadata (one small row per window), bounded by the
     # time span over the slide, not by the data volume.
     win_list = windows.select(*sel).orderBy("e").collect()
+    log.debug("loop lane %s: rows stored, %d windows listed in %.2fs", topic, len(win_list), time.perf_counter() - t0)
 
     private = spark.newSession()
     empty_schema = analyse_topic_sql(spark, topic, ql, rows.select(*record_cols).schema,
@@ -193,25 +213,28 @@ def _loop_lane(spark, rows, windows, topic, ql, record_cols, others, chunk) -> D
     if not win_list:
         fields = rows.select(WINDOW_START, WINDOW_END).schema.fields + empty_schema.fields
         return spark.createDataFrame([], StructType(fields))
-    # List each stored table once; every window's relation prunes to its folder.
-    base = private.read.parquet(stored)
-    other_bases = [private.read.parquet(p) for p in other_paths]
-    blocks = []
-    for lo in range(0, len(win_list), chunk):
-        parts = []
-        for w in win_list[lo:lo + chunk]:
-            base.filter(F.col("__wkey") == w["k"]).select(*record_cols).createOrReplaceTempView(topic)
-            for i, o in enumerate(others):
-                ocols = [c for c in o.rows.columns if c not in RESERVED]
-                (other_bases[i].filter(F.col("__wkey") == w[f"k{i}"])
-                    .select(*ocols).createOrReplaceTempView(o.name))
-            res = private.sql(ql)
-            parts.append(res.select(F.lit(w["s"]).cast(ts_type).alias(WINDOW_START),
-                                    F.lit(w["e"]).cast(ts_type).alias(WINDOW_END), "*"))
-        block = parts[0]
-        for p in parts[1:]:
-            block = block.unionByName(p)
-        blocks.append(block)
+    # Each stored table is listed once; every window's CTE prunes to its folder.
+    tag = uuid.uuid4().hex[:10]
+    base_view = f"__sc_loop_{tag}"
+    private.read.parquet(stored).createOrReplaceTempView(base_view)
+    for i, p in enumerate(other_paths):
+        private.read.parquet(p).createOrReplaceTempView(f"{base_view}_o{i}")
+    cols = ", ".join(_q(c) for c in record_cols)
+    ocols = [", ".join(_q(c) for c in o.rows.columns if c not in RESERVED) for o in others]
+
+    def one_window(w) -> str:
+        ctes = [f"{_q(topic)} AS (SELECT {cols} FROM {base_view} WHERE __wkey = '{w['k']}')"]
+        for i, o in enumerate(others):
+            key = "NULL" if w[f"k{i}"] is None else f"'{w[f'k{i}']}'"
+            ctes.append(f"{_q(o.name)} AS (SELECT {ocols[i]} FROM {base_view}_o{i} WHERE __wkey = {key})")
+        return (f"SELECT CAST('{w['s']}' AS {ts_type}) AS {WINDOW_START}, "
+                f"CAST('{w['e']}' AS {ts_type}) AS {WINDOW_END}, __q.* FROM "
+                f"(WITH {', '.join(ctes)} SELECT * FROM ({ql}) __t) __q")
+
+    # One statement per chunk: the windows' plans are analysed together.
+    blocks = [private.sql(" UNION ALL ".join(one_window(w) for w in win_list[lo:lo + chunk]))
+              for lo in range(0, len(win_list), chunk)]
+    log.debug("loop lane %s: %d window plans built at %.2fs", topic, len(win_list), time.perf_counter() - t0)
     if len(blocks) == 1:
         return blocks[0]
     # Several chunks: land each in the shared folder so no plan grows with the

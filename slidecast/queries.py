@@ -296,6 +296,17 @@ F_SQL = {
         "with per_user as (select user_id, count(*) as n from ev group by user_id) "
         "select n, count(*) as users from per_user group by n"),
     "f16_approx_distinct": "select event_type, approx_count_distinct(user_id) as users from ev group by event_type",
+    "f1b_nested_access": (
+        "select event_id, split(props, ' ')[1] as second_tok, from_json(props, 'map<string,int>')['k'] as k_val, "
+        "array(user_id, event_id)[0] as first_el, named_struct('u', user_id, 'v', value).v as sv from ev"),
+    "f10b_full_outer": (
+        "select coalesce(a.event_type, b.event_type) as event_type, a.n as hi_n, b.n as lo_n from "
+        "(select event_type, count(*) as n from ev where value > 300 group by event_type) a full outer join "
+        "(select event_type, count(*) as n from ev where value < 5 group by event_type) b "
+        "on a.event_type = b.event_type"),
+    "f17_in_subquery": "select event_id, user_id from ev where user_id in (select user_id from ev where value > 400)",
+    "f18_rank_window": (
+        "select event_id, event_type, rank() over (partition by event_type order by value desc) as rk from ev"),
 }
 
 _W = f"{duck_windows(DAY)}"
@@ -356,6 +367,24 @@ F_ORACLE = {
     "f15_with": (
         f"SELECT window_start, window_end, n, count(*) AS users FROM (SELECT window_start, window_end, user_id, "
         f"count(*) AS n FROM {_W} GROUP BY ALL) GROUP BY ALL"),
+    "f1b_nested_access": (
+        f"SELECT window_start, window_end, event_id, split(props, ' ')[2] AS second_tok, "
+        f"CAST(json_extract(props, '$.k') AS INTEGER) AS k_val, [user_id, event_id][1] AS first_el, "
+        f"value AS sv FROM {_W}"),
+    "f10b_full_outer": (
+        f"SELECT coalesce(a.window_start, b.window_start) AS window_start, "
+        f"coalesce(a.window_end, b.window_end) AS window_end, coalesce(a.event_type, b.event_type) AS event_type, "
+        f"a.n AS hi_n, b.n AS lo_n FROM "
+        f"(SELECT window_start, window_end, event_type, count(*) AS n FROM {_W} WHERE value > 300 GROUP BY ALL) a "
+        f"FULL OUTER JOIN "
+        f"(SELECT window_start, window_end, event_type, count(*) AS n FROM {_W} WHERE value < 5 GROUP BY ALL) b "
+        f"ON a.window_end = b.window_end AND a.event_type = b.event_type"),
+    "f17_in_subquery": (
+        f"SELECT a.window_start, a.window_end, a.event_id, a.user_id FROM {_W} a WHERE EXISTS ("
+        f"SELECT 1 FROM {_W} b WHERE b.window_end = a.window_end AND b.user_id = a.user_id AND b.value > 400)"),
+    "f18_rank_window": (
+        f"SELECT window_start, window_end, event_id, event_type, rank() OVER (PARTITION BY window_end, event_type "
+        f"ORDER BY value DESC) AS rk FROM {_W}"),
 }
 
 
