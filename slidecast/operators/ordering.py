@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import work_dir
+
 
 def with_row_index(df: DataFrame, group_col: str, order_cols: Sequence, index_col: str = "row_index",
                    num_partitions: int | None = None) -> DataFrame:
@@ -30,7 +32,9 @@ def with_row_index(df: DataFrame, group_col: str, order_cols: Sequence, index_co
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__pos", F.monotonically_increasing_id()))
-    # Pin the partitioning and positions once; both branches below read them.
+    # Pin the partitioning and positions once (reliable checkpoint in the
+    # shared folder); both branches below read them.
+    work_dir(spark)
     tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy(group_col, "__pid").agg(F.min("__pos").alias("__first"),
                                                      F.count(F.lit(1)).alias("__cnt"))

@@ -33,12 +33,13 @@ def encode(df: DataFrame, fields: dict[str, Column | str], key: Column | str | N
 
 
 def decode(log: DataFrame, schema: StructType, required: Sequence[str] | None = None,
-           observation: Observation | None = None, keep_key: bool = False) -> DataFrame:
+           observation: Observation | str | None = None, keep_key: bool = False) -> DataFrame:
     """``key, value`` log → typed records; malformed values are dropped.
 
     ``required`` defaults to every field of ``schema``. With an
     ``observation``, the counts ``events`` and ``dropped`` are recorded when
-    the result is computed.
+    the result is computed; on a stream pass a name instead, and the counts
+    appear per micro-batch in ``query.lastProgress["observedMetrics"]``.
     """
     required = list(schema.fieldNames() if required is None else required)
     with_corrupt = StructType(list(schema.fields) + [StructField(CORRUPT, StringType(), True)])
@@ -57,6 +58,19 @@ def decode(log: DataFrame, schema: StructType, required: Sequence[str] | None =
     return out.filter("__ok").select(*keep, *[F.col(f"__r.`{n}`").alias(n) for n in schema.fieldNames()])
 
 
+def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
+    """Land an encoded log as files (the broker sink takes ``broker_sink_options``)."""
+    log.write.mode(mode).parquet(path)
+
+
+def ingest(df: DataFrame, fields: dict[str, Column | str], path: str,
+           box: tuple[str, str, tuple[float, float], tuple[float, float]] | None = None) -> None:
+    """Ingest job (S6 + S7): optional box filter → record → encoded log → files."""
+    if box is not None:
+        df = bbox_filter(df, *box)
+    write_log(encode(df, fields), path)
+
+
 def project_record(df: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
     """Decoded event → query record ``(name, text, count = 0)``."""
     return df.select(F.col(name).alias("name"), F.col(text).alias("text"),

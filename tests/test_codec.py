@@ -1,6 +1,7 @@
 """Decode and drop malformed events; encode round trip; record projection."""
 
 from pyspark.sql import Observation
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
 
 from slidecast.sources.codec import bbox_filter, decode, encode, project_record
@@ -34,3 +35,21 @@ def test_project_and_bbox(spark, events_of):
     rec = project_record(ev, "event_type", "props")
     assert rec.columns == ["name", "text", "count"] and {r["count"] for r in rec.collect()} == {0}
     assert [r.user_id for r in bbox_filter(ev, "user_id", "value", (10, 60), (20, 200)).collect()] == [40]
+
+
+def test_ingest_then_decode_stream_counts_drops(spark, events_of):
+    from slidecast.session import scratch_path
+    from slidecast.sources.codec import ingest
+    ev = events_of([(1, 3, "view", 2.5), (2, 40, "click", 30.0), (3, 45, "view", 50.0)])
+    path = scratch_path(spark, "log")
+    ingest(ev, {"name": "event_type", "text": "props", "count": F.lit(0)}, path,
+           box=("user_id", "value", (10, 60), (20.0, 200.0)))
+    # a malformed record lands in the same log
+    spark.createDataFrame([(None, b'{"name": "x"')], "key STRING, value BINARY").write.mode("append").parquet(path)
+    stream = spark.readStream.schema("key STRING, value BINARY").parquet(path)
+    out = decode(stream, SCHEMA, observation="decode_counts")
+    q = (out.writeStream.format("memory").queryName("decoded_test").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(r.name for r in spark.table("decoded_test").collect()) == ["click", "view"]
+    metrics = [p["observedMetrics"]["decode_counts"] for p in q.recentProgress if p.get("observedMetrics")]
+    assert sum(m["dropped"] for m in metrics) == 1 and sum(m["events"] for m in metrics) == 3
