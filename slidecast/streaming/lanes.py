@@ -42,7 +42,14 @@ def native_agg_stream(sdf: DataFrame, window, slide, keys: Sequence[str], aggs:
     from ..operators.windows import window_params
     w, s, o = window_params(window, slide, origin)
     et = "__event_time"
-    src = sdf.withColumn(et, F.col(ts).cast("timestamp")).withWatermark(et, delay)
+    # The watermark needs a TIMESTAMP; map the wall-clock NTZ value to the
+    # instant with the same UTC reading, so windows align as in batch
+    # whatever the session time zone is.
+    tz = sdf.sparkSession.conf.get("spark.sql.session.timeZone")
+    ts_type = sdf.schema[ts].dataType.simpleString()
+    event_time = (F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz) if ts_type == "timestamp_ntz"
+                  else F.col(ts))
+    src = sdf.withColumn(et, event_time).withWatermark(et, delay)
     wcol = window_struct(et, interval_text(w), interval_text(s), interval_text(o))
     if s > w:
         src = src.withColumn("__w", wcol).filter(
@@ -52,8 +59,9 @@ def native_agg_stream(sdf: DataFrame, window, slide, keys: Sequence[str], aggs:
         grouped = src.groupBy(wcol.alias("__w"), *keys)
     out = grouped.agg(*aggs)
     start = (F.col("__w.end") - F.expr(f"INTERVAL {w} MICROSECONDS")) if s > w else F.col("__w.start")
-    return out.select(start.cast("timestamp_ntz").alias(WINDOW_START),
-                      F.col("__w.end").cast("timestamp_ntz").alias(WINDOW_END),
+    def back(c):
+        return F.to_utc_timestamp(c, tz).cast("timestamp_ntz") if ts_type == "timestamp_ntz" else c
+    return out.select(back(start).alias(WINDOW_START), back(F.col("__w.end")).alias(WINDOW_END),
                       *[c for c in out.columns if c != "__w"])
 
 
