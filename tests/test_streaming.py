@@ -81,3 +81,22 @@ def test_native_lane_gapped(spark, w, s):
     got = stream_native_agg_replay(spark, ev, w, s, ["event_type"], [F.count(F.lit(1)).alias("n")])
     assert sorted(tuple(r) for r in got.select("window_start", "window_end", "event_type", "n").collect()) == \
         batch_closed(ev, w, s)
+
+
+def test_list_find_and_console(spark, capsys):
+    from slidecast.plans.delivery import console_listener
+    from slidecast.streaming.channel import find_channel_queries
+    ev = read_events(spark, SF001)
+    src = stage_replay(ev, 2)
+    topic = TopicSpec("counts", QL.replace(" t ", " counts "), 86400, 86400, "listed")
+    chan = Channel(spark, ChannelSpec("listed", [topic]), scratch_path(spark, "sink"), scratch_path(spark, "st"))
+    qs = chan.start(replay_stream(spark, src, ev.schema))
+    try:
+        assert "listed" in list_channels(spark)
+        assert [q.name for q in find_channel_queries(spark, "listed")] == ["listed.counts"]
+        assert chan.start(replay_stream(spark, src, ev.schema)) == qs or len(chan.queries()) == 1
+    finally:
+        chan.stop(graceful=True)
+    assert "listed" not in list_channels(spark)
+    console_listener(3)("counts", ["event_type", "n"], chan.results())
+    assert "receive data from counts" in capsys.readouterr().out
