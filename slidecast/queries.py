@@ -196,6 +196,15 @@ def q_q5_cross_topic_asof(spark, sf_dir):
     return out
 
 
+def q_q5b_cross_topic_stream(spark, sf_dir):
+    from .streaming.channel import lifecycle_roundtrip
+    out = lifecycle_roundtrip(spark, _events(spark, sf_dir), _cross_channel(), n_files=4)
+    payload = "struct<user_id:bigint,day_n:bigint,recent_n:bigint>"
+    return (out.filter(F.col("topic") == "daily")
+            .select(WINDOW_START, WINDOW_END, F.from_json("payload", payload).alias("p"))
+            .select(WINDOW_START, WINDOW_END, "p.user_id", "p.day_n", "p.recent_n"))
+
+
 def q_q6_ordered_result(spark, sf_dir):
     return _topic(spark, sf_dir, "top_users",
                   "select event_type, count(*) as n from top_users group by event_type order by n", DAY,
@@ -417,6 +426,7 @@ def registry() -> dict:
         "q3_all_records": q_q3_all_records,
         "q4_top_users": q_q4_top_users,
         "q5_cross_topic_asof": q_q5_cross_topic_asof,
+        "q5b_cross_topic_stream": q_q5b_cross_topic_stream,
         "q6_ordered_result": q_q6_ordered_result,
         "p1_envelope": q_p1_envelope,
         "p3_subscribe": q_p3_subscribe,
@@ -495,5 +505,6 @@ def oracles() -> dict[str, str]:
             f"GROUP BY ALL"),
         "x7_channel_lifecycle": _closed(_fanout_oracle()),
     }
+    out["q5b_cross_topic_stream"] = _closed(out["q5_cross_topic_asof"])
     out.update(F_ORACLE)
     return out

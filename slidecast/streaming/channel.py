@@ -19,7 +19,8 @@ from ..plans.delivery import envelope, subscribe_stream
 from ..plans.spec import ChannelSpec, resolve_pipeline
 from ..session import scratch_path
 from ..sources.replay import replay_stream, stage_replay
-from .lanes import read_sink, start_sql_topic
+from ..operators.crosstopic import referenced_topics
+from .lanes import read_sink, start_sql_topic, start_topic_group
 
 
 def _qname(channel: str, topic: str) -> str:
@@ -46,16 +47,26 @@ class Channel:
         if self.is_running:
             return self.queries()
         records = resolve_pipeline(self.spec.pipeline)(source)
+        ch = self.spec.name
+        trigger = None if available_now else f"{self.spec.batch_interval} seconds"
         started = []
-        for t in self.spec.topics:
-            ch, name = self.spec.name, t.name
-            out = f"{self.sink}/channel={ch}/topic={name}"
-            started.append(start_sql_topic(
-                records, t, out, f"{self.state_root}/{ch}/{name}/state",
-                f"{self.state_root}/{ch}/{name}/checkpoint", ts=ts, available_now=available_now,
-                query_name=_qname(ch, name),
-                to_output=lambda df, ch=ch, name=name: envelope(df, ch, name).drop("channel", "topic"),
-                processing_time=None if available_now else f"{self.spec.batch_interval} seconds"))
+        for group in topic_groups(self.spec.topics):
+            if len(group) == 1:
+                t = group[0]
+                started.append(start_sql_topic(
+                    records, t, f"{self.sink}/channel={ch}/topic={t.name}",
+                    f"{self.state_root}/{ch}/{t.name}/state", f"{self.state_root}/{ch}/{t.name}/checkpoint",
+                    ts=ts, available_now=available_now, query_name=_qname(ch, t.name),
+                    to_output=lambda df, name=t.name: envelope(df, ch, name).drop("channel", "topic"),
+                    processing_time=trigger))
+            else:
+                key = "+".join(t.name for t in group)
+                started.append(start_topic_group(
+                    records, group, lambda name: f"{self.sink}/channel={ch}/topic={name}",
+                    f"{self.state_root}/{ch}/{key}/state", f"{self.state_root}/{ch}/{key}/checkpoint",
+                    _qname(ch, key), ts=ts, available_now=available_now,
+                    to_output=lambda name, df: envelope(df, ch, name).drop("channel", "topic"),
+                    processing_time=trigger))
         return started
 
     def stop(self, graceful: bool = True) -> None:
@@ -69,6 +80,25 @@ class Channel:
         return read_sink(self.spark, self.sink).filter(F.col("channel") == self.spec.name)
 
 
+def topic_groups(topics) -> list[list]:
+    """Topics linked by cross-topic references share one query (channel order kept)."""
+    names = [t.name for t in topics]
+    parent = {n: n for n in names}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+    for t in topics:
+        if t.ql:
+            for other in referenced_topics(t.ql, [n for n in names if n != t.name]):
+                parent[root(other)] = root(t.name)
+    groups: dict[str, list] = {}
+    for t in topics:
+        groups.setdefault(root(t.name), []).append(t)
+    return list(groups.values())
+
+
 def list_channels(spark: SparkSession) -> list[str]:
     """Names of the channels with at least one running topic query."""
     return sorted({q.name.split(".", 1)[0] for q in spark.streams.active

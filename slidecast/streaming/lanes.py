@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.durations import interval_text
+from ..operators.asof import asof_latest
+from ..operators.crosstopic import referenced_topics, windows_with_views
 from ..operators.topicsql import choose_lane, windowed_sql
 from ..operators.windows import WINDOW_END, WINDOW_START, assign_windows, window_struct
 from ..plans.spec import TopicSpec
@@ -65,31 +67,56 @@ def native_agg_stream(sdf: DataFrame, window, slide, keys: Sequence[str], aggs:
                       *[c for c in out.columns if c != "__w"])
 
 
-class SqlTopicStream:
-    """``foreachBatch`` handler that evaluates a SQL topic on closed windows."""
+class TopicGroupStream:
+    """``foreachBatch`` handler that evaluates SQL topics on their closed windows.
 
-    def __init__(self, topic: TopicSpec, sink: str, state: str, ts: str = "ts",
-                 delay_us: int = 0, to_output: Callable[[DataFrame], DataFrame] | None = None):
-        self.topic = topic
-        self.sink = sink.rstrip("/")
+    One handler serves one topic, or a group of topics of a channel that read
+    each other's tables (cross-topic SQL must see the other topic's latest
+    window at each firing time, so the group shares one query). Rows are
+    stored once per batch; each topic keeps a window index (one row per
+    window that has fired) used for the cross-topic as-of lookup.
+    """
+
+    def __init__(self, topics: Sequence[TopicSpec], sink_for: Callable[[str], str], state: str,
+                 ts: str = "ts", delay_us: int = 0,
+                 to_output: Callable[[str, DataFrame], DataFrame] | None = None):
+        self.topics = list(topics)
+        self.sink_for = sink_for
         self.state = state.rstrip("/")
         self.ts = ts
         self.delay_us = delay_us
-        self.to_output = to_output or (lambda df: df)
-        self._lane = None  # chosen once, on the first batch
+        self.to_output = to_output or (lambda name, df: df)
+        self._lanes: dict[str, str] = {}  # chosen once, on the first batch
+        # A pane is the smallest multiple of a slide that covers a window, so a
+        # closing window reads one or two pane folders.
+        self.pane_us = min(t.slide_us * -(-t.window_us // t.slide_us) for t in self.topics)
+        self.origin_us = self.topics[0].origin_us
 
     def _pane_key(self, col: Column) -> Column:
-        # A pane is the smallest multiple of the slide that covers a window, so a
-        # closing window reads one or two pane folders.
-        t = self.topic
-        pane_us = t.slide_us * -(-t.window_us // t.slide_us)
-        pane = window_struct(col, interval_text(pane_us), interval_text(pane_us),
-                             interval_text(t.origin_us))
+        pane = window_struct(col, interval_text(self.pane_us), interval_text(self.pane_us),
+                             interval_text(self.origin_us))
         return F.concat(F.lit("p"), F.date_format(pane.end, _KEY_FMT))
 
+    def _rows_between(self, stored: DataFrame, lo, hi) -> DataFrame:
+        """Stored rows with ``lo <= ts < hi`` (``lo`` may be None), pane-pruned."""
+        cond = F.col(self.ts) < hi
+        if lo is not None:
+            cond = cond & (F.col(self.ts) >= lo) & (F.col("__pane") >= self._pane_key(lo))
+        return stored.filter(cond).drop("__pane", "batch")
+
+    def _windows(self, stored, t: TopicSpec, prev_wm, new_wm) -> DataFrame:
+        """Windowed rows of ``t`` whose window closes in ``(prev_wm, new_wm]``."""
+        wdelta = F.expr(f"INTERVAL {t.window_us} MICROSECONDS")
+        cand = self._rows_between(stored, None if prev_wm is None else prev_wm - wdelta, new_wm)
+        rows = assign_windows(cand, t.window_us / 1e6, t.slide_us / 1e6, t.origin_us / 1e6, ts=self.ts)
+        closing = F.col(WINDOW_END) <= new_wm
+        if prev_wm is not None:
+            closing = closing & (F.col(WINDOW_END) > prev_wm)
+        return rows.filter(closing)
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows_dir, prog_dir = f"{self.state}/rows", f"{self.state}/progress"
+        rows_dir, prog_dir, index_dir = (f"{self.state}/{k}" for k in ("rows", "progress", "windows"))
         # 1. store this batch's rows by pane (idempotent per batch id)
         (batch.withColumn("__pane", self._pane_key(F.col(self.ts)))
               .write.mode("overwrite").partitionBy("__pane").parquet(f"{rows_dir}/batch={batch_id}"))
@@ -103,32 +130,80 @@ class SqlTopicStream:
         marks = prog.agg(
             F.date_format(F.max(F.when(F.col("batch") < batch_id, F.col("max_ts"))), fmt).alias("prev"),
             F.date_format(F.max("max_ts"), fmt).alias("new")).collect()[0]
-        ts_type = stored.schema[self.ts].dataType
-        delay = F.expr(f"INTERVAL {self.delay_us} MICROSECONDS")
         if marks["new"] is None:
             return
+        ts_type = stored.schema[self.ts].dataType
+        delay = F.expr(f"INTERVAL {self.delay_us} MICROSECONDS")
         new_wm = F.lit(marks["new"]).cast(ts_type) - delay
         prev_wm = None if marks["prev"] is None else F.lit(marks["prev"]).cast(ts_type) - delay
-        # 3. rows that can belong to a window closing now: ts < new_wm and ts >= prev_wm - W
-        t = self.topic
-        wdelta = F.expr(f"INTERVAL {t.window_us} MICROSECONDS")
-        cond = F.col(self.ts) < new_wm
-        if prev_wm is not None:
-            cond = cond & (F.col(self.ts) >= prev_wm - wdelta)
-            cond = cond & (F.col("__pane") >= self._pane_key(prev_wm - wdelta))
-        cand = stored.filter(cond).drop("__pane", "batch")
-        rows = assign_windows(cand, t.window_us / 1e6, t.slide_us / 1e6, t.origin_us / 1e6, ts=self.ts)
-        closing = F.col(WINDOW_END) <= new_wm
-        if prev_wm is not None:
-            closing = closing & (F.col(WINDOW_END) > prev_wm)
-        rows = rows.filter(closing)
-        if t.fn is not None:
-            result = t.fn(rows)
+        closing = {t.name: self._windows(stored, t, prev_wm, new_wm) for t in self.topics}
+        names = [t.name for t in self.topics]
+        refs = {t.name: (referenced_topics(t.ql, [n for n in names if n != t.name]) if t.ql else [])
+                for t in self.topics}
+        # 3. window index of every topic that others read (all topics' windows
+        #    closing now are indexed first: a later topic fired at its own,
+        #    earlier times)
+        read_by_others = {n for r in refs.values() for n in r}
+        for name in read_by_others:
+            (closing[name].select(WINDOW_END).distinct()
+                .write.mode("overwrite").parquet(f"{index_dir}/topic={name}/batch={batch_id}"))
+        # 4. evaluate every topic on its closing windows
+        for t in self.topics:
+            rows = closing[t.name]
+            if t.fn is not None:
+                result = t.fn(rows)
+            else:
+                if t.name not in self._lanes:
+                    schema = rows.drop(WINDOW_START, WINDOW_END).schema
+                    self._lanes[t.name] = choose_lane(spark, t.name, t.ql, schema,
+                                                      {n: schema for n in refs[t.name]})
+                if refs[t.name]:
+                    others = []
+                    for n in refs[t.name]:
+                        other = next(o for o in self.topics if o.name == n)
+                        seen = (spark.read.parquet(f"{index_dir}/topic={n}")
+                                .filter(F.col("batch") <= batch_id).select(WINDOW_END))
+                        others.append((n, self._seen_rows(stored, other, seen, rows, t), n in names[:names.index(t.name)]))
+                    wins, orefs = windows_with_views(rows, others)
+                    result = windowed_sql(rows, t.name, t.ql, lane=self._lanes[t.name], windows=wins,
+                                          others=orefs, check=False)
+                else:
+                    result = windowed_sql(rows, t.name, t.ql, lane=self._lanes[t.name], check=False)
+            (self.to_output(t.name, result).write.mode("overwrite")
+                 .parquet(f"{self.sink_for(t.name).rstrip('/')}/batch_id={batch_id}"))
+
+    def _seen_rows(self, stored, other: TopicSpec, other_ends: DataFrame, rows, reader: TopicSpec):
+        """Rows of ``other``'s windows that the reader's closing windows can see.
+
+        Only windows at or before the reader's latest closing window matter,
+        and only the latest one before each reader window; the pane filter
+        keeps the read to those windows' time range.
+        """
+        spark = stored.sparkSession
+        fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+        reader_ends = rows.select(WINDOW_END).distinct()
+        seen = asof_latest(reader_ends, WINDOW_END, other_ends, WINDOW_END, "__seen", inclusive=True).unionByName(
+            asof_latest(reader_ends, WINDOW_END, other_ends, WINDOW_END, "__seen", inclusive=False))
+        bounds = seen.agg(F.date_format(F.min("__seen"), fmt).alias("lo"),
+                          F.date_format(F.max("__seen"), fmt).alias("hi")).collect()[0]
+        ts_type = stored.schema[self.ts].dataType
+        if bounds["lo"] is None:
+            cand = stored.limit(0).drop("__pane", "batch")
         else:
-            if self._lane is None:
-                self._lane = choose_lane(spark, t.name, t.ql, cand.schema)
-            result = windowed_sql(rows, t.name, t.ql, lane=self._lane, check=False)
-        self.to_output(result).write.mode("overwrite").parquet(f"{self.sink}/batch_id={batch_id}")
+            lo = F.lit(bounds["lo"]).cast(ts_type) - F.expr(f"INTERVAL {other.window_us} MICROSECONDS")
+            cand = self._rows_between(stored, lo, F.lit(bounds["hi"]).cast(ts_type))
+        orows = assign_windows(cand, other.window_us / 1e6, other.slide_us / 1e6, other.origin_us / 1e6,
+                               ts=self.ts)
+        return orows.join(other_ends.distinct(), WINDOW_END, "left_semi")
+
+
+class SqlTopicStream(TopicGroupStream):
+    """Single-topic handler: results go to ``sink/batch_id=<n>``."""
+
+    def __init__(self, topic: TopicSpec, sink: str, state: str, ts: str = "ts",
+                 delay_us: int = 0, to_output: Callable[[DataFrame], DataFrame] | None = None):
+        out = to_output or (lambda df: df)
+        super().__init__([topic], lambda name: sink, state, ts, delay_us, lambda name, df: out(df))
 
 
 def start_sql_topic(sdf: DataFrame, topic: TopicSpec, sink: str, state: str, checkpoint: str,
@@ -144,6 +219,20 @@ def start_sql_topic(sdf: DataFrame, topic: TopicSpec, sink: str, state: str, che
     return writer.start()
 
 
+def start_topic_group(sdf: DataFrame, topics: Sequence[TopicSpec], sink_for: Callable[[str], str],
+                      state: str, checkpoint: str, query_name: str, ts: str = "ts",
+                      available_now: bool = False, to_output=None, processing_time: str | None = None):
+    """One streaming query for topics that read each other's tables."""
+    handler = TopicGroupStream(topics, sink_for, state, ts, to_output=to_output)
+    writer = (sdf.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+              .queryName(query_name))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    elif processing_time:
+        writer = writer.trigger(processingTime=processing_time)
+    return writer.start()
+
+
 def read_sink(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(sink).drop("batch_id")
 

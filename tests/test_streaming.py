@@ -100,3 +100,22 @@ def test_list_find_and_console(spark, capsys):
     assert "listed" not in list_channels(spark)
     console_listener(3)("counts", ["event_type", "n"], chan.results())
     assert "receive data from counts" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("reader_first", [True, False])
+def test_cross_topic_group_stream_equals_batch(spark, reader_first):
+    from slidecast.plans.broker import run_channel
+    from slidecast.streaming.channel import lifecycle_roundtrip, topic_groups
+    ev = read_events(spark, SF001)
+    reader = TopicSpec("rd", "select r.event_type, count(*) as n, (select count(*) from src) as src_n "
+                             "from rd r group by r.event_type", 86400, 86400, "cx")
+    src = TopicSpec("src", "select count(*) as n from src", 5 * 3600, 5 * 3600, "cx")
+    spec = ChannelSpec("cx", [reader, src] if reader_first else [src, reader])
+    assert [len(g) for g in topic_groups(spec.topics)] == [2]
+    streamed = lifecycle_roundtrip(spark, ev, spec, n_files=3).filter(F.col("topic") == "rd")
+    mx = ev.agg(F.max("ts")).collect()[0][0]
+    batch = run_channel(ev, spec)["rd"].filter(F.col("window_end") <= F.lit(mx))
+    from slidecast.plans.delivery import envelope
+    want = sorted(tuple(r) for r in envelope(batch, "cx", "rd").select("window_end", "payload").collect())
+    got = sorted(tuple(r) for r in streamed.select("window_end", "payload").collect())
+    assert got == want and len(got) > 0
