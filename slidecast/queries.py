@@ -397,6 +397,19 @@ F_ORACLE = {
 }
 
 
+def _left_join_by_window(rows: DataFrame) -> DataFrame:
+    """f10 as a DataFrame-form topic: the join keys carry ``window_end`` (fully parallel)."""
+    types = rows.select(WINDOW_START, WINDOW_END, "event_type").distinct()
+    high = rows.filter(F.col("value") > 300).select(WINDOW_END, "event_type", "event_id")
+    return (types.join(high, [WINDOW_END, "event_type"], "left")
+            .groupBy(WINDOW_START, WINDOW_END, "event_type").agg(F.count("event_id").alias("hi")))
+
+
+def q_f10c_left_join_dataframe_topic(spark, sf_dir):
+    t = TopicSpec("ev", fn=_left_join_by_window, window=DAY)
+    return run_topic(_events(spark, sf_dir), t)
+
+
 def _f_query(key: str):
     def run(spark, sf_dir):
         return _topic(spark, sf_dir, "ev", F_SQL[key], DAY)
@@ -436,6 +449,7 @@ def registry() -> dict:
     }
     for key in F_SQL:
         reg[key] = _f_query(key)
+    reg["f10c_left_join_dataframe_topic"] = q_f10c_left_join_dataframe_topic
     return reg
 
 
@@ -507,4 +521,5 @@ def oracles() -> dict[str, str]:
     }
     out["q5b_cross_topic_stream"] = _closed(out["q5_cross_topic_asof"])
     out.update(F_ORACLE)
+    out["f10c_left_join_dataframe_topic"] = F_ORACLE["f10_left_join"]
     return out
