@@ -316,6 +316,11 @@ F_SQL = {
     "f17_in_subquery": "select event_id, user_id from ev where user_id in (select user_id from ev where value > 400)",
     "f18_rank_window": (
         "select event_id, event_type, rank() over (partition by event_type order by value desc) as rk from ev"),
+    "f19_rollup": "select event_type, count(*) as n from ev group by rollup(event_type)",
+    "f20_explode": "select event_id, tok from ev lateral view explode(split(props, ' ')) t as tok",
+    "f21_pivot": (
+        "select * from (select user_id, event_type from ev) "
+        "pivot (count(*) for event_type in ('view' as views, 'purchase' as purchases))"),
 }
 
 _W = f"{duck_windows(DAY)}"
@@ -394,6 +399,15 @@ F_ORACLE = {
     "f18_rank_window": (
         f"SELECT window_start, window_end, event_id, event_type, rank() OVER (PARTITION BY window_end, event_type "
         f"ORDER BY value DESC) AS rk FROM {_W}"),
+    "f19_rollup": (
+        f"SELECT window_start, window_end, event_type, count(*) AS n FROM {_W} "
+        f"GROUP BY GROUPING SETS ((window_start, window_end, event_type), (window_start, window_end))"),
+    "f20_explode": (
+        f"SELECT window_start, window_end, event_id, unnest(string_split(props, ' ')) AS tok FROM {_W}"),
+    "f21_pivot": (
+        f"SELECT window_start, window_end, user_id, "
+        f"nullif(count(*) FILTER (WHERE event_type = 'view'), 0) AS views, "
+        f"nullif(count(*) FILTER (WHERE event_type = 'purchase'), 0) AS purchases FROM {_W} GROUP BY ALL"),
 }
 
 
