@@ -36,6 +36,8 @@ class TopicSpec:
     fn: Callable[[DataFrame], DataFrame] | None = None
     origin: object = 0
     order_by: tuple[str, ...] = ()
+    # Aggregate form: (keys, ((out, func, column), ...)) evaluated over panes.
+    aggregate: tuple | None = None
 
     @property
     def window_us(self) -> int:
@@ -55,8 +57,8 @@ class TopicSpec:
             raise SpecError(f"topic name {self.name!r} is not an identifier")
         if not self.channel:
             raise SpecError(f"topic {self.name!r} has no channel")
-        if (self.ql is None) == (self.fn is None):
-            raise SpecError(f"topic {self.name!r} needs exactly one of ql or fn")
+        if sum(x is not None for x in (self.ql, self.fn, self.aggregate)) != 1:
+            raise SpecError(f"topic {self.name!r} needs exactly one of ql, fn or aggregate")
         if self.window_us <= 0 or self.slide_us <= 0:
             raise SpecError(f"topic {self.name!r}: window and slide must be positive")
         if spark is not None and schema is not None and self.ql is not None:

@@ -152,6 +152,23 @@ def q_w8b_ragged(spark, sf_dir):
     return _topic(spark, sf_dir, "ragged", COUNT_BY_TYPE.format(t="ragged"), 30 * HOUR, 12 * HOUR)
 
 
+_HOURLY_SLIDE_SQL = ("select event_type, count(*) as n, sum(user_id) as users_sum, min(value) as vmin, "
+                    "max(value) as vmax from {t} group by event_type")
+
+
+def q_w1b_sliding_pane_agg(spark, sf_dir):
+    """1-day windows every hour as an aggregate topic: panes, no per-row copies."""
+    t = TopicSpec("hourly_day", window=DAY, slide=HOUR, aggregate=(
+        ("event_type",), (("n", "count", "*"), ("users_sum", "sum", "user_id"),
+                          ("vmin", "min", "value"), ("vmax", "max", "value"))))
+    return run_topic(_events(spark, sf_dir), t)
+
+
+def q_w1c_sliding_sql_same(spark, sf_dir):
+    """The same topic as SQL (plan lane; each event is tagged with 24 windows)."""
+    return _topic(spark, sf_dir, "hourly_day", _HOURLY_SLIDE_SQL.format(t="hourly_day"), DAY, HOUR)
+
+
 def q_w7_stream_equals_batch(spark, sf_dir):
     from .streaming.lanes import stream_sql_topic_replay
     t = TopicSpec("sliding", COUNT_BY_TYPE.format(t="sliding"), DAY, DAY // 2)
@@ -442,6 +459,8 @@ def registry() -> dict:
         "s6_encode_roundtrip": q_s6_encode_roundtrip,
         "s7_bbox_filter": q_s7_bbox_filter,
         "w1_sliding_count": q_w1_sliding_count,
+        "w1b_sliding_pane_agg": q_w1b_sliding_pane_agg,
+        "w1c_sliding_sql_same": q_w1c_sliding_sql_same,
         "w2_tumbling_count": q_w2_tumbling_count,
         "w3_gapped_count": q_w3_gapped_count,
         "w4_multi_topic_fanout": q_w4_multi_topic_fanout,
@@ -496,6 +515,9 @@ def oracles() -> dict[str, str]:
         "s7_bbox_filter": (
             f"SELECT {EVENT_COLS} FROM events WHERE user_id BETWEEN 10 AND 60 AND value BETWEEN 20.0 AND 200.0"),
         "w1_sliding_count": duck_count_by_type(DAY, DAY // 2),
+        "w1b_sliding_pane_agg": (
+            f"SELECT window_start, window_end, event_type, count(*) AS n, sum(user_id) AS users_sum, "
+            f"min(value) AS vmin, max(value) AS vmax FROM {duck_windows(DAY, HOUR)} GROUP BY ALL"),
         "w2_tumbling_count": duck_count_by_type(DAY),
         "w3_gapped_count": duck_count_by_type(6 * HOUR, 12 * HOUR),
         "w4_multi_topic_fanout": _fanout_oracle(),
@@ -534,6 +556,7 @@ def oracles() -> dict[str, str]:
         "x7_channel_lifecycle": _closed(_fanout_oracle()),
     }
     out["q5b_cross_topic_stream"] = _closed(out["q5_cross_topic_asof"])
+    out["w1c_sliding_sql_same"] = out["w1b_sliding_pane_agg"]
     out.update(F_ORACLE)
     out["f10c_left_join_dataframe_topic"] = F_ORACLE["f10_left_join"]
     return out

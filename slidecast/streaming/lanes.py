@@ -67,6 +67,13 @@ def native_agg_stream(sdf: DataFrame, window, slide, keys: Sequence[str], aggs:
                       *[c for c in out.columns if c != "__w"])
 
 
+def window_aggregate(rows: DataFrame, keys, aggs) -> DataFrame:
+    """An aggregate-form topic over already windowed rows (closing windows only)."""
+    fns = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    cols = [fns[f](F.lit(1) if c == "*" else F.col(c)).alias(o) for o, f, c in aggs]
+    return rows.groupBy(WINDOW_START, WINDOW_END, *keys).agg(*cols)
+
+
 class TopicGroupStream:
     """``foreachBatch`` handler that evaluates SQL topics on their closed windows.
 
@@ -150,7 +157,9 @@ class TopicGroupStream:
         # 4. evaluate every topic on its closing windows
         for t in self.topics:
             rows = closing[t.name]
-            if t.fn is not None:
+            if t.aggregate is not None:
+                result = window_aggregate(rows, *t.aggregate)
+            elif t.fn is not None:
                 result = t.fn(rows)
             else:
                 if t.name not in self._lanes:
