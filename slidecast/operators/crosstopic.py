@@ -22,7 +22,7 @@ from .windows import WINDOW_END, WINDOW_START
 
 def referenced_topics(ql: str, names) -> list[str]:
     """Topic names that appear as words in the SQL text (case-insensitive)."""
-    return [n for n in names if re.search(rf"(?<![A-Za-z0-9_`]){re.escape(n)}(?![A-Za-z0-9_])", ql, re.I)]
+    return [n for n in names if re.search(rf"(?<![A-Za-z0-9_]){re.escape(n)}(?![A-Za-z0-9_])", ql, re.I)]
 
 
 def windows_with_views(rows: DataFrame, others: list[tuple[str, DataFrame, bool]]):

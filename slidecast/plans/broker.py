@@ -37,7 +37,8 @@ def run_topic(records: DataFrame, topic: TopicSpec, ts: str = "ts", lane: str =
     else:
         others = []
         if channel is not None:
-            names = [t.name for t in channel.topics if t.name != topic.name and t.ql is not None]
+            # every topic's window rows are visible by its name, whatever its form
+            names = [t.name for t in channel.topics if t.name != topic.name]
             order = [t.name for t in channel.topics]
             for name in referenced_topics(topic.ql, names):
                 other = next(t for t in channel.topics if t.name == name)

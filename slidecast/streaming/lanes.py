@@ -270,7 +270,7 @@ def stream_sql_topic_replay(spark: SparkSession, df: DataFrame, topic: TopicSpec
 
 
 def stream_native_agg_replay(spark: SparkSession, df: DataFrame, window, slide, keys, aggs,
-                             n_files: int = 4) -> DataFrame:
+                             n_files: int = 4, progress: list | None = None) -> DataFrame:
     """W7 native lane over a replayed stream; append mode emits closed windows."""
     src = stage_replay(df, n_files)
     out, ck = scratch_path(spark, "agg-sink"), scratch_path(spark, "agg-ckpt")
@@ -278,4 +278,6 @@ def stream_native_agg_replay(spark: SparkSession, df: DataFrame, window, slide,
     q = (agg.writeStream.outputMode("append").format("parquet").option("path", out)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
+    if progress is not None:
+        progress.extend(q.recentProgress)
     return spark.read.parquet(out)
