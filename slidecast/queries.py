@@ -267,6 +267,26 @@ def q_x1_pipeline_compose(spark, sf_dir):
     return run_channel(ev, ch)["bands"]
 
 
+def q_x2_log_to_channel_stream(spark, sf_dir):
+    """The reference's whole flow on a stream: encoded log (with truncated
+    records) → replay → decode pipeline (drop malformed) → channel with the
+    example ``top_users`` topic → envelopes of the closed windows."""
+    from pyspark.sql.types import StructType
+    from .sources.replay import replay_stream, stage_replay
+    from .streaming.channel import Channel
+    ev = _events(spark, sf_dir)
+    log = _log(ev, True).join(ev.select(F.col("event_id").cast("string").alias("key"), "ts"), "key")
+    src = stage_replay(log, 4)
+    schema = StructType.fromDDL(_LOG_SCHEMA)
+    ch = ChannelSpec("tweets_channel", [TopicSpec(
+        "top_users", "select name, count(*) as tweets from top_users group by name order by tweets",
+        DAY, DAY, "tweets_channel")], pipeline=lambda df: decode(df.select("key", "value"), schema))
+    chan = Channel(spark, ch, scratch_path(spark, "x2-sink"), scratch_path(spark, "x2-state"))
+    for q in chan.start(replay_stream(spark, src, log.schema), available_now=True):
+        q.awaitTermination()
+    return chan.results().select("channel", "topic", WINDOW_START, WINDOW_END, "columns", "payload")
+
+
 def q_x7_channel_lifecycle(spark, sf_dir):
     from .streaming.channel import lifecycle_roundtrip
     return lifecycle_roundtrip(spark, _events(spark, sf_dir), _fanout_channel(), n_files=4)
@@ -478,6 +498,7 @@ def registry() -> dict:
         "p3_subscribe": q_p3_subscribe,
         "p4_listener": q_p4_listener,
         "x1_pipeline_compose": q_x1_pipeline_compose,
+        "x2_log_to_channel_stream": q_x2_log_to_channel_stream,
         "x7_channel_lifecycle": q_x7_channel_lifecycle,
     }
     for key in F_SQL:
@@ -557,6 +578,13 @@ def oracles() -> dict[str, str]:
     }
     out["q5b_cross_topic_stream"] = _closed(out["q5_cross_topic_asof"])
     out["w1c_sliding_sql_same"] = out["w1b_sliding_pane_agg"]
+    ok = "(SELECT * FROM events WHERE event_type <> 'error')"
+    out["x2_log_to_channel_stream"] = (
+        f"SELECT 'tweets_channel' AS channel, 'top_users' AS topic, window_start, window_end, "
+        f"'name,tweets' AS columns, CAST(to_json({{'name': name, 'tweets': tweets}}) AS VARCHAR) AS payload "
+        f"FROM (SELECT window_start, window_end, event_type AS name, count(*) AS tweets "
+        f"FROM {duck_windows(DAY, src=ok)} GROUP BY ALL) "
+        f"WHERE window_end <= (SELECT max(ts) FROM events WHERE event_type <> 'error')")
     out.update(F_ORACLE)
     out["f10c_left_join_dataframe_topic"] = F_ORACLE["f10_left_join"]
     return out
