@@ -56,7 +56,14 @@ def broker_stream(spark: SparkSession, servers: str, topics: list[str],
               .option("startingOffsets", starting_offsets))
     if max_offsets_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
-    return reader.load().selectExpr("CAST(key AS STRING) AS key", "value", "topic")
+    try:
+        src = reader.load()
+    except Exception as exc:  # connector jar absent: say so plainly
+        if "kafka" in str(exc).lower() and ("not find" in str(exc).lower() or "failed to find" in str(exc).lower()):
+            raise RuntimeError("the Kafka connector (spark-sql-kafka) is not on the classpath; "
+                               "use replay_stream over landed files instead") from exc
+        raise
+    return src.selectExpr("CAST(key AS STRING) AS key", "value", "topic")
 
 
 def broker_sink_options(servers: str, topic: str) -> dict[str, str]:

@@ -21,6 +21,8 @@ TIMESTAMP, so the native lane casts it (sessions run in UTC).
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +38,7 @@ from ..session import scratch_path
 from ..sources.replay import replay_stream, stage_replay
 
 _KEY_FMT = "yyyyMMddHHmmssSSSSSS"
+log = logging.getLogger("slidecast.streaming")
 
 
 def native_agg_stream(sdf: DataFrame, window, slide, keys: Sequence[str], aggs: Sequence[Column],
@@ -94,6 +97,7 @@ class TopicGroupStream:
         self.delay_us = delay_us
         self.to_output = to_output or (lambda name, df: df)
         self._lanes: dict[str, str] = {}  # chosen once, on the first batch
+        self._last = None  # (batch id, watermark text) of the last batch handled here
         # A pane is the smallest multiple of a slide that covers a window, so a
         # closing window reads one or two pane folders.
         self.pane_us = min(t.slide_us * -(-t.window_us // t.slide_us) for t in self.topics)
@@ -122,21 +126,30 @@ class TopicGroupStream:
         return rows.filter(closing)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        t0 = time.perf_counter()
         spark = batch.sparkSession
         rows_dir, prog_dir, index_dir = (f"{self.state}/{k}" for k in ("rows", "progress", "windows"))
         # 1. store this batch's rows by pane (idempotent per batch id)
         (batch.withColumn("__pane", self._pane_key(F.col(self.ts)))
               .write.mode("overwrite").partitionBy("__pane").parquet(f"{rows_dir}/batch={batch_id}"))
         stored = spark.read.parquet(rows_dir)
-        # 2. progress: this batch's max event time; watermark = max over batches so far
-        (spark.read.parquet(f"{rows_dir}/batch={batch_id}").agg(F.max(self.ts).alias("max_ts"))
-              .withColumn("batch", F.lit(batch_id).cast("long"))
-              .write.mode("overwrite").parquet(f"{prog_dir}/b={batch_id}"))
-        prog = spark.read.parquet(prog_dir).filter(F.col("batch") <= batch_id)
+        # 2. progress: this batch's max event time; watermark = max over batches so far.
+        #    Times travel as fixed-width text, so text order is time order.
         fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-        marks = prog.agg(
-            F.date_format(F.max(F.when(F.col("batch") < batch_id, F.col("max_ts"))), fmt).alias("prev"),
-            F.date_format(F.max("max_ts"), fmt).alias("new")).collect()[0]
+        batch_max = (spark.read.parquet(f"{rows_dir}/batch={batch_id}")
+                     .agg(F.date_format(F.max(self.ts), fmt)).collect()[0][0])
+        (spark.createDataFrame([(batch_id, batch_max)], "batch BIGINT, max_ts STRING")
+              .write.mode("overwrite").parquet(f"{prog_dir}/b={batch_id}"))
+        if self._last is not None and self._last[0] == batch_id - 1:
+            prev = self._last[1]
+        else:  # first batch of this process (start or restart): read the progress log
+            prev = (spark.read.parquet(prog_dir).filter(F.col("batch") < batch_id)
+                    .agg(F.max("max_ts")).collect()[0][0])
+        new = max((m for m in (prev, batch_max) if m is not None), default=None)
+        self._last = (batch_id, new)
+        marks = {"prev": prev, "new": new}
+        log.debug("batch %d: rows stored, watermark %s -> %s at %.2fs", batch_id, prev, new,
+                  time.perf_counter() - t0)
         if marks["new"] is None:
             return
         ts_type = stored.schema[self.ts].dataType
@@ -180,6 +193,7 @@ class TopicGroupStream:
                     result = windowed_sql(rows, t.name, t.ql, lane=self._lanes[t.name], check=False)
             (self.to_output(t.name, result).write.mode("overwrite")
                  .parquet(f"{self.sink_for(t.name).rstrip('/')}/batch_id={batch_id}"))
+            log.debug("batch %d: topic %s written at %.2fs", batch_id, t.name, time.perf_counter() - t0)
 
     def _seen_rows(self, stored, other: TopicSpec, other_ends: DataFrame, rows, reader: TopicSpec):
         """Rows of ``other``'s windows that the reader's closing windows can see.

@@ -53,3 +53,17 @@ def test_ingest_then_decode_stream_counts_drops(spark, events_of):
     assert sorted(r.name for r in spark.table("decoded_test").collect()) == ["click", "view"]
     metrics = [p["observedMetrics"]["decode_counts"] for p in q.recentProgress if p.get("observedMetrics")]
     assert sum(m["dropped"] for m in metrics) == 1 and sum(m["events"] for m in metrics) == 3
+
+
+def test_broker_source_reports_missing_connector(spark):
+    import pytest
+    from slidecast.sources.replay import broker_sink_options, broker_stream
+    assert broker_sink_options("h:9092", "tweets") == {"kafka.bootstrap.servers": "h:9092", "topic": "tweets"}
+    try:
+        df = broker_stream(spark, "localhost:9", ["tweets", "other"])
+    except RuntimeError as exc:
+        assert "connector" in str(exc)
+    else:  # connector present: the schema is the broker record
+        assert df.columns == ["key", "value", "topic"]
+    with pytest.raises(Exception):
+        raise RuntimeError("sanity")
