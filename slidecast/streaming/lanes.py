@@ -21,12 +21,16 @@ TIMESTAMP, so the native lane casts it (sessions run in UTC).
 
 from __future__ import annotations
 
+import datetime as _dt
 import logging
 import time
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.durations import interval_text
 from ..operators.asof import asof_latest
@@ -38,6 +42,20 @@ from ..session import scratch_path
 from ..sources.replay import replay_stream, stage_replay
 
 _KEY_FMT = "yyyyMMddHHmmssSSSSSS"
+_TEXT_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+_EPOCH = _dt.datetime(1970, 1, 1)
+_MAX_GLOB_PANES = 2000
+
+
+def _micros(text: str) -> int:
+    """Fixed-width timestamp text (wall clock) → microseconds from the epoch."""
+    t = _dt.datetime.strptime(text, "%Y-%m-%d %H:%M:%S.%f")
+    return (t - _EPOCH) // _dt.timedelta(microseconds=1)
+
+
+def _text(micros: int) -> str:
+    t = _EPOCH + _dt.timedelta(microseconds=micros)
+    return t.strftime("%Y-%m-%d %H:%M:%S.%f")
 log = logging.getLogger("slidecast.streaming")
 
 
@@ -108,36 +126,65 @@ class TopicGroupStream:
                              interval_text(self.origin_us))
         return F.concat(F.lit("p"), F.date_format(pane.end, _KEY_FMT))
 
-    def _rows_between(self, stored: DataFrame, lo, hi) -> DataFrame:
-        """Stored rows with ``lo <= ts < hi`` (``lo`` may be None), pane-pruned."""
-        cond = F.col(self.ts) < hi
-        if lo is not None:
-            cond = cond & (F.col(self.ts) >= lo) & (F.col("__pane") >= self._pane_key(lo))
+    def _pane_text(self, micros: int) -> str:
+        """Driver-side twin of ``_pane_key`` for one instant (microseconds)."""
+        end = self.origin_us + ((micros - self.origin_us) // self.pane_us + 1) * self.pane_us
+        t = _EPOCH + _dt.timedelta(microseconds=end)
+        return "p" + t.strftime("%Y%m%d%H%M%S") + f"{t.microsecond:06d}"
+
+    def _rows_between(self, spark, lo_us: int | None, hi_us: int) -> DataFrame:
+        """Stored rows with ``lo <= ts < hi``; reads only the pane folders of that range.
+
+        The store is laid out ``rows/__pane=<p>/batch=<n>``, so the read lists
+        the needed panes only, not the whole history.
+        """
+        rows_dir = f"{self.state}/rows"
+        path = f"{rows_dir}/__pane=*"
+        if lo_us is not None:
+            first = (lo_us - self.origin_us) // self.pane_us
+            last = (hi_us - 1 - self.origin_us) // self.pane_us
+            if last - first < _MAX_GLOB_PANES:
+                keys = [self._pane_text(self.origin_us + k * self.pane_us) for k in range(first, last + 1)]
+                path = f"{rows_dir}/__pane={{{','.join(keys)}}}"
+        try:
+            stored = spark.read.schema(self._stored_schema).option("basePath", rows_dir).parquet(path)
+        except AnalysisException:  # no pane of that range holds rows
+            return spark.createDataFrame([], self._schema)
+        ts_type = self._schema[self.ts].dataType
+        cond = F.col(self.ts) < F.lit(_text(hi_us)).cast(ts_type)
+        if lo_us is not None:
+            cond = cond & (F.col(self.ts) >= F.lit(_text(lo_us)).cast(ts_type))
         return stored.filter(cond).drop("__pane", "batch")
 
-    def _windows(self, stored, t: TopicSpec, prev_wm, new_wm) -> DataFrame:
-        """Windowed rows of ``t`` whose window closes in ``(prev_wm, new_wm]``."""
-        wdelta = F.expr(f"INTERVAL {t.window_us} MICROSECONDS")
-        cand = self._rows_between(stored, None if prev_wm is None else prev_wm - wdelta, new_wm)
+    def _windows(self, spark, t: TopicSpec, prev_us, new_us) -> DataFrame:
+        """Windowed rows of ``t`` whose window closes in ``(prev, new]``."""
+        cand = self._rows_between(spark, None if prev_us is None else prev_us - t.window_us, new_us)
         rows = assign_windows(cand, t.window_us / 1e6, t.slide_us / 1e6, t.origin_us / 1e6, ts=self.ts)
-        closing = F.col(WINDOW_END) <= new_wm
-        if prev_wm is not None:
-            closing = closing & (F.col(WINDOW_END) > prev_wm)
+        ts_type = self._schema[self.ts].dataType
+        closing = F.col(WINDOW_END) <= F.lit(_text(new_us)).cast(ts_type)
+        if prev_us is not None:
+            closing = closing & (F.col(WINDOW_END) > F.lit(_text(prev_us)).cast(ts_type))
         return rows.filter(closing)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         t0 = time.perf_counter()
         spark = batch.sparkSession
+        self._schema = batch.schema
+        self._stored_schema = StructType(list(batch.schema.fields) + [
+            StructField("__pane", StringType()), StructField("batch", LongType())])
         rows_dir, prog_dir, index_dir = (f"{self.state}/{k}" for k in ("rows", "progress", "windows"))
-        # 1. store this batch's rows by pane (idempotent per batch id)
-        (batch.withColumn("__pane", self._pane_key(F.col(self.ts)))
-              .write.mode("overwrite").partitionBy("__pane").parquet(f"{rows_dir}/batch={batch_id}"))
-        stored = spark.read.parquet(rows_dir)
-        # 2. progress: this batch's max event time; watermark = max over batches so far.
+        # 1. store this batch's rows by pane; dynamic overwrite replaces only this
+        #    batch's folders, so a retried batch writes the same files once. The
+        #    batch's max event time is observed in the same pass.
+        seen_max = Observation(f"max_ts_{uuid.uuid4().hex[:8]}")
+        (batch.observe(seen_max, F.date_format(F.max(self.ts), _TEXT_FMT).alias("m"))
+              .withColumn("__pane", self._pane_key(F.col(self.ts)))
+              .withColumn("batch", F.lit(batch_id).cast("long"))
+              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+              .partitionBy("__pane", "batch").parquet(rows_dir))
+        batch_max = seen_max.get.get("m")
+        # 2. progress log; watermark = max event time over batches so far.
         #    Times travel as fixed-width text, so text order is time order.
-        fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-        batch_max = (spark.read.parquet(f"{rows_dir}/batch={batch_id}")
-                     .agg(F.date_format(F.max(self.ts), fmt)).collect()[0][0])
         (spark.createDataFrame([(batch_id, batch_max)], "batch BIGINT, max_ts STRING")
               .write.mode("overwrite").parquet(f"{prog_dir}/b={batch_id}"))
         if self._last is not None and self._last[0] == batch_id - 1:
@@ -147,16 +194,13 @@ class TopicGroupStream:
                     .agg(F.max("max_ts")).collect()[0][0])
         new = max((m for m in (prev, batch_max) if m is not None), default=None)
         self._last = (batch_id, new)
-        marks = {"prev": prev, "new": new}
         log.debug("batch %d: rows stored, watermark %s -> %s at %.2fs", batch_id, prev, new,
                   time.perf_counter() - t0)
-        if marks["new"] is None:
+        if new is None:
             return
-        ts_type = stored.schema[self.ts].dataType
-        delay = F.expr(f"INTERVAL {self.delay_us} MICROSECONDS")
-        new_wm = F.lit(marks["new"]).cast(ts_type) - delay
-        prev_wm = None if marks["prev"] is None else F.lit(marks["prev"]).cast(ts_type) - delay
-        closing = {t.name: self._windows(stored, t, prev_wm, new_wm) for t in self.topics}
+        new_us = _micros(new) - self.delay_us
+        prev_us = None if prev is None else _micros(prev) - self.delay_us
+        closing = {t.name: self._windows(spark, t, prev_us, new_us) for t in self.topics}
         names = [t.name for t in self.topics]
         refs = {t.name: (referenced_topics(t.ql, [n for n in names if n != t.name]) if t.ql else [])
                 for t in self.topics}
@@ -185,7 +229,8 @@ class TopicGroupStream:
                         other = next(o for o in self.topics if o.name == n)
                         seen = (spark.read.parquet(f"{index_dir}/topic={n}")
                                 .filter(F.col("batch") <= batch_id).select(WINDOW_END))
-                        others.append((n, self._seen_rows(stored, other, seen, rows, t), n in names[:names.index(t.name)]))
+                        earlier = n in names[:names.index(t.name)]
+                        others.append((n, self._seen_rows(spark, other, seen, rows), earlier))
                     wins, orefs = windows_with_views(rows, others)
                     result = windowed_sql(rows, t.name, t.ql, lane=self._lanes[t.name], windows=wins,
                                           others=orefs, check=False)
@@ -195,26 +240,21 @@ class TopicGroupStream:
                  .parquet(f"{self.sink_for(t.name).rstrip('/')}/batch_id={batch_id}"))
             log.debug("batch %d: topic %s written at %.2fs", batch_id, t.name, time.perf_counter() - t0)
 
-    def _seen_rows(self, stored, other: TopicSpec, other_ends: DataFrame, rows, reader: TopicSpec):
+    def _seen_rows(self, spark, other: TopicSpec, other_ends: DataFrame, rows: DataFrame) -> DataFrame:
         """Rows of ``other``'s windows that the reader's closing windows can see.
 
-        Only windows at or before the reader's latest closing window matter,
-        and only the latest one before each reader window; the pane filter
-        keeps the read to those windows' time range.
+        Only the latest fired window of ``other`` at or before each reader
+        window matters; the store read is limited to those windows' range.
         """
-        spark = stored.sparkSession
-        fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
         reader_ends = rows.select(WINDOW_END).distinct()
         seen = asof_latest(reader_ends, WINDOW_END, other_ends, WINDOW_END, "__seen", inclusive=True).unionByName(
             asof_latest(reader_ends, WINDOW_END, other_ends, WINDOW_END, "__seen", inclusive=False))
-        bounds = seen.agg(F.date_format(F.min("__seen"), fmt).alias("lo"),
-                          F.date_format(F.max("__seen"), fmt).alias("hi")).collect()[0]
-        ts_type = stored.schema[self.ts].dataType
+        bounds = seen.agg(F.date_format(F.min("__seen"), _TEXT_FMT).alias("lo"),
+                          F.date_format(F.max("__seen"), _TEXT_FMT).alias("hi")).collect()[0]
         if bounds["lo"] is None:
-            cand = stored.limit(0).drop("__pane", "batch")
+            cand = spark.createDataFrame([], self._schema)
         else:
-            lo = F.lit(bounds["lo"]).cast(ts_type) - F.expr(f"INTERVAL {other.window_us} MICROSECONDS")
-            cand = self._rows_between(stored, lo, F.lit(bounds["hi"]).cast(ts_type))
+            cand = self._rows_between(spark, _micros(bounds["lo"]) - other.window_us, _micros(bounds["hi"]))
         orows = assign_windows(cand, other.window_us / 1e6, other.slide_us / 1e6, other.origin_us / 1e6,
                                ts=self.ts)
         return orows.join(other_ends.distinct(), WINDOW_END, "left_semi")
