@@ -51,7 +51,9 @@ def assign_windows(df: DataFrame, window, slide=None, origin=0, ts: str = "ts",
     """Tag every row with each window it belongs to."""
     w, s, o = window_params(window, slide, origin)
     tmp = "__slidecast_w"
-    out = df.withColumn(tmp, window_struct(ts, interval_text(w), interval_text(s), interval_text(o)))
+    # A row without an arrival time belongs to no window.
+    out = (df.filter(F.col(ts).isNotNull())
+           .withColumn(tmp, window_struct(ts, interval_text(w), interval_text(s), interval_text(o))))
     end = F.col(f"{tmp}.end")
     if s <= w:
         start = F.col(f"{tmp}.start")

@@ -72,3 +72,8 @@ def test_topic_name_does_not_leak(spark, events_of):
     rows = assign_windows(events_of([(1, 1, "view", 1.0)]), 5)
     windowed_sql(rows, "leaky_topic", "select * from leaky_topic", lane="loop").count()
     assert "leaky_topic" not in [t.name for t in spark.catalog.listTables()]
+
+
+def test_rows_without_time_belong_to_no_window(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "event_id BIGINT, ts TIMESTAMP_NTZ")
+    assert windowed_sql(assign_windows(df, 5), "t", "select count(*) as n from t").count() == 0
