@@ -94,9 +94,16 @@ def analyse_topic_sql(spark: SparkSession, name: str, ql: str, schema: StructTyp
     return df, ("loop" if any(m in plan for m in LOOP_MARKERS) else "plan")
 
 
+_LANES: dict[tuple, str] = {}
+
+
 def choose_lane(spark: SparkSession, name: str, ql: str, schema: StructType,
                 others: dict[str, StructType] | None = None) -> str:
-    return analyse_topic_sql(spark, name, ql, schema, others, lane=True)[1]
+    """``"plan"`` or ``"loop"`` for this SQL over this schema (remembered per input)."""
+    key = (name, ql, schema.json(), tuple(sorted((k, v.json()) for k, v in (others or {}).items())))
+    if key not in _LANES:
+        _LANES[key] = analyse_topic_sql(spark, name, ql, schema, others, lane=True)[1]
+    return _LANES[key]
 
 
 @dataclass(frozen=True)

@@ -66,3 +66,23 @@ def test_unsubscribe_stops_only_that_handle(spark, events_of):
     assert not one.isActive and two.isActive
     two.stop()
     assert seen == {"one": 2, "two": 2}
+
+
+def test_hot_window_is_spread_over_tasks(spark):
+    """A window holding a third of all rows is split across tasks, not one."""
+    import os
+    from slidecast.operators.topicsql import _store_by_window
+    from slidecast.operators.windows import assign_windows
+    df = spark.range(0, 6000).select(
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).cast("timestamp").cast("timestamp_ntz")
+        .alias("ts"))
+    rows = assign_windows(df, 10)
+    path = scratch_path(spark, "hot")
+    _store_by_window(rows, path)
+    hot = [d for d in os.listdir(path) if d.startswith("__wkey=w19700101000010")][0]
+    files = [f for f in os.listdir(os.path.join(path, hot)) if f.endswith(".parquet")]
+    assert len(files) >= 2
+    idx = with_row_index(rows, "window_end", ["ts", "event_id"], num_partitions=6)
+    hot_idx = idx.filter(F.col("window_end") == F.lit("1970-01-01 00:00:10").cast("timestamp_ntz"))
+    assert sorted(r.row_index for r in hot_idx.collect()) == list(range(1, hot_idx.count() + 1))
