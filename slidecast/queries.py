@@ -77,17 +77,16 @@ def _duck_env(topic: str, rel: str, cols: list[str]) -> str:
 # ---------------------------------------------------------------- sources (2A)
 
 
-def _log(ev: DataFrame, corrupt_errors: bool) -> DataFrame:
+def _log(ev: DataFrame, corrupt_errors: bool, keep=()) -> DataFrame:
     log = encode(ev, {"event_id": "event_id", "ts": "ts", "user_id": "user_id",
                       "name": "event_type", "text": "props", "value": "value"},
-                 key=F.col("event_id").cast("string"))
+                 key=F.col("event_id").cast("string"), keep=["event_type", *keep])
     if corrupt_errors:
         # Fixture: error events reach the log truncated to half their length.
         text = F.col("value").cast("string")
         cut = F.expr("substring(cast(value as string), 1, cast(length(cast(value as string)) / 2 as int))")
-        is_error = F.get_json_object(text, "$.name") == "error"
-        log = log.withColumn("value", F.when(is_error, cut).otherwise(text).cast("binary"))
-    return log
+        log = log.withColumn("value", F.when(F.col("event_type") == "error", cut).otherwise(text).cast("binary"))
+    return log.drop("event_type")
 
 
 _LOG_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, name STRING, "
@@ -275,7 +274,7 @@ def q_x2_log_to_channel_stream(spark, sf_dir):
     from .sources.replay import replay_stream, stage_replay
     from .streaming.channel import Channel
     ev = _events(spark, sf_dir)
-    log = _log(ev, True).join(ev.select(F.col("event_id").cast("string").alias("key"), "ts"), "key")
+    log = _log(ev, True, keep=["ts"])
     src = stage_replay(log, 4)
     schema = StructType.fromDDL(_LOG_SCHEMA)
     ch = ChannelSpec("tweets_channel", [TopicSpec(

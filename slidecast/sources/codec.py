@@ -25,11 +25,15 @@ TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 JSON_OPTIONS = {"timestampFormat": TS_FORMAT, "timestampNTZFormat": TS_FORMAT}
 
 
-def encode(df: DataFrame, fields: dict[str, Column | str], key: Column | str | None = None) -> DataFrame:
-    """Records → ``key STRING, value BINARY`` (S6). ``key`` may be omitted (null)."""
+def encode(df: DataFrame, fields: dict[str, Column | str], key: Column | str | None = None,
+           keep: Sequence[str] = ()) -> DataFrame:
+    """Records → ``key STRING, value BINARY`` (S6). ``key`` may be omitted (null).
+
+    ``keep`` carries source columns along (e.g. the arrival time for staging).
+    """
     body = F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()])
     key_col = F.lit(None).cast("string") if key is None else (F.col(key) if isinstance(key, str) else key).cast("string")
-    return df.select(key_col.alias("key"), F.to_json(body, JSON_OPTIONS).cast("binary").alias("value"))
+    return df.select(key_col.alias("key"), F.to_json(body, JSON_OPTIONS).cast("binary").alias("value"), *keep)
 
 
 def decode(log: DataFrame, schema: StructType, required: Sequence[str] | None = None,
