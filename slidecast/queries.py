@@ -157,10 +157,7 @@ _HOURLY_SLIDE_SQL = ("select event_type, count(*) as n, sum(user_id) as users_su
 
 def q_w1b_sliding_pane_agg(spark, sf_dir):
     """1-day windows every hour as an aggregate topic: panes, no per-row copies."""
-    t = TopicSpec("hourly_day", window=DAY, slide=HOUR, aggregate=(
-        ("event_type",), (("n", "count", "*"), ("users_sum", "sum", "user_id"),
-                          ("vmin", "min", "value"), ("vmax", "max", "value"))))
-    return run_topic(_events(spark, sf_dir), t)
+    return run_topic(_events(spark, sf_dir), _pane_topic())
 
 
 def q_w1c_sliding_sql_same(spark, sf_dir):
@@ -168,6 +165,18 @@ def q_w1c_sliding_sql_same(spark, sf_dir):
     return _topic(spark, sf_dir, "hourly_day", _HOURLY_SLIDE_SQL.format(t="hourly_day"), DAY, HOUR)
 
 
+def _pane_topic() -> TopicSpec:
+    return TopicSpec("hourly_day", window=DAY, slide=HOUR, aggregate=(
+        ("event_type",), (("n", "count", "*"), ("users_sum", "sum", "user_id"),
+                          ("vmin", "min", "value"), ("vmax", "max", "value"))))
+
+
+def q_w7c_stream_pane_agg(spark, sf_dir):
+    """The aggregate-form topic on a stream: chained pane aggregation, closed windows."""
+    from .streaming.lanes import stream_pane_agg_replay
+    return stream_pane_agg_replay(spark, _events(spark, sf_dir), _pane_topic(), n_files=4)
+
+
 def q_w7_stream_equals_batch(spark, sf_dir):
     from .streaming.lanes import stream_sql_topic_replay
     t = TopicSpec("sliding", COUNT_BY_TYPE.format(t="sliding"), DAY, DAY // 2)
@@ -486,6 +495,7 @@ def registry() -> dict:
         "w5_empty_suppressed": q_w5_empty_suppressed,
         "w7_stream_equals_batch": q_w7_stream_equals_batch,
         "w7b_stream_native_agg": q_w7b_stream_native_agg,
+        "w7c_stream_pane_agg": q_w7c_stream_pane_agg,
         "w8_origin_offset": q_w8_origin_offset,
         "w8b_ragged": q_w8b_ragged,
         "q3_all_records": q_q3_all_records,
@@ -577,6 +587,7 @@ def oracles() -> dict[str, str]:
     }
     out["q5b_cross_topic_stream"] = _closed(out["q5_cross_topic_asof"])
     out["w1c_sliding_sql_same"] = out["w1b_sliding_pane_agg"]
+    out["w7c_stream_pane_agg"] = _closed(out["w1b_sliding_pane_agg"])
     ok = "(SELECT * FROM events WHERE event_type <> 'error')"
     out["x2_log_to_channel_stream"] = (
         f"SELECT 'tweets_channel' AS channel, 'top_users' AS topic, window_start, window_end, "

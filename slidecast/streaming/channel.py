@@ -18,7 +18,7 @@ from ..plans.delivery import envelope, subscribe_stream
 from ..plans.spec import ChannelSpec, resolve_pipeline
 from ..session import scratch_path
 from ..sources.replay import replay_stream, stage_replay
-from .lanes import read_sink, start_sql_topic, start_topic_group
+from .lanes import read_sink, start_native_topic, start_sql_topic, start_topic_group
 
 
 def _qname(channel: str, topic: str) -> str:
@@ -49,7 +49,15 @@ class Channel:
         trigger = None if available_now else f"{self.spec.batch_interval} seconds"
         started = []
         for group in topic_groups(self.spec.topics):
-            if len(group) == 1:
+            if len(group) == 1 and group[0].aggregate is not None:
+                t = group[0]
+                started.append(start_native_topic(
+                    records, t, f"{self.sink}/channel={ch}/topic={t.name}",
+                    f"{self.state_root}/{ch}/{t.name}/checkpoint", ts=ts, available_now=available_now,
+                    query_name=_qname(ch, t.name),
+                    to_output=lambda df, name=t.name: envelope(df, ch, name).drop("channel", "topic"),
+                    processing_time=trigger))
+            elif len(group) == 1:
                 t = group[0]
                 started.append(start_sql_topic(
                     records, t, f"{self.sink}/channel={ch}/topic={t.name}",
