@@ -22,6 +22,7 @@ from pyspark.sql.types import StringType, StructField, StructType, TimestampNTZT
 
 from ..operators.ordering import with_row_index
 from ..operators.windows import WINDOW_END, WINDOW_START
+from ..sources.codec import JSON_OPTIONS
 
 ENVELOPE_COLUMNS = ("channel", "topic", WINDOW_START, WINDOW_END, "columns", "payload")
 
@@ -34,7 +35,7 @@ def envelope(result: DataFrame, channel: str, topic: str) -> DataFrame:
         F.col(WINDOW_START).cast("timestamp_ntz").alias(WINDOW_START),
         F.col(WINDOW_END).cast("timestamp_ntz").alias(WINDOW_END),
         F.lit(",".join(cols)).alias("columns"),
-        F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("payload"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]), JSON_OPTIONS).alias("payload"),
         *([F.col("row_index")] if "row_index" in result.columns else []))
     return out
 

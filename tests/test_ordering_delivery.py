@@ -86,3 +86,11 @@ def test_hot_window_is_spread_over_tasks(spark):
     idx = with_row_index(rows, "window_end", ["ts", "event_id"], num_partitions=6)
     hot_idx = idx.filter(F.col("window_end") == F.lit("1970-01-01 00:00:10").cast("timestamp_ntz"))
     assert sorted(r.row_index for r in hot_idx.collect()) == list(range(1, hot_idx.count() + 1))
+
+
+def test_envelope_keeps_microseconds(spark, events_of):
+    from slidecast.operators.topicsql import windowed_sql
+    from slidecast.operators.windows import assign_windows
+    ev = events_of([(1.123456, 1, "view", 1.0)])
+    env = envelope(windowed_sql(assign_windows(ev, 5), "t", "select ts from t"), "c", "t").collect()
+    assert env[0].payload == '{"ts":"1970-01-01T00:00:01.123456"}' and env[0].columns == "ts"
