@@ -24,6 +24,7 @@ decorrelate goes to the loop).
 
 from __future__ import annotations
 
+import itertools
 import logging
 import time
 import uuid
@@ -207,17 +208,19 @@ def _loop_lane(spark, rows, windows, topic, ql, record_cols, others, chunk) -> D
     sel = [F.date_format(WINDOW_START, fmt).alias("s"), F.date_format(WINDOW_END, fmt).alias("e"),
            _window_key(F.col(WINDOW_END)).alias("k")]
     sel += [_window_key(F.col(o.end_col)).alias(f"k{i}") for i, o in enumerate(others)]
-    # The window list is metadata (one small row per window), bounded by the
-    # time span over the slide, not by the data volume.
-    win_list = windows.select(*sel).orderBy("e").collect()
-    log.debug("loop lane %s: rows stored, %d windows listed in %.2fs", topic, len(win_list), time.perf_counter() - t0)
+    # The window list is metadata (one small row per window, bounded by the
+    # time span over the slide, not by the data volume); it is streamed to the
+    # driver one partition at a time and consumed chunk by chunk.
+    win_iter = windows.select(*sel).orderBy("e").toLocalIterator()
+    first = list(itertools.islice(win_iter, chunk + 1))
+    log.debug("loop lane %s: rows stored, windows listed in %.2fs", topic, time.perf_counter() - t0)
 
     private = spark.newSession()
     empty_schema = analyse_topic_sql(spark, topic, ql, rows.select(*record_cols).schema,
                                      {o.name: o.rows.select(*[c for c in o.rows.columns
                                                              if c not in RESERVED]).schema
                                       for o in others}).schema
-    if not win_list:
+    if not first:
         fields = rows.select(WINDOW_START, WINDOW_END).schema.fields + empty_schema.fields
         return spark.createDataFrame([], StructType(fields))
     # Each stored table is listed once; every window's CTE prunes to its folder.
@@ -239,14 +242,18 @@ def _loop_lane(spark, rows, windows, topic, ql, record_cols, others, chunk) -> D
                 f"(WITH {', '.join(ctes)} SELECT * FROM ({ql}) __t) __q")
 
     # One statement per chunk: the windows' plans are analysed together.
-    blocks = [private.sql(" UNION ALL ".join(one_window(w) for w in win_list[lo:lo + chunk]))
-              for lo in range(0, len(win_list), chunk)]
-    log.debug("loop lane %s: %d window plans built at %.2fs", topic, len(win_list), time.perf_counter() - t0)
-    if len(blocks) == 1:
-        return blocks[0]
+    def block(ws) -> DataFrame:
+        return private.sql(" UNION ALL ".join(one_window(w) for w in ws))
+
+    if len(first) <= chunk:
+        log.debug("loop lane %s: %d window plans built at %.2fs", topic, len(first), time.perf_counter() - t0)
+        return block(first)
     # Several chunks: land each in the shared folder so no plan grows with the
     # number of windows and a lost executor repeats only its chunk.
     out_path = scratch_path(spark, "loop-out")
-    for block in blocks:
-        block.write.mode("append").parquet(out_path)
+    pending = first
+    while pending:
+        block(pending[:chunk]).write.mode("append").parquet(out_path)
+        pending = pending[chunk:] + list(itertools.islice(win_iter, chunk - len(pending[chunk:])))
+    log.debug("loop lane %s: chunks written at %.2fs", topic, time.perf_counter() - t0)
     return spark.read.parquet(out_path)

@@ -77,3 +77,9 @@ def test_topic_name_does_not_leak(spark, events_of):
 def test_rows_without_time_belong_to_no_window(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "event_id BIGINT, ts TIMESTAMP_NTZ")
     assert windowed_sql(assign_windows(df, 5), "t", "select count(*) as n from t").count() == 0
+
+
+def test_loop_chunks_equal_one_chunk(rows):
+    ql = ("select a.event_type, count(b.event_id) as n from (select distinct event_type from t) a "
+          "left join (select * from t where value > 100) b on a.event_type = b.event_type group by a.event_type")
+    assert canon(windowed_sql(rows, "t", ql, loop_chunk=3)) == canon(windowed_sql(rows, "t", ql))
