@@ -83,3 +83,11 @@ def test_loop_chunks_equal_one_chunk(rows):
     ql = ("select a.event_type, count(b.event_id) as n from (select distinct event_type from t) a "
           "left join (select * from t where value > 100) b on a.event_type = b.event_type group by a.event_type")
     assert canon(windowed_sql(rows, "t", ql, loop_chunk=3)) == canon(windowed_sql(rows, "t", ql))
+
+
+@pytest.mark.parametrize("name", ["w", "q", "r", "o", "window_end"])
+def test_topic_names_that_match_internal_aliases(rows, name):
+    ql = f"select {name}.event_type, count(*) as n from {name} group by {name}.event_type"
+    want = canon(windowed_sql(rows, "t", "select t.event_type, count(*) as n from t group by t.event_type"))
+    assert canon(windowed_sql(rows, name, ql)) == want
+    assert canon(windowed_sql(rows, name, ql, lane="loop")) == want
