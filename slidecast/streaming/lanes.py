@@ -244,27 +244,42 @@ class TopicGroupStream:
         self._stored_schema = StructType(list(batch.schema.fields) + [
             StructField("__pane", StringType()), StructField("batch", LongType())])
         rows_dir, prog_dir, index_dir = (f"{self.state}/{k}" for k in ("rows", "progress", "windows"))
-        # 1. store this batch's rows by pane; dynamic overwrite replaces only this
+        # 1. watermark before this batch (kept in memory; read from the progress
+        #    log after a start or restart)
+        if self._last is not None and self._last[0] == batch_id - 1:
+            prev = self._last[1]
+        else:
+            try:
+                prev = (spark.read.parquet(prog_dir).filter(F.col("batch") < batch_id)
+                        .agg(F.max("max_ts")).collect()[0][0])
+            except AnalysisException:  # no progress yet
+                prev = None
+        # 2. store this batch's rows by pane; dynamic overwrite replaces only this
         #    batch's folders, so a retried batch writes the same files once. The
-        #    batch's max event time is observed in the same pass.
-        seen_max = Observation(f"max_ts_{uuid.uuid4().hex[:8]}")
-        (batch.observe(seen_max, F.date_format(F.max(self.ts), _TEXT_FMT).alias("m"))
+        #    batch's max event time, and how many rows arrived after every window
+        #    they belong to had fired (late; kept in the store, never emitted),
+        #    are observed in the same pass.
+        ts_type = batch.schema[self.ts].dataType
+        late = F.lit(False)
+        if prev is not None:
+            horizon = _micros(prev) - self.delay_us - max(t.window_us for t in self.topics)
+            late = F.col(self.ts) < F.lit(_text(horizon)).cast(ts_type)
+        stats = Observation(f"batch_{uuid.uuid4().hex[:8]}")
+        (batch.observe(stats, F.date_format(F.max(self.ts), _TEXT_FMT).alias("m"),
+                       F.count(F.when(late, 1)).alias("late"))
               .withColumn("__pane", self._pane_key(F.col(self.ts)))
               .withColumn("batch", F.lit(batch_id).cast("long"))
               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
               .partitionBy("__pane", "batch").parquet(rows_dir))
-        batch_max = seen_max.get.get("m")
-        # 2. progress log; watermark = max event time over batches so far.
+        batch_max, n_late = stats.get.get("m"), stats.get.get("late", 0)
+        # 3. progress log; watermark = max event time over batches so far.
         #    Times travel as fixed-width text, so text order is time order.
-        (spark.createDataFrame([(batch_id, batch_max)], "batch BIGINT, max_ts STRING")
+        (spark.createDataFrame([(batch_id, batch_max, n_late)], "batch BIGINT, max_ts STRING, late BIGINT")
               .write.mode("overwrite").parquet(f"{prog_dir}/b={batch_id}"))
-        if self._last is not None and self._last[0] == batch_id - 1:
-            prev = self._last[1]
-        else:  # first batch of this process (start or restart): read the progress log
-            prev = (spark.read.parquet(prog_dir).filter(F.col("batch") < batch_id)
-                    .agg(F.max("max_ts")).collect()[0][0])
         new = max((m for m in (prev, batch_max) if m is not None), default=None)
         self._last = (batch_id, new)
+        if n_late:
+            log.warning("batch %d: %d rows arrived after their windows fired", batch_id, n_late)
         log.debug("batch %d: rows stored, watermark %s -> %s at %.2fs", batch_id, prev, new,
                   time.perf_counter() - t0)
         if new is None:
@@ -275,14 +290,14 @@ class TopicGroupStream:
         names = [t.name for t in self.topics]
         refs = {t.name: (referenced_topics(t.ql, [n for n in names if n != t.name]) if t.ql else [])
                 for t in self.topics}
-        # 3. window index of every topic that others read (all topics' windows
+        # 4. window index of every topic that others read (all topics' windows
         #    closing now are indexed first: a later topic fired at its own,
         #    earlier times)
         read_by_others = {n for r in refs.values() for n in r}
         for name in read_by_others:
             (closing[name].select(WINDOW_END).distinct()
                 .write.mode("overwrite").parquet(f"{index_dir}/topic={name}/batch={batch_id}"))
-        # 4. evaluate every topic on its closing windows
+        # 5. evaluate every topic on its closing windows
         for t in self.topics:
             rows = closing[t.name]
             if t.aggregate is not None:

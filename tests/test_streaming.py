@@ -133,3 +133,19 @@ def test_native_pane_stream_equals_batch(spark, w, s):
     want = pane_aggregate(ev, w, s, ["event_type"], list(aggs)).filter(F.col("window_end") <= F.lit(mx))
     cols = ["window_start", "window_end", "event_type", "n", "su", "mx"]
     assert sorted(tuple(r) for r in got.select(cols).collect()) == sorted(tuple(r) for r in want.select(cols).collect())
+
+
+def test_late_rows_are_counted_not_emitted(spark, events_of):
+    path = scratch_path(spark, "late-src")
+    events_of([(100, 1, "view", 1.0), (150, 2, "view", 1.0), (200, 3, "view", 1.0)]).coalesce(1).write.parquet(path)
+    time.sleep(1.1)  # the late file lands later
+    events_of([(1, 4, "view", 1.0), (205, 5, "view", 1.0)]).coalesce(1).write.mode("append").parquet(path)
+    ev_schema = events_of([(1, 1, "view", 1.0)]).schema
+    topic = TopicSpec("t", "select count(*) as n from t", 10, 10)
+    sink, state, ck = (scratch_path(spark, k) for k in ("sink", "state", "ck"))
+    q = start_sql_topic(replay_stream(spark, path, ev_schema), topic, sink, state, ck, available_now=True)
+    q.awaitTermination()
+    prog = spark.read.parquet(f"{state}/progress")
+    assert sum(r.late for r in prog.collect()) == 1
+    ends = sorted(r.window_end.second + 60 * r.window_end.minute for r in read_sink(spark, sink).collect())
+    assert ends == [110, 160]  # [200, 210) is still open at watermark 205
