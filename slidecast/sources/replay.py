@@ -2,8 +2,10 @@
 
 ``stage_replay`` writes a table into ``n`` files by arrival time; reading
 the folder with ``maxFilesPerTrigger = 1`` replays it in ``n``
-micro-batches, in arrival order. On a cluster the landing folder of the
-log plays this part; the broker source below is the production form.
+micro-batches, in arrival order. It is a harness for tests and benchmarks
+(each file is one task's range, so ``n`` also bounds its write parallelism);
+in production the log's landing folder, written by the producer in arrival
+order, or the broker source below is the stream source.
 """
 
 from __future__ import annotations
