@@ -56,6 +56,8 @@ def work_dir(spark: SparkSession) -> str:
             configured = spark.conf.get("spark.checkpoint.dir", None)
         except Exception:  # pragma: no cover - conf lookup can refuse static keys
             configured = None
+    if configured and not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)  # so Dataset.checkpoint() writes there too
     if not configured:
         configured = sc.getCheckpointDir()
     if configured:
