@@ -14,7 +14,7 @@ from .operators.windows import WINDOW_END, WINDOW_START
 from .plans.broker import run_channel, run_topic
 from .plans.delivery import envelopes, messages, publish, subscribe
 from .plans.spec import ChannelSpec, TopicSpec, compose
-from .session import scratch_path
+from .session import scratch_path, stream_session
 from .sources.codec import bbox_filter, decode, encode, project_record
 from .sources.tables import read_events
 
@@ -290,7 +290,7 @@ def q_x2_log_to_channel_stream(spark, sf_dir):
         "top_users", "select name, count(*) as tweets from top_users group by name order by tweets",
         DAY, DAY, "tweets_channel")], pipeline=lambda df: decode(df.select("key", "value"), schema))
     chan = Channel(spark, ch, scratch_path(spark, "x2-sink"), scratch_path(spark, "x2-state"))
-    for q in chan.start(replay_stream(spark, src, log.schema), available_now=True):
+    for q in chan.start(replay_stream(stream_session(spark), src, log.schema), available_now=True):
         q.awaitTermination()
     return chan.results().select("channel", "topic", WINDOW_START, WINDOW_END, "columns", "payload")
 

@@ -43,6 +43,23 @@ def get_spark(master: str | None = None, app: str = "slidecast",
     return spark
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session for starting streaming queries from a bounded replay.
+
+    Stateful operators fix their partition count at the first run; here it
+    is the cluster's parallelism (one state partition per core) rather than
+    a large static default, and state lives in RocksDB. The caller's session
+    is left as it is.
+    """
+    ss = spark.newSession()
+    cores = spark.sparkContext.defaultParallelism
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ss.conf.set("spark.sql.shuffle.partitions", str(max(1, min(parts, cores))))
+    ss.conf.set("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return ss
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.crosstopic import referenced_topics
 from ..plans.delivery import envelope, subscribe_stream
 from ..plans.spec import ChannelSpec, resolve_pipeline
-from ..session import scratch_path
+from ..session import scratch_path, stream_session
 from ..sources.replay import replay_stream, stage_replay
 from .lanes import read_sink, start_native_topic, start_sql_topic, start_topic_group
 
@@ -31,10 +31,18 @@ class Channel:
         self.spec = spec.validate()
         self.sink = sink.rstrip("/")
         self.state_root = state_root.rstrip("/")
+        self._started: list[StreamingQuery] = []
+        self._sessions: list[SparkSession] = []
 
     def queries(self) -> list[StreamingQuery]:
+        """This channel's active queries (started here, or found in the session)."""
         prefix = f"{self.spec.name}."
-        return [q for q in self.spark.streams.active if (q.name or "").startswith(prefix)]
+        found = {q.id: q for q in self._started if q.isActive}
+        for session in {id(s): s for s in (self.spark, *self._sessions)}.values():
+            for q in session.streams.active:
+                if (q.name or "").startswith(prefix):
+                    found.setdefault(q.id, q)
+        return list(found.values())
 
     @property
     def is_running(self) -> bool:
@@ -44,6 +52,7 @@ class Channel:
         """Start one query per topic; idempotent while the channel runs."""
         if self.is_running:
             return self.queries()
+        self._sessions.append(source.sparkSession)
         records = resolve_pipeline(self.spec.pipeline)(source)
         ch = self.spec.name
         trigger = None if available_now else f"{self.spec.batch_interval} seconds"
@@ -73,6 +82,7 @@ class Channel:
                     _qname(ch, key), ts=ts, available_now=available_now,
                     to_output=lambda name, df: envelope(df, ch, name).drop("channel", "topic"),
                     processing_time=trigger))
+        self._started.extend(started)
         return started
 
     def stop(self, graceful: bool = True) -> None:
@@ -123,7 +133,7 @@ def lifecycle_roundtrip(spark: SparkSession, events: DataFrame, spec: ChannelSpe
     """Start a channel over a replayed stream, check it is listed, drain, stop, read results."""
     src = stage_replay(events, n_files)
     chan = Channel(spark, spec, scratch_path(spark, "channel-sink"), scratch_path(spark, "channel-state"))
-    stream = replay_stream(spark, src, events.schema)
+    stream = replay_stream(stream_session(spark), src, events.schema)
     first = chan.start(stream, available_now=True)
     again = chan.start(stream, available_now=True)
     if chan.is_running and len(again) != len(first):

@@ -38,7 +38,7 @@ from ..operators.crosstopic import referenced_topics, windows_with_views
 from ..operators.topicsql import choose_lane, windowed_sql
 from ..operators.windows import WINDOW_END, WINDOW_START, assign_windows, window_struct
 from ..plans.spec import TopicSpec
-from ..session import scratch_path
+from ..session import scratch_path, stream_session
 from ..sources.replay import replay_stream, stage_replay
 
 _KEY_FMT = "yyyyMMddHHmmssSSSSSS"
@@ -155,7 +155,8 @@ def stream_pane_agg_replay(spark: SparkSession, df: DataFrame, topic: TopicSpec,
     """An aggregate-form topic over a replayed stream (native pane lane)."""
     src = stage_replay(df, n_files)
     sink, ck = scratch_path(spark, "pane-sink"), scratch_path(spark, "pane-ckpt")
-    start_native_topic(replay_stream(spark, src, df.schema), topic, sink, ck, available_now=True).awaitTermination()
+    start_native_topic(replay_stream(stream_session(spark), src, df.schema), topic, sink, ck,
+                       available_now=True).awaitTermination()
     return read_sink(spark, sink)
 
 
@@ -393,7 +394,7 @@ def run_passthrough_replay(spark: SparkSession, df: DataFrame, n_files: int = 4)
     """S1r: replay a table as a stream of ``n_files`` micro-batches into a file sink."""
     src = stage_replay(df, n_files)
     out, ck = scratch_path(spark, "replay-sink"), scratch_path(spark, "replay-ckpt")
-    q = (replay_stream(spark, src, df.schema).writeStream.format("parquet")
+    q = (replay_stream(stream_session(spark), src, df.schema).writeStream.format("parquet")
          .option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out)
@@ -404,7 +405,8 @@ def stream_sql_topic_replay(spark: SparkSession, df: DataFrame, topic: TopicSpec
     """A SQL topic over a replayed stream; closed windows only."""
     src = stage_replay(df, n_files)
     sink, state, ck = (scratch_path(spark, k) for k in ("topic-sink", "topic-state", "topic-ckpt"))
-    q = start_sql_topic(replay_stream(spark, src, df.schema), topic, sink, state, ck, available_now=True)
+    q = start_sql_topic(replay_stream(stream_session(spark), src, df.schema), topic, sink, state, ck,
+                        available_now=True)
     q.awaitTermination()
     return read_sink(spark, sink)
 
@@ -414,7 +416,7 @@ def stream_native_agg_replay(spark: SparkSession, df: DataFrame, window, slide,
     """W7 native lane over a replayed stream; append mode emits closed windows."""
     src = stage_replay(df, n_files)
     out, ck = scratch_path(spark, "agg-sink"), scratch_path(spark, "agg-ckpt")
-    agg = native_agg_stream(replay_stream(spark, src, df.schema), window, slide, keys, aggs)
+    agg = native_agg_stream(replay_stream(stream_session(spark), src, df.schema), window, slide, keys, aggs)
     q = (agg.writeStream.outputMode("append").format("parquet").option("path", out)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
