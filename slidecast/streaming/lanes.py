@@ -317,7 +317,7 @@ class TopicGroupStream:
                         seen = (spark.read.parquet(f"{index_dir}/topic={n}")
                                 .filter(F.col("batch") <= batch_id).select(WINDOW_END))
                         earlier = n in names[:names.index(t.name)]
-                        others.append((n, self._seen_rows(spark, other, seen, rows), earlier))
+                        others.append((n, self._seen_rows(spark, other, seen, prev_us, new_us), earlier))
                     wins, orefs = windows_with_views(rows, others)
                     result = windowed_sql(rows, t.name, t.ql, lane=self._lanes[t.name], windows=wins,
                                           others=orefs, check=False)
@@ -327,18 +327,23 @@ class TopicGroupStream:
                  .parquet(f"{self.sink_for(t.name).rstrip('/')}/batch_id={batch_id}"))
             log.debug("batch %d: topic %s written at %.2fs", batch_id, t.name, time.perf_counter() - t0)
 
-    def _seen_rows(self, spark, other: TopicSpec, other_ends: DataFrame, rows: DataFrame) -> DataFrame:
+    def _seen_rows(self, spark, other: TopicSpec, other_ends: DataFrame, prev_us, new_us) -> DataFrame:
         """Rows of ``other``'s windows that the reader's closing windows can see.
 
-        Only the latest fired window of ``other`` at or before each reader
-        window matters; the store read is limited to those windows' range.
+        Closing windows end in ``(prev, new]``, so the windows they can see
+        run from the latest fired window ending at or before ``prev`` (or the
+        first one) to the latest ending at or before ``new``; one small
+        aggregate over the window index finds that range, and the store read
+        is limited to it.
         """
-        reader_ends = rows.select(WINDOW_END).distinct()
-        seen = asof_latest(reader_ends, WINDOW_END, other_ends, WINDOW_END, "__seen", inclusive=True).unionByName(
-            asof_latest(reader_ends, WINDOW_END, other_ends, WINDOW_END, "__seen", inclusive=False))
-        bounds = seen.agg(F.date_format(F.min("__seen"), _TEXT_FMT).alias("lo"),
-                          F.date_format(F.max("__seen"), _TEXT_FMT).alias("hi")).collect()[0]
-        if bounds["lo"] is None:
+        ts_type = self._schema[self.ts].dataType
+        e = F.col(WINDOW_END)
+        lo_first = F.max(F.when(e <= F.lit(_text(prev_us)).cast(ts_type), e)) if prev_us is not None else F.lit(None)
+        bounds = other_ends.agg(
+            F.date_format(F.coalesce(lo_first, F.min(e)), _TEXT_FMT).alias("lo"),
+            F.date_format(F.max(F.when(e <= F.lit(_text(new_us)).cast(ts_type), e)), _TEXT_FMT).alias("hi"),
+        ).collect()[0]
+        if bounds["lo"] is None or bounds["hi"] is None:
             cand = spark.createDataFrame([], self._schema)
         else:
             cand = self._rows_between(spark, _micros(bounds["lo"]) - other.window_us, _micros(bounds["hi"]))
