@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.durations import interval_text
-from ..operators.asof import asof_latest
 from ..operators.crosstopic import referenced_topics, windows_with_views
 from ..operators.topicsql import choose_lane, windowed_sql
 from ..operators.windows import WINDOW_END, WINDOW_START, assign_windows, window_struct
