@@ -149,3 +149,22 @@ def test_late_rows_are_counted_not_emitted(spark, events_of):
     assert sum(r.late for r in prog.collect()) == 1
     ends = sorted(r.window_end.second + 60 * r.window_end.minute for r in read_sink(spark, sink).collect())
     assert ends == [110, 160]  # [200, 210) is still open at watermark 205
+
+
+def test_channel_mixes_sql_and_aggregate_topics(spark):
+    from slidecast.plans.broker import run_channel
+    from slidecast.plans.delivery import envelopes
+    from slidecast.streaming.channel import lifecycle_roundtrip
+    ev = read_events(spark, SF001)
+    spec = ChannelSpec("mix", [
+        TopicSpec("by_sql", "select event_type, count(*) as n from by_sql group by event_type", 86400, 43200, "mix"),
+        TopicSpec("by_agg", window=86400, slide=43200, channel="mix",
+                  aggregate=(("event_type",), (("n", "count", "*"),))),
+    ])
+    streamed = lifecycle_roundtrip(spark, ev, spec, n_files=3)
+    mx = ev.agg(F.max("ts")).collect()[0][0]
+    batch = envelopes(run_channel(ev, spec), "mix").filter(F.col("window_end") <= F.lit(mx))
+    cols = ["topic", "window_end", "payload"]
+    got = sorted(tuple(r) for r in streamed.select(cols).collect())
+    assert got == sorted(tuple(r) for r in batch.select(cols).collect())
+    assert {r[0] for r in got} == {"by_sql", "by_agg"}
