@@ -34,6 +34,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.durations import interval_text
 from ..operators.crosstopic import referenced_topics, windows_with_views
+from ..operators.ordering import with_row_index
 from ..operators.topicsql import choose_lane, windowed_sql
 from ..operators.windows import WINDOW_END, WINDOW_START, assign_windows, window_struct
 from ..plans.spec import TopicSpec
@@ -322,6 +323,8 @@ class TopicGroupStream:
                                           others=orefs, check=False)
                 else:
                     result = windowed_sql(rows, t.name, t.ql, lane=self._lanes[t.name], check=False)
+            if t.order_by:
+                result = with_row_index(result, WINDOW_END, list(t.order_by))
             (self.to_output(t.name, result).write.mode("overwrite")
                  .parquet(f"{self.sink_for(t.name).rstrip('/')}/batch_id={batch_id}"))
             log.debug("batch %d: topic %s written at %.2fs", batch_id, t.name, time.perf_counter() - t0)

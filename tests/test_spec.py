@@ -48,3 +48,9 @@ def test_pipelines(spark, events_of):
         resolve_pipeline("missing")
     with pytest.raises(SpecError):
         register_pipeline("x", 3)
+
+
+def test_aggregate_form_validation():
+    TopicSpec("a", window=10, aggregate=(("k",), (("n", "count", "*"),))).validate()
+    with pytest.raises(SpecError):
+        TopicSpec("a", window=10, aggregate=(("k",), (("m", "median", "v"),))).validate()

@@ -168,3 +168,16 @@ def test_channel_mixes_sql_and_aggregate_topics(spark):
     got = sorted(tuple(r) for r in streamed.select(cols).collect())
     assert got == sorted(tuple(r) for r in batch.select(cols).collect())
     assert {r[0] for r in got} == {"by_sql", "by_agg"}
+
+
+def test_stream_keeps_order_as_row_index(spark):
+    from slidecast.plans.broker import run_topic
+    from slidecast.streaming.lanes import stream_sql_topic_replay
+    ev = read_events(spark, SF001)
+    topic = TopicSpec("o", "select event_type, count(*) as n from o group by event_type order by n", 86400, 86400,
+                      order_by=("n", "event_type"))
+    got = stream_sql_topic_replay(spark, ev, topic, n_files=2)
+    mx = ev.agg(F.max("ts")).collect()[0][0]
+    want = run_topic(ev, topic).filter(F.col("window_end") <= F.lit(mx))
+    cols = ["window_end", "event_type", "n", "row_index"]
+    assert sorted(tuple(r) for r in got.select(cols).collect()) == sorted(tuple(r) for r in want.select(cols).collect())
