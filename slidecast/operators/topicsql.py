@@ -11,11 +11,13 @@ Two lanes, same answer:
   it below the broadcast threshold.
 * **loop lane**: for SQL that Spark cannot decorrelate (outer / semi / anti
   joins, subquery expressions, grouping sets), the reference's own
-  execution: the rows are written once, partitioned by window, and the SQL
-  runs per window in a private session (so the topic name cannot clash with
-  the caller's views); windows are unioned in chunks and each chunk is
-  written to the shared work folder, so lineage stays short and a lost
-  executor only repeats one chunk.
+  execution, one evaluation per window: the rows are written once to the
+  shared folder, one folder per window (range-partitioned so a hot window
+  spans several tasks); each window's SQL binds the topic name to its own
+  folder through a CTE, in a private session (so names cannot clash with
+  the caller's views); a chunk of windows is one ``UNION ALL`` statement,
+  and with several chunks each is landed in the shared folder, so no plan
+  grows with the window count and a lost executor repeats one chunk.
 
 The lane is chosen from the analysed plan of the topic SQL against an empty
 table with the topic's schema (an allow-list: anything not known to
