@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_STREAM_SESSIONS: dict[tuple, tuple] = {}
 
 
 def get_spark(master: str | None = None, app: str = "slidecast",
@@ -51,13 +52,16 @@ def stream_session(spark: SparkSession) -> SparkSession:
     a large static default, and state lives in RocksDB. The caller's session
     is left as it is.
     """
-    ss = spark.newSession()
     cores = spark.sparkContext.defaultParallelism
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ss.conf.set("spark.sql.shuffle.partitions", str(max(1, min(parts, cores))))
-    ss.conf.set("spark.sql.streaming.stateStore.providerClass",
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return ss
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), cores))
+    key = (id(spark), parts)
+    if key not in _STREAM_SESSIONS:  # one per caller session: each holds a query manager
+        ss = spark.newSession()
+        ss.conf.set("spark.sql.shuffle.partitions", str(parts))
+        ss.conf.set("spark.sql.streaming.stateStore.providerClass",
+                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        _STREAM_SESSIONS[key] = (spark, ss)
+    return _STREAM_SESSIONS[key][1]
 
 
 def work_dir(spark: SparkSession) -> str:
