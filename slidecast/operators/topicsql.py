@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import scratch_path
+from ..session import private_session, scratch_path
 from .windows import WINDOW_END, WINDOW_START
 
 # Analysed-plan markers that send a topic to the loop lane.
@@ -217,7 +217,7 @@ def _loop_lane(spark, rows, windows, topic, ql, record_cols, others, chunk) -> D
     first = list(itertools.islice(win_iter, chunk + 1))
     log.debug("loop lane %s: rows stored, windows listed in %.2fs", topic, time.perf_counter() - t0)
 
-    private = spark.newSession()
+    private = private_session(spark)
     empty_schema = analyse_topic_sql(spark, topic, ql, rows.select(*record_cols).schema,
                                      {o.name: o.rows.select(*[c for c in o.rows.columns
                                                              if c not in RESERVED]).schema
@@ -247,9 +247,17 @@ def _loop_lane(spark, rows, windows, topic, ql, record_cols, others, chunk) -> D
     def block(ws) -> DataFrame:
         return private.sql(" UNION ALL ".join(one_window(w) for w in ws))
 
+    views = [base_view] + [f"{base_view}_o{i}" for i in range(len(other_paths))]
+
+    def drop_views() -> None:  # plans already hold their relations
+        for v in views:
+            private.catalog.dropTempView(v)
+
     if len(first) <= chunk:
+        out = block(first)
+        drop_views()
         log.debug("loop lane %s: %d window plans built at %.2fs", topic, len(first), time.perf_counter() - t0)
-        return block(first)
+        return out
     # Several chunks: land each in the shared folder so no plan grows with the
     # number of windows and a lost executor repeats only its chunk.
     out_path = scratch_path(spark, "loop-out")
@@ -257,5 +265,6 @@ def _loop_lane(spark, rows, windows, topic, ql, record_cols, others, chunk) -> D
     while pending:
         block(pending[:chunk]).write.mode("append").parquet(out_path)
         pending = pending[chunk:] + list(itertools.islice(win_iter, chunk - len(pending[chunk:])))
+    drop_views()
     log.debug("loop lane %s: chunks written at %.2fs", topic, time.perf_counter() - t0)
     return spark.read.parquet(out_path)

@@ -44,6 +44,15 @@ def get_spark(master: str | None = None, app: str = "slidecast",
     return spark
 
 
+def private_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose temp views the caller never sees
+    (reused per caller session; callers register only uniquely named views)."""
+    key = ("private", id(spark))
+    if key not in _STREAM_SESSIONS:
+        _STREAM_SESSIONS[key] = (spark, spark.newSession())
+    return _STREAM_SESSIONS[key][1]
+
+
 def stream_session(spark: SparkSession) -> SparkSession:
     """A session for starting streaming queries from a bounded replay.
 
