@@ -91,3 +91,10 @@ def test_topic_names_that_match_internal_aliases(rows, name):
     want = canon(windowed_sql(rows, "t", "select t.event_type, count(*) as n from t group by t.event_type"))
     assert canon(windowed_sql(rows, name, ql)) == want
     assert canon(windowed_sql(rows, name, ql, lane="loop")) == want
+
+
+def test_loop_lane_leaves_no_views(spark, events_of):
+    from slidecast.session import private_session
+    rows = assign_windows(events_of([(1, 1, "view", 1.0), (7, 2, "click", 2.0)]), 5)
+    windowed_sql(rows, "t", "select * from t", lane="loop").count()
+    assert not [t.name for t in private_session(spark).catalog.listTables() if t.name.startswith("__sc_")]
