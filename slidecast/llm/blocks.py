@@ -3,10 +3,11 @@
 Entries (col, salt, node, n) say that a node (a set of n shingles, named by
 its hash) stands in a block ``col``. Each block pairs its members with a hub;
 a hot block is cut into sub-blocks (``salt`` of 0 or more) whose hubs meet in a
-second step. Pairs within the size bound are checked over the whole sets. What
-shares a block and is still in different components afterwards is paired by a
-join on the block, so that every link between components that some block
-holds is found, whatever the hubs were.
+second step. Pairs within the size bounds are checked over the whole sets. What
+shares a block and is still in different components afterwards meets some
+hubs more, and what is split even then is paired by a join on the block, so
+that every link between components that some block holds is found, whatever
+the hubs were.
 """
 
 from __future__ import annotations
@@ -24,6 +25,12 @@ from .graph import components
 NUM, DEN = 80, 100  # links have a Jaccard similarity of NUM / DEN or more
 HOT_BLOCK = 4096
 HUB_BLOCK = 256
+MORE_HUBS = (12, 24)
+
+
+def placed_size(n: str, pos: str):
+    """Set size and place in the set's order of blocks, packed in one number."""
+    return F.shiftleft(F.col(n), 32) + F.col(pos)
 
 
 def salts(weight: np.ndarray, node: int) -> np.ndarray:
@@ -67,8 +74,15 @@ def _hubs(entries: DataFrame) -> DataFrame:
 
 
 def _near(a: str, b: str):
-    """The size bound on a pair."""
-    return F.expr(f"{DEN} * least({a}, {b}) >= {NUM} * greatest({a}, {b})")
+    """The size bounds on a pair that meets in a block, from packed sizes and places.
+
+    A link needs an overlap of at least ``o = NUM (n_a + n_b) / (NUM + DEN)``. Sizes must allow it, and the first
+    block that the two share must come no later than place ``n - o`` in either (all before it are misses).
+    """
+    size, place = (lambda x: f"shiftright({x}, 32)"), (lambda x: f"({x} & 4294967295L)")
+    need = f"({NUM} * ({size(a)} + {size(b)}))"
+    late = " AND ".join(f"{NUM + DEN} * ({size(x)} - {place(x)}) >= {need}" for x in (a, b))
+    return F.expr(f"{DEN} * least({size(a)}, {size(b)}) >= {NUM} * greatest({size(a)}, {size(b)}) AND {late}")
 
 
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,23 +137,36 @@ def link_blocks(entries: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         _with_members(met.filter(_near("hub_n", "n")).select("hub", "node").distinct()), f"{tag}-pairs")
     texts = materialize(texts_of(met.select("node").union(met.select("hub")).distinct()), f"{tag}-texts")
     links = materialize(_count_overlaps(pairs, texts), f"{tag}-links")
-
-    # Pairs that share a block and are in different components still.
-    comps = materialize(components(links), f"{tag}-components")
+    tested = pairs.select(F.col("hub").alias("x"), F.col("node").alias("y"))
     entry = near.select("col", F.col("hub").alias("node"), F.col("hub_n").alias("n")).union(
         near.select("col", "node", "n")).distinct()
-    placed = entry.join(comps, "node", "left").select(
-        "col", "node", "n", F.coalesce("component", "node").alias("comp"))
-    split = placed.groupBy("col").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo < hi AND k > 2")
-    rest = materialize(placed.join(split.select("col"), "col"), f"{tag}-rest")
-    other = rest.select("col", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-    more = rest.join(other, "col").filter(
-        (F.col("hub_comp") < F.col("comp")) & _near("hub_n", "n")).select("hub", "node").distinct()
-    tested = pairs.select(F.col("hub").alias("x"), F.col("node").alias("y"))
-    more = more.join(tested, (F.col("hub") == F.col("x")) & (F.col("node") == F.col("y")), "left_anti").join(
-        tested, (F.col("hub") == F.col("y")) & (F.col("node") == F.col("x")), "left_anti")
-    more = materialize(_with_members(more), f"{tag}-more")
-    if more.isEmpty():
-        return links
-    return links.union(materialize(_count_overlaps(more, texts), f"{tag}-more-links"))
+
+    # Blocks whose members are in different components still: first against some hubs more (all of them in a small
+    # block), then, in the large blocks that this leaves split, every pair across components.
+    comps = materialize(components(links), f"{tag}-components")
+    for turn, some in enumerate((*MORE_HUBS, None)):
+        placed = entry.join(comps, "node", "left").select(
+            "col", "node", "n", F.coalesce("component", "node").alias("comp"))
+        split = placed.groupBy("col").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).filter(
+            f"lo < hi AND k > {2 if turn == 0 else 2 * MORE_HUBS[0] - 1}")
+        rest = materialize(placed.join(split.select("col", "k"), "col"), f"{tag}-rest")
+        if rest.isEmpty():
+            break
+        other = rest.filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.expr(f"greatest(1L, k div {some}L)")) == 0) if some else rest
+        other = other.select("col", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+        # Where every member is a hub, each pair is met from one side only.
+        once = f"k < {2 * some}" if some else "true"
+        more = rest.join(other, "col").filter(
+            F.expr(f"hub_comp <> comp AND (NOT ({once}) OR hub < node)") & _near("hub_n", "n")).select("hub", "node").distinct()
+        more = more.join(tested, (F.col("hub") == F.col("x")) & (F.col("node") == F.col("y")), "left_anti").join(
+            tested, (F.col("hub") == F.col("y")) & (F.col("node") == F.col("x")), "left_anti")
+        more = materialize(more, f"{tag}-more")
+        if more.isEmpty():
+            continue
+        found = materialize(_count_overlaps(_with_members(more), texts), f"{tag}-more-links")
+        tested = tested.union(more.select(F.col("hub").alias("x"), F.col("node").alias("y")))
+        if not found.isEmpty():
+            links = links.union(found)
+            comps = materialize(components(links), f"{tag}-components")
+    return links

@@ -38,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import DEN, NUM, link_blocks, salts
+from .blocks import DEN, NUM, link_blocks, placed_size, salts
 from .common import WordHasher, blank_words, materialize, mix, shingle_set, signed
 from .graph import components
 
-SKETCH_BITS = 21
-SKETCH_CHUNK = 1 << 13
+SKETCH_BITS = 24
+SKETCH_CHUNK = 1 << 16
 
 
 def prefix_length(n: int) -> int:
@@ -61,46 +61,51 @@ def _slots(s: np.ndarray) -> np.ndarray:
 
 
 def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, hasher = np.zeros(1 << SKETCH_BITS, dtype=np.int64), WordHasher()
+    """One byte per slot and task; a slot that is hit 255 times in one task is hot whatever the rest."""
+    counts, hasher = np.zeros(1 << SKETCH_BITS, dtype=np.uint8), WordHasher()
     pending, waiting = [], 0
+
+    def add():
+        slots, times = np.unique(np.concatenate(pending), return_counts=True)
+        counts[slots] = np.minimum(counts[slots].astype(np.int64) + times, 255).astype(np.uint8)
+
     for batch in batches:
         for text in batch.column(0).to_pylist():
             s = shingle_set(hasher.of(blank_words(text)))
             pending.append(_slots(s))
             waiting += len(s)
             if waiting > 1 << 20:
-                counts += np.bincount(np.concatenate(pending), minlength=len(counts))
+                add()
                 pending, waiting = [], 0
     if pending:
-        counts += np.bincount(np.concatenate(pending), minlength=len(counts))
-    counts = counts.astype(np.int32).reshape(-1, SKETCH_CHUNK)
+        add()
+    counts = counts.reshape(-1, SKETCH_CHUNK)
     # One chunk of counters per row; chunks meet by number, so no task sums more than its share.
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(range(len(counts)), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())],
-        names=["chunk", "counts"])
+    for i, chunk in enumerate(counts):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i], pa.int32()), pa.array([chunk.tobytes()], pa.binary())], names=["chunk", "counts"])
 
 
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(raw, dtype=np.int32).astype(np.int64)
+            part = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
             totals[chunk] = totals[chunk] + part if chunk in totals else part
-    if totals:
+    for chunk, total in totals.items():
+        short = np.minimum(total, np.iinfo(np.uint16).max).astype(np.uint16)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(totals.keys(), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())],
-            names=["chunk", "counts"])
+            [pa.array([chunk], pa.int32()), pa.array([short.tobytes()], pa.binary())], names=["chunk", "counts"])
 
 
 def column_sketch(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often each of 2^SKETCH_BITS slots of shingles is hit, over all documents (16 MB at most)."""
-    # Fewer, larger tasks: each sends one whole sketch.
+    """How often each of 2^SKETCH_BITS slots of shingles is hit, over all documents (32 MB at every input size)."""
     parts = docs.select(F.col(text_col).cast("string")).mapInArrow(_sketch_task, "chunk int, counts binary")
     summed = parts.repartition(32, "chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
-    counts = np.zeros((1 << SKETCH_BITS) // SKETCH_CHUNK * SKETCH_CHUNK, dtype=np.int64).reshape(-1, SKETCH_CHUNK)
+    counts = np.zeros((1 << SKETCH_BITS) // SKETCH_CHUNK * SKETCH_CHUNK, dtype=np.uint16).reshape(-1, SKETCH_CHUNK)
     for row in summed.toLocalIterator():
-        counts[row.chunk] = np.frombuffer(row.counts, dtype=np.int64)
-    return np.minimum(counts.reshape(-1), np.iinfo(np.int32).max).astype(np.int32)
+        counts[row.chunk] = np.frombuffer(row.counts, dtype=np.uint16)
+    return counts.reshape(-1)
 
 
 def _rows_task(sketch):
@@ -120,7 +125,7 @@ def _rows_task(sketch):
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(node)
-                weight = order[_slots(s)]
+                weight = order[_slots(s)].astype(np.int64)
                 first = np.lexsort((s, weight))[: prefix_length(len(s))]
                 rows.append((doc_id.as_py(), len(s), node, signed(s[first]), salts(weight[first] - usual, node)))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -143,8 +148,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = materialize(base.mapInArrow(
         _rows_task(sketch), f"doc_id {id_type}, n_shingles long, node long, cols array<long>, salts array<int>"), "ngram-rows")
     entries = rows.filter("cols IS NOT NULL").select(
-        F.col("node"), F.col("n_shingles").alias("n"), F.inline(F.arrays_zip("cols", "salts"))).select(
-        F.col("cols").alias("col"), F.col("salts").alias("salt"), "node", "n")
+        F.col("node"), F.col("n_shingles").alias("n"), F.posexplode(F.arrays_zip("cols", "salts")).alias("pos", "x")).select(
+        F.col("x.cols").alias("col"), F.col("x.salts").alias("salt"), "node", placed_size("n", "pos").alias("n"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """One document's text for each node."""

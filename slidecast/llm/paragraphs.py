@@ -180,7 +180,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Paragraphs: blocks by band, exact similarity, components.
     lines = units.filter("n > 0")
     entries = lines.filter("cols IS NOT NULL").select(
-        F.explode("cols").alias("col"), F.lit(-1).cast("int").alias("salt"), F.col("unit").alias("node"), "n")
+        F.explode("cols").alias("col"), F.lit(-1).cast("int").alias("salt"), F.col("unit").alias("node"),
+        F.shiftleft("n", 32).alias("n"))  # bands have no order: place 0
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         places = lines.join(nodes.withColumnRenamed("node", "unit").hint("shuffle_hash"), "unit", "left_semi").groupBy("unit").agg(
