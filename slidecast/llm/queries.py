@@ -72,4 +72,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TEXT = _LOWER.format("text")
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_TEXT}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        win AS (SELECT DISTINCT item, w[k:k + 9] AS g, len(w[k:k + 9]) AS n
+                FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM b WHERE len(w) > 0)),
+        d AS (SELECT doc_id, regexp_extract_all({_TEXT}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        p AS (SELECT doc_id, k, n, w[k:k + n - 1] AS g
+              FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win))),
+        hit AS (SELECT p.doc_id, p.k, p.n, win.item FROM p JOIN win ON p.g = win.g),
+        places AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS q FROM hit) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN places ON d.doc_id = places.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h,
+                          min(page_id) OVER (PARTITION BY coalesce(html, '')) AS low FROM pages)
+        SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (((('0x' || substr(h, (5 * (i // 4) + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+               CASE WHEN page_id IS NOT DISTINCT FROM low THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM low THEN low END AS refers_to
+        FROM p""",
+    "op3_exact_dedup": f"""
+        WITH d AS (SELECT doc_id, {_TEXT} AS t FROM documents)
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+        FROM d""",
+    "op7_line_dedup": r"""
+        WITH cut AS (
+          SELECT page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1), '')) AS host,
+                 regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+                   '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->', ' ', 'g'),
+                   '(?i)</?(?:p|div|li|ul|ol|tr|td|th|table|h[1-6]|br|nav|article|section|header|footer|title|head|body|html|a|pre|blockquote|form|aside|main)\b[^>]*>', chr(10), 'g'),
+                   '<[^>]*>', '', 'g') AS body FROM pages),
+        p AS (SELECT page_id, host, list_filter(list_transform(string_split(body, chr(10)),
+                lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM cut),
+        bad AS (SELECT host, list(line) AS bad FROM (
+                  SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY ALL) c
+                JOIN (SELECT host, count(*) AS pages FROM p GROUP BY host) t USING (host) WHERE n >= 3 AND n > pages * 0.3 GROUP BY host),
+        k AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), x)) AS kept FROM p LEFT JOIN bad USING (host))
+        SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, array_to_string(kept, chr(10)) AS clean FROM k""",
+    "op10_ngram_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_TEXT}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, w[k:k + 4] AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        links AS (SELECT x.a, x.b FROM (SELECT g.doc_id AS a, h.doc_id AS b, count(*) AS m FROM g JOIN g h ON g.s = h.s AND g.doc_id <> h.doc_id GROUP BY ALL) x
+                  JOIN n p ON p.doc_id = x.a JOIN n q ON q.doc_id = x.b WHERE 100 * m >= 80 * (p.n + q.n - m)),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(r.low, d.doc_id)) AS component_id
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = d.doc_id""",
+}

@@ -227,16 +227,20 @@ def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         "parquet.block.size", str(16 << 20)).parquet(path)
 
 
+def _rows(spark: SparkSession, path: str, id_type: str) -> DataFrame:
+    """Both kinds; a filter on the kind reads its folder only."""
+    return spark.read.schema(_BUNDLE_SCHEMA.format(id=id_type)).parquet(path)
+
+
 def bundles(spark: SparkSession, path: str) -> DataFrame:
     """The bundles: (bundle, content)."""
-    return spark.read.schema("bundle string, content binary").parquet(f"{path}/kind=bundle")
+    return _rows(spark, path, "bigint").filter("kind = 'bundle'").select("bundle", "content")
 
 
 def record_index(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """The index: (page_id, record_id, bundle, frame, frame_offset, length)."""
-    return spark.read.schema(
-        f"page_id {id_type}, record_id string, bundle string, frame int, frame_offset long, length long"
-    ).parquet(f"{path}/kind=record")
+    return _rows(spark, path, id_type).filter("kind = 'record'").select(
+        "page_id", "record_id", "bundle", "frame", "frame_offset", "length")
 
 
 def read_bundles(spark: SparkSession, path: str, id_type=None) -> DataFrame:
