@@ -184,13 +184,15 @@ def _window_key(col) -> F.Column:
 def _store_by_window(rows: DataFrame, path: str) -> None:
     """Write windowed rows to one folder per window.
 
-    Range-partitioning on ``(window_end, ts)`` first keeps the file count near
+    Range-partitioning on ``(window_end, row hash)`` first keeps the file count near
     the partition count plus the window count (not tasks x windows), and a
     hot window is still spread over several tasks.
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(WINDOW_END)] + [F.col(c) for c in rows.columns if c not in RESERVED][:1]
+    # Rows of a hot window are told apart by a hash of their content (maps cannot be hashed).
+    own = [F.col(_q(f.name)) for f in rows.schema.fields if f.name not in RESERVED and "map<" not in f.dataType.simpleString()]
+    order = [F.col(WINDOW_END)] + ([F.xxhash64(*own)] if own else [])
     (rows.withColumn("__wkey", _window_key(F.col(WINDOW_END)))
          .repartitionByRange(n, *order)
          .write.partitionBy("__wkey").parquet(path))

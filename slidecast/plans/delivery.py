@@ -41,7 +41,13 @@ def envelope(result: DataFrame, channel: str, topic: str) -> DataFrame:
 
 
 def envelopes(results: dict[str, DataFrame], channel: str) -> DataFrame:
-    """All topics of a channel as one flat envelope table (``UNION ALL``)."""
+    """All topics of a channel as one flat envelope table (``UNION ALL``).
+
+    A topic whose result is no DataFrame has failed: the error names all of them.
+    """
+    failed = sorted(name for name, df in results.items() if not isinstance(df, DataFrame))
+    if failed or not results:
+        raise ValueError(f"topics without a result: {', '.join(failed) or 'no topic at all'}")
     frames = [envelope(df, channel, name) for name, df in results.items() if isinstance(df, DataFrame)]
     out = frames[0].select(*ENVELOPE_COLUMNS)
     for f in frames[1:]:
@@ -106,9 +112,10 @@ def subscribe_stream(spark: SparkSession, path: str, channel: str, topic: str,
     return writer.start()
 
 
-def console_listener(n: int = 20) -> Callable[[str, list[str], DataFrame], None]:
-    """The example listener: print the topic and up to ``n`` rows."""
+def console_listener(n: int | None = None) -> Callable[[str, list[str], DataFrame], None]:
+    """The example listener: print the topic, its columns and every row (or ``n`` of them)."""
     def show(topic: str, columns: list[str], rows: DataFrame) -> None:
-        print(f"receive data from {topic}")
-        rows.show(n, truncate=False)
+        print(f"[{topic}] {', '.join(columns)}")
+        for row in (rows if n is None else rows.limit(n)).select("payload").toLocalIterator():
+            print(row.payload)
     return show

@@ -81,6 +81,7 @@ class ChannelSpec:
     topics: Sequence[TopicSpec] = field(default_factory=list)
     pipeline: Callable[[DataFrame], DataFrame] | str | None = None
     batch_interval: object = 5
+    delay: object = 0  # event time that windows of a stream wait for rows out of order
 
     def validate(self, spark: SparkSession | None = None,
                  schema: StructType | None = None) -> ChannelSpec:

@@ -183,6 +183,16 @@ def q_w7_stream_equals_batch(spark, sf_dir):
     return stream_sql_topic_replay(spark, _events(spark, sf_dir), t, n_files=4)
 
 
+def q_w7d_out_of_order_stream(spark, sf_dir):
+    """Rows that arrive up to half a day out of order, and windows that wait as long."""
+    from .streaming.lanes import stream_sql_topic_replay
+    t = TopicSpec("sliding", COUNT_BY_TYPE.format(t="sliding"), DAY, DAY // 2)
+    ev = _events(spark, sf_dir)
+    late = F.expr(f"make_interval(0, 0, 0, 0, 0, 0, cast(pmod(xxhash64(event_id), {DAY // 2}) as int))")
+    return stream_sql_topic_replay(spark, ev.withColumn("arrival", F.col("ts") + late), t, n_files=4,
+                                   delay_us=DAY // 2 * 1_000_000, arrival="arrival")
+
+
 def q_w7b_stream_native_agg(spark, sf_dir):
     from .streaming.lanes import stream_native_agg_replay
     return stream_native_agg_replay(spark, _events(spark, sf_dir), DAY, DAY // 2, ["event_type"],
@@ -495,6 +505,7 @@ def registry() -> dict:
         "w5_empty_suppressed": q_w5_empty_suppressed,
         "w7_stream_equals_batch": q_w7_stream_equals_batch,
         "w7b_stream_native_agg": q_w7b_stream_native_agg,
+        "w7d_out_of_order_stream": q_w7d_out_of_order_stream,
         "w7c_stream_pane_agg": q_w7c_stream_pane_agg,
         "w8_origin_offset": q_w8_origin_offset,
         "w8b_ragged": q_w8b_ragged,
@@ -556,6 +567,9 @@ def oracles() -> dict[str, str]:
             f"WHERE value > 480 GROUP BY ALL"),
         "w7_stream_equals_batch": _closed(duck_count_by_type(DAY, DAY // 2)),
         "w7b_stream_native_agg": _closed(duck_count_by_type(DAY, DAY // 2)),
+        "w7d_out_of_order_stream": (
+            f"SELECT * FROM ({duck_count_by_type(DAY, DAY // 2)}) "
+            f"WHERE window_end <= (SELECT max(ts) - INTERVAL {DAY // 2} SECOND FROM events)"),
         "w8_origin_offset": duck_count_by_type(DAY, DAY, 6 * HOUR),
         "w8b_ragged": duck_count_by_type(30 * HOUR, 12 * HOUR),
         "q3_all_records": f"SELECT window_start, window_end, {EVENT_COLS} FROM {duck_windows(HOUR)}",

@@ -44,13 +44,21 @@ def get_spark(master: str | None = None, app: str = "slidecast",
     return spark
 
 
+def _inherit(session: SparkSession, caller: SparkSession) -> SparkSession:
+    """Give a session the caller's settings that change what SQL means."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.caseSensitive",
+                "spark.sql.timestampType"):
+        session.conf.set(key, caller.conf.get(key))
+    return session
+
+
 def private_session(spark: SparkSession) -> SparkSession:
     """A session of the same application whose temp views the caller never sees
     (reused per caller session; callers register only uniquely named views)."""
     key = ("private", id(spark))
     if key not in _STREAM_SESSIONS:
         _STREAM_SESSIONS[key] = (spark, spark.newSession())
-    return _STREAM_SESSIONS[key][1]
+    return _inherit(_STREAM_SESSIONS[key][1], spark)
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
@@ -70,14 +78,15 @@ def stream_session(spark: SparkSession) -> SparkSession:
         ss.conf.set("spark.sql.streaming.stateStore.providerClass",
                     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         _STREAM_SESSIONS[key] = (spark, ss)
-    return _STREAM_SESSIONS[key][1]
+    return _inherit(_STREAM_SESSIONS[key][1], spark)
 
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (cluster setting) or the context's
-    checkpoint dir; set a fresh local one only when neither is configured.
+    checkpoint dir; set a fresh local one only when neither is configured and
+    the master is local. On a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
@@ -92,6 +101,8 @@ def work_dir(spark: SparkSession) -> str:
         configured = sc.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     key = sc.applicationId
     if key not in _LOCAL_DIRS:
         local = tempfile.mkdtemp(prefix="slidecast-ckpt-")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.durations import interval_text, to_micros
 from ..operators.crosstopic import referenced_topics
 from ..plans.delivery import envelope, subscribe_stream
 from ..plans.spec import ChannelSpec, resolve_pipeline
@@ -21,6 +22,16 @@ from ..sources.replay import replay_stream, stage_replay
 from .lanes import read_sink, start_native_topic, start_sql_topic, start_topic_group
 
 
+# Queries of started channels by (application, channel): whichever session started them, every handle sees them.
+_REGISTRY: dict[tuple[str, str], list[StreamingQuery]] = {}
+
+
+def _active(spark: SparkSession, channel: str) -> list[StreamingQuery]:
+    key = (spark.sparkContext.applicationId, channel)
+    _REGISTRY[key] = [q for q in _REGISTRY.get(key, []) if q.isActive]
+    return _REGISTRY[key]
+
+
 def _qname(channel: str, topic: str) -> str:
     return f"{channel}.{topic}"
 
@@ -37,7 +48,7 @@ class Channel:
     def queries(self) -> list[StreamingQuery]:
         """This channel's active queries (started here, or found in the session)."""
         prefix = f"{self.spec.name}."
-        found = {q.id: q for q in self._started if q.isActive}
+        found = {q.id: q for q in (*self._started, *_active(self.spark, self.spec.name)) if q.isActive}
         for session in {id(s): s for s in (self.spark, *self._sessions)}.values():
             for q in session.streams.active:
                 if (q.name or "").startswith(prefix):
@@ -55,7 +66,8 @@ class Channel:
         self._sessions.append(source.sparkSession)
         records = resolve_pipeline(self.spec.pipeline)(source)
         ch = self.spec.name
-        trigger = None if available_now else f"{self.spec.batch_interval} seconds"
+        trigger = None if available_now else interval_text(to_micros(self.spec.batch_interval))
+        delay_us = to_micros(self.spec.delay)
         started = []
         for group in topic_groups(self.spec.topics):
             if len(group) == 1 and group[0].aggregate is not None:
@@ -65,7 +77,7 @@ class Channel:
                     f"{self.state_root}/{ch}/{t.name}/checkpoint", ts=ts, available_now=available_now,
                     query_name=_qname(ch, t.name),
                     to_output=lambda df, name=t.name: envelope(df, ch, name).drop("channel", "topic"),
-                    processing_time=trigger))
+                    processing_time=trigger, delay_us=delay_us))
             elif len(group) == 1:
                 t = group[0]
                 started.append(start_sql_topic(
@@ -73,7 +85,7 @@ class Channel:
                     f"{self.state_root}/{ch}/{t.name}/state", f"{self.state_root}/{ch}/{t.name}/checkpoint",
                     ts=ts, available_now=available_now, query_name=_qname(ch, t.name),
                     to_output=lambda df, name=t.name: envelope(df, ch, name).drop("channel", "topic"),
-                    processing_time=trigger))
+                    processing_time=trigger, delay_us=delay_us))
             else:
                 key = "+".join(t.name for t in group)
                 started.append(start_topic_group(
@@ -81,8 +93,9 @@ class Channel:
                     f"{self.state_root}/{ch}/{key}/state", f"{self.state_root}/{ch}/{key}/checkpoint",
                     _qname(ch, key), ts=ts, available_now=available_now,
                     to_output=lambda name, df: envelope(df, ch, name).drop("channel", "topic"),
-                    processing_time=trigger))
+                    processing_time=trigger, delay_us=delay_us))
         self._started.extend(started)
+        _REGISTRY.setdefault((self.spark.sparkContext.applicationId, ch), []).extend(started)
         return started
 
     def stop(self, graceful: bool = True) -> None:
@@ -117,12 +130,18 @@ def topic_groups(topics) -> list[list]:
 
 def list_channels(spark: SparkSession) -> list[str]:
     """Names of the channels with at least one running topic query."""
-    return sorted({q.name.split(".", 1)[0] for q in spark.streams.active
-                   if q.name and "." in q.name and not q.name.startswith("sub.")})
+    app = spark.sparkContext.applicationId
+    return sorted(channel for a, channel in list(_REGISTRY) if a == app and _active(spark, channel))
+
+
+def channel_status(spark: SparkSession) -> list[tuple[str, str, str]]:
+    """(channel, topic or topics, status) of every running query of a channel."""
+    return sorted((c, q.name.split(".", 1)[1], q.status["message"])
+                  for c in list_channels(spark) for q in _active(spark, c))
 
 
 def find_channel_queries(spark: SparkSession, channel: str) -> list[StreamingQuery]:
-    return [q for q in spark.streams.active if (q.name or "").startswith(f"{channel}.")]
+    return list(_active(spark, channel))
 
 
 # ------------------------------------------------------------- replay runs (queries, tests)

@@ -16,7 +16,10 @@
   failure or restart gives the same output once.
 
 Arrival time is the event's ``ts`` (TIMESTAMP_NTZ); the watermark needs a
-TIMESTAMP, so the native lane casts it (sessions run in UTC).
+TIMESTAMP, so the native lane casts it. Every lane takes a delay: windows
+close that much event time after their end, so rows may come out of order by
+as much. The SQL lane keys panes and bounds by whole microseconds, not by
+text, so it does not depend on the session's time zone.
 """
 
 from __future__ import annotations
@@ -41,8 +44,6 @@ from ..plans.spec import TopicSpec
 from ..session import scratch_path, stream_session
 from ..sources.replay import replay_stream, stage_replay
 
-_KEY_FMT = "yyyyMMddHHmmssSSSSSS"
-_TEXT_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _EPOCH = _dt.datetime(1970, 1, 1)
 _MAX_GLOB_PANES = 2000
 
@@ -53,9 +54,15 @@ def _micros(text: str) -> int:
     return (t - _EPOCH) // _dt.timedelta(microseconds=1)
 
 
+def _missing(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def _text(micros: int) -> str:
     t = _EPOCH + _dt.timedelta(microseconds=micros)
     return t.strftime("%Y-%m-%d %H:%M:%S.%f")
+
+
 log = logging.getLogger("slidecast.streaming")
 
 
@@ -132,12 +139,12 @@ def native_pane_stream(sdf: DataFrame, window, slide, keys: Sequence[str],
 
 def start_native_topic(sdf: DataFrame, topic: TopicSpec, sink: str, checkpoint: str, ts: str = "ts",
                        available_now: bool = False, query_name: str | None = None, to_output=None,
-                       processing_time: str | None = None):
+                       processing_time: str | None = None, delay_us: int = 0):
     """An aggregate-form topic as a native pane stream; each batch's closed
     windows are written to ``sink/batch_id=<n>`` (overwritten on retry)."""
     keys, aggs = topic.aggregate
     agg = native_pane_stream(sdf, topic.window_us / 1e6, topic.slide_us / 1e6, list(keys), list(aggs),
-                             topic.origin_us / 1e6, ts)
+                             topic.origin_us / 1e6, ts, delay=interval_text(delay_us))
     out = to_output or (lambda df: df)
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -193,16 +200,23 @@ class TopicGroupStream:
         self.pane_us = min(t.slide_us * -(-t.window_us // t.slide_us) for t in self.topics)
         self.origin_us = self.topics[0].origin_us
 
-    def _pane_key(self, col: Column) -> Column:
-        pane = window_struct(col, interval_text(self.pane_us), interval_text(self.pane_us),
-                             interval_text(self.origin_us))
-        return F.concat(F.lit("p"), F.date_format(pane.end, _KEY_FMT))
+    def _instant(self, col: Column) -> Column:
+        """A time as microseconds: of the instant, or of the wall clock for a TIMESTAMP_NTZ."""
+        if self._schema[self.ts].dataType.simpleString() == "timestamp_ntz":
+            return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col)
+        return F.unix_micros(col)
+
+    def _at(self, micros: int) -> Column:
+        """The literal time of some microseconds, in the type of the event time."""
+        if self._schema[self.ts].dataType.simpleString() == "timestamp_ntz":
+            return F.lit(_text(micros)).cast("timestamp_ntz")
+        return F.timestamp_micros(F.lit(micros))
 
-    def _pane_text(self, micros: int) -> str:
-        """Driver-side twin of ``_pane_key`` for one instant (microseconds)."""
-        end = self.origin_us + ((micros - self.origin_us) // self.pane_us + 1) * self.pane_us
-        t = _EPOCH + _dt.timedelta(microseconds=end)
-        return "p" + t.strftime("%Y%m%d%H%M%S") + f"{t.microsecond:06d}"
+    def _pane_key(self, col: Column) -> Column:
+        since, pane = self._instant(col) - F.lit(self.origin_us), F.lit(self.pane_us)
+        # Whole panes since the origin, exact in longs and rounded down before it too.
+        number = ((since - F.pmod(since, pane)) / pane).cast("long")
+        return F.concat(F.lit("p"), number.cast("string"))
 
     def _rows_between(self, spark, lo_us: int | None, hi_us: int) -> DataFrame:
         """Stored rows with ``lo <= ts < hi``; reads only the pane folders of that range.
@@ -216,26 +230,28 @@ class TopicGroupStream:
             first = (lo_us - self.origin_us) // self.pane_us
             last = (hi_us - 1 - self.origin_us) // self.pane_us
             if last - first < _MAX_GLOB_PANES:
-                keys = [self._pane_text(self.origin_us + k * self.pane_us) for k in range(first, last + 1)]
+                keys = [f"p{k}" for k in range(first, last + 1)]
                 path = f"{rows_dir}/__pane={{{','.join(keys)}}}"
         try:
             stored = spark.read.schema(self._stored_schema).option("basePath", rows_dir).parquet(path)
-        except AnalysisException:  # no pane of that range holds rows
+        except AnalysisException as e:
+            if not _missing(e) or lo_us is None:
+                raise
+            # No pane of that range holds rows; the store itself must be there.
+            spark.read.schema(self._stored_schema).option("basePath", rows_dir).parquet(f"{rows_dir}/__pane=*")
             return spark.createDataFrame([], self._schema)
-        ts_type = self._schema[self.ts].dataType
-        cond = F.col(self.ts) < F.lit(_text(hi_us)).cast(ts_type)
+        cond = F.col(self.ts) < self._at(hi_us)
         if lo_us is not None:
-            cond = cond & (F.col(self.ts) >= F.lit(_text(lo_us)).cast(ts_type))
+            cond = cond & (F.col(self.ts) >= self._at(lo_us))
         return stored.filter(cond).drop("__pane", "batch")
 
     def _windows(self, spark, t: TopicSpec, prev_us, new_us) -> DataFrame:
         """Windowed rows of ``t`` whose window closes in ``(prev, new]``."""
         cand = self._rows_between(spark, None if prev_us is None else prev_us - t.window_us, new_us)
         rows = assign_windows(cand, t.window_us / 1e6, t.slide_us / 1e6, t.origin_us / 1e6, ts=self.ts)
-        ts_type = self._schema[self.ts].dataType
-        closing = F.col(WINDOW_END) <= F.lit(_text(new_us)).cast(ts_type)
+        closing = F.col(WINDOW_END) <= self._at(new_us)
         if prev_us is not None:
-            closing = closing & (F.col(WINDOW_END) > F.lit(_text(prev_us)).cast(ts_type))
+            closing = closing & (F.col(WINDOW_END) > self._at(prev_us))
         return rows.filter(closing)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
@@ -253,26 +269,31 @@ class TopicGroupStream:
             try:
                 prev = (spark.read.parquet(prog_dir).filter(F.col("batch") < batch_id)
                         .agg(F.max("max_ts")).collect()[0][0])
-            except AnalysisException:  # no progress yet
-                prev = None
+            except AnalysisException as e:
+                if not _missing(e) or batch_id > 0:
+                    raise
+                prev = None  # the first batch
         # 2. store this batch's rows by pane; dynamic overwrite replaces only this
         #    batch's folders, so a retried batch writes the same files once. The
-        #    batch's max event time, and how many rows arrived after every window
-        #    they belong to had fired (late; kept in the store, never emitted),
-        #    are observed in the same pass.
-        ts_type = batch.schema[self.ts].dataType
-        late = F.lit(False)
+        #    batch's max event time, and how many windows that had fired before a
+        #    row of theirs arrived (late, one for each row and topic; the row still
+        #    counts in its open windows), are observed in the same pass.
+        late = [F.lit(0)]
         if prev is not None:
-            horizon = _micros(prev) - self.delay_us - max(t.window_us for t in self.topics)
-            late = F.col(self.ts) < F.lit(_text(horizon)).cast(ts_type)
+            fired = _micros(prev) - self.delay_us
+            for t in self.topics:  # the first window of a row to fire ends with the row's slide
+                since = self._instant(F.col(self.ts)) - F.lit(t.origin_us)
+                end = since - F.pmod(since, F.lit(t.slide_us)) + F.lit(t.slide_us)
+                late.append(F.when((end <= F.lit(fired - t.origin_us)) & (end - F.lit(t.window_us) <= since), 1).otherwise(0))
         stats = Observation(f"batch_{uuid.uuid4().hex[:8]}")
-        (batch.observe(stats, F.date_format(F.max(self.ts), _TEXT_FMT).alias("m"),
-                       F.count(F.when(late, 1)).alias("late"))
+        (batch.observe(stats, F.max(self._instant(F.col(self.ts))).alias("m"),
+                       F.sum(sum(late[1:], late[0])).alias("late"))
               .withColumn("__pane", self._pane_key(F.col(self.ts)))
               .withColumn("batch", F.lit(batch_id).cast("long"))
               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
               .partitionBy("__pane", "batch").parquet(rows_dir))
-        batch_max, n_late = stats.get.get("m"), stats.get.get("late", 0)
+        batch_max, n_late = stats.get.get("m"), stats.get.get("late") or 0
+        batch_max = None if batch_max is None else _text(batch_max)
         # 3. progress log; watermark = max event time over batches so far.
         #    Times travel as fixed-width text, so text order is time order.
         (spark.createDataFrame([(batch_id, batch_max, n_late)], "batch BIGINT, max_ts STRING, late BIGINT")
@@ -280,7 +301,7 @@ class TopicGroupStream:
         new = max((m for m in (prev, batch_max) if m is not None), default=None)
         self._last = (batch_id, new)
         if n_late:
-            log.warning("batch %d: %d rows arrived after their windows fired", batch_id, n_late)
+            log.warning("batch %d: %d rows arrived after a window of theirs had fired", batch_id, n_late)
         log.debug("batch %d: rows stored, watermark %s -> %s at %.2fs", batch_id, prev, new,
                   time.perf_counter() - t0)
         if new is None:
@@ -338,17 +359,14 @@ class TopicGroupStream:
         aggregate over the window index finds that range, and the store read
         is limited to it.
         """
-        ts_type = self._schema[self.ts].dataType
-        e = F.col(WINDOW_END)
-        lo_first = F.max(F.when(e <= F.lit(_text(prev_us)).cast(ts_type), e)) if prev_us is not None else F.lit(None)
+        e = self._instant(F.col(WINDOW_END))
+        lo_first = F.max(F.when(e <= prev_us, e)) if prev_us is not None else F.lit(None)
         bounds = other_ends.agg(
-            F.date_format(F.coalesce(lo_first, F.min(e)), _TEXT_FMT).alias("lo"),
-            F.date_format(F.max(F.when(e <= F.lit(_text(new_us)).cast(ts_type), e)), _TEXT_FMT).alias("hi"),
-        ).collect()[0]
+            F.coalesce(lo_first, F.min(e)).alias("lo"), F.max(F.when(e <= new_us, e)).alias("hi")).collect()[0]
         if bounds["lo"] is None or bounds["hi"] is None:
             cand = spark.createDataFrame([], self._schema)
         else:
-            cand = self._rows_between(spark, _micros(bounds["lo"]) - other.window_us, _micros(bounds["hi"]))
+            cand = self._rows_between(spark, bounds["lo"] - other.window_us, bounds["hi"])
         orows = assign_windows(cand, other.window_us / 1e6, other.slide_us / 1e6, other.origin_us / 1e6,
                                ts=self.ts)
         return orows.join(other_ends.distinct(), WINDOW_END, "left_semi")
@@ -365,8 +383,9 @@ class SqlTopicStream(TopicGroupStream):
 
 def start_sql_topic(sdf: DataFrame, topic: TopicSpec, sink: str, state: str, checkpoint: str,
                     ts: str = "ts", available_now: bool = False, query_name: str | None = None,
-                    to_output=None, processing_time: str | None = None):
-    handler = SqlTopicStream(topic, sink, state, ts, to_output=to_output)
+                    to_output=None, processing_time: str | None = None, delay_us: int = 0):
+    """``delay_us``: how long a window waits, in event time, for rows that come out of order."""
+    handler = SqlTopicStream(topic, sink, state, ts, delay_us, to_output=to_output)
     writer = (sdf.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
               .queryName(query_name or topic.name))
     if available_now:
@@ -378,9 +397,10 @@ def start_sql_topic(sdf: DataFrame, topic: TopicSpec, sink: str, state: str, che
 
 def start_topic_group(sdf: DataFrame, topics: Sequence[TopicSpec], sink_for: Callable[[str], str],
                       state: str, checkpoint: str, query_name: str, ts: str = "ts",
-                      available_now: bool = False, to_output=None, processing_time: str | None = None):
+                      available_now: bool = False, to_output=None, processing_time: str | None = None,
+                      delay_us: int = 0):
     """One streaming query for topics that read each other's tables."""
-    handler = TopicGroupStream(topics, sink_for, state, ts, to_output=to_output)
+    handler = TopicGroupStream(topics, sink_for, state, ts, delay_us, to_output=to_output)
     writer = (sdf.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
               .queryName(query_name))
     if available_now:
@@ -408,12 +428,12 @@ def run_passthrough_replay(spark: SparkSession, df: DataFrame, n_files: int = 4)
 
 
 def stream_sql_topic_replay(spark: SparkSession, df: DataFrame, topic: TopicSpec,
-                            n_files: int = 4) -> DataFrame:
-    """A SQL topic over a replayed stream; closed windows only."""
-    src = stage_replay(df, n_files)
+                            n_files: int = 4, delay_us: int = 0, arrival: str = "ts") -> DataFrame:
+    """A SQL topic over a stream replayed in order of ``arrival``; closed windows only."""
+    src = stage_replay(df, n_files, arrival)
     sink, state, ck = (scratch_path(spark, k) for k in ("topic-sink", "topic-state", "topic-ckpt"))
     q = start_sql_topic(replay_stream(stream_session(spark), src, df.schema), topic, sink, state, ck,
-                        available_now=True)
+                        available_now=True, delay_us=delay_us)
     q.awaitTermination()
     return read_sink(spark, sink)
 

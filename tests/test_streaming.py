@@ -99,7 +99,8 @@ def test_list_find_and_console(spark, capsys):
         chan.stop(graceful=True)
     assert "listed" not in list_channels(spark)
     console_listener(3)("counts", ["event_type", "n"], chan.results())
-    assert "receive data from counts" in capsys.readouterr().out
+    shown = capsys.readouterr().out
+    assert shown.startswith("[counts] event_type, n") and len(shown.strip().splitlines()) == 4
 
 
 @pytest.mark.parametrize("reader_first", [True, False])
@@ -181,3 +182,69 @@ def test_stream_keeps_order_as_row_index(spark):
     want = run_topic(ev, topic).filter(F.col("window_end") <= F.lit(mx))
     cols = ["window_end", "event_type", "n", "row_index"]
     assert sorted(tuple(r) for r in got.select(cols).collect()) == sorted(tuple(r) for r in want.select(cols).collect())
+
+
+def _two_batches(spark, kind):
+    """Batch 1 at 0, 30 and 65 s, batch 2 at 50, 58, 70 and 130 s."""
+    path = scratch_path(spark, "two-batches")
+    for part in ((0, 30, 65), (50, 58, 70, 130)):
+        (spark.createDataFrame([(s,) for s in part], "s long")
+         .select("s", F.expr(f"cast(timestamp_seconds(s) as {kind})").alias("ts"))
+         .coalesce(1).write.mode("append").parquet(path))
+        time.sleep(1.1)  # the file source orders by modification time
+    return path
+
+
+@pytest.mark.parametrize("delay, want", [(0, 2), (60, 4)])
+def test_delay_keeps_rows_that_come_out_of_order(spark, delay, want, caplog):
+    path = _two_batches(spark, "timestamp_ntz")
+    sink = scratch_path(spark, "sink")
+    start_sql_topic(replay_stream(spark, path, spark.read.parquet(path).schema), TopicSpec("t", "select count(*) as n from t", 60, 60),
+                    sink, scratch_path(spark, "st"), scratch_path(spark, "ck"), available_now=True,
+                    delay_us=delay * 1_000_000).awaitTermination()
+    got = {r.window_end.minute: r.n for r in read_sink(spark, sink).collect()}
+    assert got[1] == want
+    assert ("2 rows arrived after a window" in caplog.text) == (delay == 0)
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_sql_lane_equals_batch_for_instants_in_any_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        from slidecast.streaming.lanes import stream_sql_topic_replay
+
+        ev = read_events(spark, SF001).withColumn("ts", F.col("ts").cast("timestamp"))
+        got = stream_sql_topic_replay(spark, ev, TopicSpec("t", QL, 86400, 86400))
+        assert sorted(tuple(r) for r in got.select("window_start", "window_end", "event_type", "n").collect()) == \
+            batch_closed(ev, 86400, 86400)
+        rows = assign_windows(ev, 86400, 86400)
+        assert sorted(map(tuple, windowed_sql(rows, "t", QL, lane="loop").collect())) == \
+            sorted(map(tuple, windowed_sql(rows, "t", QL, lane="plan").collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_second_handle_sees_the_running_channel(spark):
+    from slidecast.session import stream_session
+
+    ev = read_events(spark, SF001)
+    src = stage_replay(ev, 2)
+    topic = TopicSpec("counts", QL.replace(" t ", " counts "), 86400, 86400, "shared")
+    make = lambda: Channel(spark, ChannelSpec("shared", [topic], batch_interval="5 seconds"),
+                           scratch_path(spark, "sink"), scratch_path(spark, "st"))
+    one, two = make(), make()
+    one.start(replay_stream(stream_session(spark), src, ev.schema))
+    try:
+        assert "shared" in list_channels(spark) and two.is_running
+        assert [q.name for q in two.start(replay_stream(spark, src, ev.schema))] == ["shared.counts"]
+    finally:
+        two.stop(graceful=False)
+    assert "shared" not in list_channels(spark) and not one.is_running
+
+
+def test_envelopes_name_failed_topics(spark):
+    from slidecast.plans.delivery import envelopes
+
+    with pytest.raises(ValueError, match="bad"):
+        envelopes({"bad": RuntimeError("x")}, "c")
