@@ -7,7 +7,9 @@ second step. Pairs within the size bounds are checked over the whole sets. What
 shares a block and is still in different components afterwards meets some
 hubs more, and what is split even then is paired by a join on the block, so
 that every link between components that some block holds is found, whatever
-the hubs were.
+the hubs were. These later pairs must also pass a bitmap of each set: a slot
+whose parity differs holds an element that only one of the two has, so the
+differing slots bound the symmetric difference from below and no link is lost.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, blank_words, materialize, shingle_set
+from .common import WordHasher, blank_words, bucketed, materialize, parity_bits, shingle_set
 from .graph import components
 
 NUM, DEN = 80, 100  # links have a Jaccard similarity of NUM / DEN or more
 HOT_BLOCK = 4096
 HUB_BLOCK = 256
 MORE_HUBS = (12, 24)
+BITMAP_LONGS = 16
 
 
 def placed_size(n: str, pos: str):
@@ -85,6 +88,17 @@ def _near(a: str, b: str):
     return F.expr(f"{DEN} * least({size(a)}, {size(b)}) >= {NUM} * greatest({size(a)}, {size(b)}) AND {late}")
 
 
+def _few_differ(a: str, b: str, n_a: str, n_b: str):
+    """The bitmap bound: a link's sets differ in at most ``(DEN - NUM) (n_a + n_b) / (DEN + NUM)`` elements."""
+    differ = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(BITMAP_LONGS))
+    return F.expr(f"{DEN + NUM} * ({differ}) <= {DEN - NUM} * (shiftright({n_a}, 32) + shiftright({n_b}, 32))")
+
+
+def bitmap(s: np.ndarray) -> list[int]:
+    """Parity of each slot of a shingle set."""
+    return parity_bits(s, BITMAP_LONGS).tolist()
+
+
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (hub, block, hub's text first): overlap of each member with the hub's set."""
     hasher, key, base = WordHasher(), None, None
@@ -106,15 +120,16 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count_overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (hub, node) whose overlap reaches the bound, counted over whole sets."""
-    members = pairs.join(texts.hint("shuffle_hash"), "node").select(
-        "hub", F.expr(f"cast(pmod(xxhash64(node), greatest(1L, members div {HUB_BLOCK}L)) as int)").alias("block"), "node", "text")
-    heads = pairs.select("hub", F.expr(f"greatest(1L, members div {HUB_BLOCK}L)").alias("blocks")).distinct().join(
-        texts.select(F.col("node").alias("hub"), "text").hint("shuffle_hash"), "hub").select(
+    blocks = F.expr(f"greatest(1L, members div {HUB_BLOCK}L)")
+    members = pairs.withColumn("blocks", blocks).select(
+        "hub", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"), F.col("node").alias("member"), "node")
+    heads = pairs.select("hub", blocks.alias("blocks")).distinct().select(
         "hub", F.explode(F.expr("transform(sequence(0L, blocks - 1), x -> cast(x as int))")).alias("block"),
-        F.lit(None).cast("long").alias("node"), "text")
+        F.lit(None).cast("long").alias("member"), F.col("hub").alias("node"))
     return (
-        heads.unionByName(members).repartition(F.col("hub"), F.col("block"))
-        .sortWithinPartitions("hub", "block", F.col("node").asc_nulls_first())
+        heads.unionByName(members).join(texts.hint("shuffle_hash"), "node").select("hub", "block", "member", "text")
+        .repartition(F.col("hub"), F.col("block"))
+        .sortWithinPartitions("hub", "block", F.col("member").asc_nulls_first())
         .mapInArrow(_count_task, "a long, b long"))
 
 
@@ -126,8 +141,9 @@ def _with_members(pairs: DataFrame) -> DataFrame:
 def link_blocks(entries: DataFrame, texts_of: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
     """Links (a, b) that connect whatever the links within blocks connect.
 
-    ``texts_of`` gets the nodes (one column, ``node``) and returns (node, text).
+    ``texts_of`` gets the nodes (one column, ``node``) and returns (node, text, bits), bits from :func:`bitmap`.
     """
+    spark = entries.sparkSession
     near = materialize(_hubs(entries), f"{tag}-blocks")
     second = materialize(_hubs(
         near.filter("salt >= 0").select("col", F.lit(-1).cast("int").alias("salt"), F.col("hub").alias("node"),
@@ -135,7 +151,9 @@ def link_blocks(entries: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     met = near.unionByName(second).filter("hub <> node")
     pairs = materialize(
         _with_members(met.filter(_near("hub_n", "n")).select("hub", "node").distinct()), f"{tag}-pairs")
-    texts = materialize(texts_of(met.select("node").union(met.select("hub")).distinct()), f"{tag}-texts")
+    # Every later join with the texts is on their node: stored by it once, they are not shuffled again.
+    texts, name = bucketed(texts_of(met.select("node").union(met.select("hub")).distinct()), "node", f"{tag}_texts")
+    bitmaps, texts = texts.select("node", "bits").dropDuplicates(["node"]), texts.select("node", "text")
     links = materialize(_count_overlaps(pairs, texts), f"{tag}-links")
     tested = pairs.select(F.col("hub").alias("x"), F.col("node").alias("y"))
     entry = near.select("col", F.col("hub").alias("node"), F.col("hub_n").alias("n")).union(
@@ -145,20 +163,23 @@ def link_blocks(entries: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     # block), then, in the large blocks that this leaves split, every pair across components.
     comps = materialize(components(links), f"{tag}-components")
     for turn, some in enumerate((*MORE_HUBS, None)):
-        placed = entry.join(comps, "node", "left").select(
-            "col", "node", "n", F.coalesce("component", "node").alias("comp"))
+        placed = entry.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         split = placed.groupBy("col").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).filter(
             f"lo < hi AND k > {2 if turn == 0 else 2 * MORE_HUBS[0] - 1}")
-        rest = materialize(placed.join(split.select("col", "k"), "col"), f"{tag}-rest")
+        rest = placed.join(split.select("col", "k"), "col")
+        rest = materialize(rest if turn else rest.join(bitmaps.hint("shuffle_hash"), "node"), f"{tag}-rest")
+        entry = rest.drop("comp", "k")  # components only grow, so no other block can be split later
         if rest.isEmpty():
             break
         other = rest.filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.expr(f"greatest(1L, k div {some}L)")) == 0) if some else rest
-        other = other.select("col", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+        other = other.select("col", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"),
+                             F.col("bits").alias("hub_bits"))
         # Where every member is a hub, each pair is met from one side only.
         once = f"k < {2 * some}" if some else "true"
         more = rest.join(other, "col").filter(
-            F.expr(f"hub_comp <> comp AND (NOT ({once}) OR hub < node)") & _near("hub_n", "n")).select("hub", "node").distinct()
+            F.expr(f"hub_comp <> comp AND (NOT ({once}) OR hub < node)") & _near("hub_n", "n")
+            & _few_differ("hub_bits", "bits", "hub_n", "n")).select("hub", "node").distinct()
         more = more.join(tested, (F.col("hub") == F.col("x")) & (F.col("node") == F.col("y")), "left_anti").join(
             tested, (F.col("hub") == F.col("y")) & (F.col("node") == F.col("x")), "left_anti")
         more = materialize(more, f"{tag}-more")
@@ -169,4 +190,5 @@ def link_blocks(entries: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         if not found.isEmpty():
             links = links.union(found)
             comps = materialize(components(links), f"{tag}-components")
+    spark.sql(f"DROP TABLE {name}")  # the name only; nothing lazy reads it any more
     return links

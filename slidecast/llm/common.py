@@ -42,6 +42,19 @@ def materialize(df: DataFrame, kind: str, options: dict | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, kind: str) -> tuple[DataFrame, str]:
+    """:func:`materialize` into one bucket per shuffle partition: joins on ``key`` read it without a shuffle.
+
+    Returns the table and its name in the catalog, to be dropped after use.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, kind)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name), name
+
+
 def ascii_lower(column):
     """Lower-case A-Z only, on the JVM."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -59,7 +72,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher(dict):
     """64-bit word hashes with a bounded memo."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -102,6 +115,13 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def parity_bits(s: np.ndarray, longs: int) -> np.ndarray:
+    """Bitmap of a set of hashes: how often each of 64 * ``longs`` slots is hit, modulo 2."""
+    slot = (mix(s) >> np.uint64(40)) % np.uint64(64 * longs)
+    odd = (np.bincount(slot.astype(np.int64), minlength=64 * longs) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def python_batches(batches, columns):
     """Arrow batches as lists of Python values, column by column."""
     for batch in batches:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import DEN, NUM, link_blocks, placed_size, salts
+from .blocks import DEN, NUM, bitmap, link_blocks, placed_size, salts
 from .common import WordHasher, blank_words, materialize, mix, shingle_set, signed
 from .graph import components
 
@@ -155,7 +155,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         """One document's text for each node."""
         chosen = rows.join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(
             F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL")
-        return base.join(chosen.hint("shuffle_hash"), "doc_id").mapInArrow(_keep_own, "node long, text string")
+        return base.join(chosen.hint("shuffle_hash"), "doc_id").mapInArrow(_keep_own, "node long, text string, bits array<long>")
 
     links = link_blocks(entries, texts_of, "ngram")
     return rows.select("doc_id", "n_shingles", "node"), links
@@ -171,9 +171,11 @@ def _keep_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, text in zip(nodes, texts, strict=True):
             s = shingle_set(hasher.of(blank_words(text)))
             if len(s) and _set_hash(s) == node:
-                mine[node] = text
+                mine[node] = (text, bitmap(s))
+        found = [x[0] for x in mine.values()], [x[1] for x in mine.values()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(mine.keys(), pa.int64()), pa.array(mine.values(), pa.string())], names=["node", "text"])
+            [pa.array(mine.keys(), pa.int64()), pa.array(found[0], pa.string()), pa.array(found[1], pa.list_(pa.int64()))],
+            names=["node", "text", "bits"])
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

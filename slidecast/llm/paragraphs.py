@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import HUB_BLOCK, link_blocks
+from .blocks import HUB_BLOCK, bitmap, link_blocks
 from .common import WordHasher, materialize, mix, shingle_set, shingles, signed
 from .graph import components
 
@@ -124,14 +124,17 @@ def _units_task(min_words: int):
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, node, start, end) to (node, text of the span)."""
+    """(text, node, start, end) to (node, text of the span, its bitmap)."""
+    hasher = WordHasher()
     for batch in batches:
-        nodes, texts = [], []
+        nodes, texts, bits = [], [], []
         for text, node, a, b in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
             words, _ = line_words(text)
             nodes.append(node)
             texts.append(b" ".join(words[a:b]).decode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "text"])
+            bits.append(bitmap(shingle_set(hasher.of(words[a:b]))))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, pa.int64()), pa.array(texts, pa.string()), pa.array(bits, pa.list_(pa.int64()))], names=["node", "text", "bits"])
 
 
 def equal_runs(mine: np.ndarray, kept: np.ndarray, diagonals: list[int], least: int) -> list[tuple[int, int, int]]:
@@ -188,7 +191,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.min(F.struct("doc_id", "start", "end")).alias("at")).select(
             "at.doc_id", F.col("unit").alias("node"), "at.start", "at.end")
         return base.dropDuplicates(["doc_id"]).join(places.hint("shuffle_hash"), "doc_id").select(
-            "text", "node", "start", "end").mapInArrow(_slices, "node long, text string")
+            "text", "node", "start", "end").mapInArrow(_slices, "node long, text string, bits array<long>")
 
     linked = components(link_blocks(entries, texts_of, "paragraph"))
     placed = lines.select("doc_id", "unit", "start", "end").join(
