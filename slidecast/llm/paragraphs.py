@@ -11,19 +11,20 @@ paragraphs form components; of each the occurrence with the smallest
 Passages that run across lines or start within one are no paragraphs. For them
 every text is also cut into short units at places that its content alone
 decides (a 12-word unit starts where a shingle hash is the least among its
-neighbours, one place in 13 on average). With 8 shingles a unit reaches
-similarity 0.8 only if all are equal, so its whole content is its one band.
-Documents that share a unit are compared word by word along its diagonal, and
-equal runs of ``MIN_WORDS`` words or more become removals against the unit's
-first document.
+neighbours, one place in 13 on average). Only units that two documents
+have matter further. A window of ``MIN_WORDS`` words that occurs in two documents
+has the same units in both, so all of them are shared: windows that hold an
+unshared unit are dropped, all others (those without any unit too) are named by a
+64-bit hash of their words and grouped by it. Each window of a group is a
+removal against the group's first document, whatever the other documents hold
+around it; windows that follow on each other become one span.
 
 Repeats within one document are left alone. Edge cases: words are cut at 20
 and 09-0D, A-Z lower-cased; null, empty and short texts have no paragraphs; a
 row with a null doc_id is neither kept nor removed; rows that repeat a doc_id
 count as one document; an empty table gives an empty result; other columns
-are ignored. Units are counted by partial aggregates; a unit or paragraph
-that a third of all documents has is compared with one kept document in
-blocks, never pairwise.
+are ignored. Units and windows are grouped by partial aggregates and meet one
+row per group, never pairwise.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import HUB_BLOCK, bitmap, link_blocks
-from .common import WordHasher, materialize, mix, shingle_set, shingles, signed
+from .blocks import bitmap, link_blocks
+from .common import SHINGLE_WORDS, WordHasher, materialize, mix, shingle_set, shingles, signed
 from .graph import components
 
 MIN_WORDS = 50
@@ -85,6 +86,34 @@ def unit_places(hashes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(s[:last] == low[:last])
 
 
+def window_names(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the words of each window of ``size`` words."""
+    n = len(hashes) - size + 1
+    acc = np.zeros(n, dtype=np.uint64)
+    factors = mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    for i in range(size):
+        acc += hashes[i : i + n] * factors[i]
+    return signed(mix(acc))
+
+
+def units_inside(at: np.ndarray, words: int, size: int) -> np.ndarray:
+    """How many of the unit places ``at`` the content of each window alone decides."""
+    first = np.arange(words - size + 1)
+    low = np.searchsorted(at, first + REACH)
+    return np.maximum(np.searchsorted(at, first + size - max(UNIT_WORDS, REACH + SHINGLE_WORDS), side="right") - low, 0)
+
+
+def _zones(hashes: np.ndarray, wanted: np.ndarray, size: int) -> list[tuple[int, list[int]]]:
+    """(first start, window names) of the runs of wanted windows."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], wanted.astype(np.int8), [0]])))
+    return [(x, window_names(hashes[x : y + size - 1], size).tolist())
+            for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+
+
+def unit_names(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return signed(mix((hashes[at[:, None] + np.arange(UNIT_WORDS)] * _UNIT).sum(axis=1, dtype=np.uint64)))
+
+
 def _units_task(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = WordHasher(), set()
@@ -95,13 +124,20 @@ def _units_task(min_words: int):
                 hashes = hasher.of(words)
                 at = unit_places(hashes)
                 if len(at):
-                    named = signed(mix((hashes[at[:, None] + np.arange(UNIT_WORDS)] * _UNIT).sum(axis=1, dtype=np.uint64)))
                     who += [doc] * len(at)
-                    units += named.tolist()
+                    units += unit_names(hashes, at).tolist()
                     start += at.tolist()
                     end += (at + UNIT_WORDS).tolist()
                     size += [0] * len(at)
                     cols += [None] * len(at)
+                # Windows without units go out at once (n is -1).
+                for a, named in _zones(hashes, units_inside(at, len(hashes), min_words) == 0, min_words):
+                    who.append(doc)
+                    units.append(0)
+                    start.append(a)
+                    end.append(a + len(named) + min_words - 1)
+                    size.append(-1)
+                    cols.append(named)
                 for a, b in lines:
                     if b - a < min_words:
                         continue
@@ -137,37 +173,25 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(nodes, pa.int64()), pa.array(texts, pa.string()), pa.array(bits, pa.list_(pa.int64()))], names=["node", "text", "bits"])
 
 
-def equal_runs(mine: np.ndarray, kept: np.ndarray, diagonals: list[int], least: int) -> list[tuple[int, int, int]]:
-    """(start, end, place in kept) of equal runs of ``least`` words or more on some diagonals."""
-    out = []
-    for d in diagonals:
-        a, b = max(0, d), max(0, -d)
-        n = min(len(mine) - a, len(kept) - b)
-        if n < least:
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], (mine[a : a + n] == kept[b : b + n]).astype(np.int8), [0]])))
-        for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if y - x >= least:
-                out.append((a + x, a + y, b + x))
-    return out
-
-
-def _runs_task(id_type: pa.DataType, least: int):
+def _windows_task(id_type: pa.DataType, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (keep_id, block, kept text first)."""
-        hasher, key, kept = WordHasher(), None, None
+        """(doc_id, text, its shared units) to runs of windows whose units are all shared."""
+        hasher = WordHasher()
         for batch in batches:
-            rows = []
-            for keep, block, doc, diagonals, text in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+            who, start, names = [], [], []
+            for doc, text, shared in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
                 hashes = hasher.of(line_words(text)[0])
-                if doc is None:
-                    key, kept = (keep, block), hashes
-                elif key == (keep, block):
-                    rows += [(doc, a, b, keep) for a, b, _ in equal_runs(hashes, kept, diagonals, least)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
+                if len(hashes) < size:
+                    continue
+                at = unit_places(hashes)
+                every = units_inside(at, len(hashes), size)
+                known = units_inside(at[np.isin(unit_names(hashes, at), np.array(shared, dtype=np.int64))], len(hashes), size)
+                for a, named in _zones(hashes, (every > 0) & (known == every), size):
+                    who.append(doc)
+                    start.append(a)
+                    names.append(named)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], id_type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], id_type)],
-                names=["doc_id", "start", "end", "keep_id"])
+                [pa.array(who, id_type), pa.array(start, pa.int32()), pa.array(names, pa.list_(pa.int64()))], names=["doc_id", "start", "names"])
     return run
 
 
@@ -203,24 +227,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     paragraphs = placed.join(first.hint("shuffle_hash"), "component").filter("doc_id <> keep_id").select(
         "doc_id", "start", "end", "keep_id", "component")
 
-    # Passages: units that documents share, compared along their diagonals.
-    pieces = units.filter("n = 0").select("doc_id", "unit", "start")
-    shared = pieces.groupBy("unit").agg(
-        F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id < last").select(
-        "unit", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"))
-    pairs = materialize(
-        pieces.join(shared.hint("shuffle_hash"), "unit").filter("doc_id <> keep_id").groupBy("keep_id", "doc_id").agg(
-            F.sort_array(F.collect_set(F.col("start") - F.col("keep_start"))).alias("diagonals")), "passage-pairs")
-    sizes = pairs.groupBy("keep_id").agg(F.expr(f"greatest(1L, count(1) div {HUB_BLOCK}L)").alias("blocks"))
-    members = pairs.join(sizes.hint("shuffle_hash"), "keep_id").select(
-        "keep_id", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)").alias("block"), "doc_id", "diagonals")
-    heads = sizes.select("keep_id", F.explode(F.expr("transform(sequence(0L, blocks - 1), x -> cast(x as int))")).alias("block"),
-                         F.lit(None).cast(id_field).alias("doc_id"), F.lit(None).cast("array<int>").alias("diagonals"))
-    asked = heads.unionByName(members).withColumn("text_id", F.coalesce("doc_id", "keep_id"))
-    texts = base.withColumnRenamed("doc_id", "text_id").dropDuplicates(["text_id"])
-    passages = asked.join(texts, "text_id").select("keep_id", "block", "doc_id", "diagonals", "text").repartition(
-        F.col("keep_id"), F.col("block")).sortWithinPartitions("keep_id", "block", F.col("doc_id").asc_nulls_first()).mapInArrow(
-        _runs_task(to_arrow_type(id_field), min_words), f"doc_id {name}, start int, end int, keep_id {name}")
+    # Passages: windows whose units are all shared, grouped by content.
+    pieces = units.filter("n = 0").select("doc_id", "unit")
+    shared = pieces.groupBy("unit").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("unit")
+    asked = pieces.join(shared.hint("shuffle_hash"), "unit", "left_semi").groupBy("doc_id").agg(F.collect_set("unit").alias("shared"))
+    zones = materialize(base.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "shared").mapInArrow(
+        _windows_task(to_arrow_type(id_field), min_words), f"doc_id {name}, start int, names array<long>").union(
+        units.filter("n = -1").select("doc_id", "start", "cols")), "passage-windows")
+    windows = zones.select("doc_id", "start", F.posexplode("names").alias("pos", "name")).select(
+        "doc_id", F.expr("start + pos").alias("start"), "name")
+    kept = windows.groupBy("name").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).filter(
+        "keep_id < last").select("name", "keep_id")
+    # Windows that follow on each other and have one kept document are one span.
+    follow = Window.partitionBy("doc_id", "keep_id").orderBy("start")
+    passages = windows.join(kept.hint("shuffle_hash"), "name").filter("doc_id <> keep_id").select(
+        "doc_id", "start", "keep_id", (F.col("start") - F.dense_rank().over(follow)).alias("run")).groupBy("doc_id", "keep_id", "run").agg(
+        F.min("start").alias("start"), (F.max("start") + min_words).alias("end")).select("doc_id", "start", "end", "keep_id")
     return paragraphs.unionByName(passages.withColumn("component", F.lit(None).cast("long")))
 
 

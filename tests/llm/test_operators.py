@@ -173,6 +173,27 @@ def test_substring_dedup(docs, rows, none):
     assert paragraphs.removals(paragraphs.repeated_spans(none)).count() == 0
 
 
+def test_substring_dedup_compares_later_documents_with_each_other(spark):
+    import random
+
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    data, want = [], {}
+    for i in range(0, 300, 3):
+        passage = fresh(50 + i % 30)
+        edited = list(passage)
+        edited[len(passage) // 2] = "edit"
+        for k, p in enumerate((edited, passage, passage)):
+            before = fresh(20 + k)
+            data.append((i + k, " ".join(before + p + fresh(20))))
+        want[i + 2] = [(22, 22 + len(passage), i + 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = defaultdict(list)
+    for r in paragraphs.repeated_spans(df).filter("component IS NULL").collect():
+        got[r.doc_id].append((r.start, r.end, r.keep_id))
+    assert dict(got) == want
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix_plan(docs).collect()
     assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix_plan(docs).collect()))
