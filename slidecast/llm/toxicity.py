@@ -22,13 +22,18 @@ document's evidence is the mean over its distinct words
 documents that the counts have not seen, turns evidence and length into a
 score from 0 to 1.
 
-Counts are Spark aggregates over every labelled document of the counting part
-(``crc32(id) mod 4`` of 0 or 1): words first, then bigrams of words. A word or
-bigram gets parameters of its own if it makes up at least ``1 / 2^TABLE_BITS``
-of all occurrences (and occurs ``LEAST`` times): at most 2^TABLE_BITS entries
-can, so the model sent to executors has a proven bound (about 30 MB) at every
-input size. Others count as the unknown context, or fall back. The curve is
-fitted on at most ``FIT_ROWS`` documents of the part ``mod 4 = 3``, those with
+Counts are Spark tables over every labelled document of the counting part
+(``crc32(id) mod 4`` of 0 or 1), of all words and of all bigrams of words (the
+first word's context is 0). An expression needs ``LEAST`` documents to speak for a
+class, at every input size. Where a bigram's own counts are discounted in full,
+the context cancels and its evidence is that of its word, which is 0 where the
+word's are too (all rare words). So a score needs the expressions that speak
+for a class only. The ``2^TABLE_BITS`` most frequent of them are sent to executors
+(16 MB at most); the others, if any, are joined with the (row, expression)
+pairs that may be among them (a bitmap of fixed size drops most others) and
+added up per row, so no expression is left out. Words and bigrams are named by
+64-bit hashes. The
+curve is fitted on at most ``FIT_ROWS`` documents of the part ``mod 4 = 3``, those with
 the smallest hash of the id; ``mod 4 = 2`` is never used for learning.
 
 Labels meet documents by a broadcast of (id, label) up to ``BROADCAST_LABELS``
@@ -50,12 +55,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import WordHasher, alnum_words, signed
+from .common import WordHasher, alnum_words, materialize, mix, signed
 
 DISCOUNT = 0.75
 TABLE_BITS = 20
+TAIL_BITS = 23
 LEAST = 5
 FIT_ROWS = 50_000
 BROADCAST_LABELS = 2_000_000
@@ -68,10 +74,34 @@ def part(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4, F.lit(0)).cast("int")
 
 
+def _pairs(words: list[bytes], hasher: WordHasher) -> np.ndarray:
+    """Distinct (context, word) rows of a text; the first word's context is 0."""
+    h = signed(hasher.of(words))
+    return np.unique(np.stack([np.concatenate([h[:0] if not len(h) else [0], h[:-1]]).astype(np.int64), h], axis=1), axis=0)
+
+
+def pair_names(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of each (context, word)."""
+    return signed(mix(mix(u.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)))
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
-    for hashes, classes in _token_blocks(batches, lambda words: signed(hasher.of(words))):
-        yield from _class_counts(hashes, classes)
+    for hashes, classes in _token_blocks(batches, lambda words: np.unique(signed(hasher.of(words)))):
+        distinct, first, c0, c1 = _class_counts(hashes, classes)
+        for i in range(0, len(distinct), 100_000):
+            j = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[j]) for x in (distinct, c0, c1)], names=["w", "c0", "c1"])
+
+
+def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = WordHasher()
+    for pairs, classes in _token_blocks(batches, lambda words: _pairs(words, hasher)):
+        u, w = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+        _, first, c0, c1 = _class_counts(pair_names(u, w), classes)
+        for i in range(0, len(first), 100_000):
+            j = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[j]) for x in (u[first], w[first], c0, c1)], names=["u", "w", "c0", "c1"])
 
 
 def _token_blocks(batches, encode, block: int = 1 << 20):
@@ -80,7 +110,7 @@ def _token_blocks(batches, encode, block: int = 1 << 20):
     for batch in batches:
         texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for text, label in zip(texts, labels, strict=True):
-            c = np.unique(encode(alnum_words(text)))  # a document counts once
+            c = encode(alnum_words(text))  # a document counts once
             if len(c):
                 codes.append(c)
                 classes.append(np.full(len(c), label, dtype=np.int8))
@@ -92,136 +122,106 @@ def _token_blocks(batches, encode, block: int = 1 << 20):
         yield np.concatenate(codes), np.concatenate(classes)
 
 
-def _class_counts(keys: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    distinct, at = np.unique(keys, return_inverse=True)
+def _class_counts(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, a place of each, and how often each has class 0 and 1."""
+    distinct, first, at = np.unique(keys, return_index=True, return_inverse=True)
     toxic = np.bincount(at, weights=classes == 1, minlength=len(distinct)).astype(np.int64)
-    every = np.bincount(at, minlength=len(distinct)).astype(np.int64)
-    for i in range(0, len(distinct), 100_000):
-        j = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(distinct[j]), pa.array(every[j] - toxic[j]), pa.array(toxic[j])], names=["k", "c0", "c1"])
-
+    return distinct, first, np.bincount(at, minlength=len(distinct)).astype(np.int64) - toxic, toxic
 
-def _bigrams(vocabulary: np.ndarray, hasher: WordHasher):
-    """Encoder of words as (context, word) keys; the unknown word is 0 and no word of its own."""
-    size = len(vocabulary) + 1
 
-    def codes(words: list[bytes]) -> np.ndarray:
-        if not words or size == 1:
-            return np.empty(0, dtype=np.int64)
-        h = signed(hasher.of(words))
-        at = np.searchsorted(vocabulary, h)
-        at[at == len(vocabulary)] = 0
-        ids = np.where(vocabulary[at] == h, at + 1, 0)
-        before = np.concatenate([[0], ids[:-1]])
-        keep = ids != 0
-        return before[keep] * size + ids[keep]
+def _discounted(counts: DataFrame, discount: float, entries: int, share0: str, share1: str) -> DataFrame:
+    """Adds k0 and k1, what each class keeps of its counts: nothing where they follow the shares up to chance."""
+    term = "CASE WHEN {c} > 0 THEN {c} * ln({c} / greatest((c0 + c1) * ({s}), 1e-12)) ELSE 0 END"
+    statistic = " + ".join(term.format(c=c, s=s) for c, s in (("c0", share0), ("c1", share1)))
+    clear = f"c0 + c1 >= {LEAST} AND 2 * ({statistic}) > {3 * math.log(entries + 1)!r}D"
+    return counts.withColumns({f"k{i}": F.expr(f"CASE WHEN {clear} THEN greatest(c{i} - {discount!r}D, 0D) ELSE 0D END") for i in range(2)})
 
-    return codes
 
+def _ratio(p0: str, p1: str):
+    return F.expr(f"ln(greatest({p1}, 1e-12D)) - ln(greatest({p0}, 1e-12D))")
 
-def _count_bigrams(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _bigrams(vocabulary.value, WordHasher())
-        for keys, classes in _token_blocks(batches, encode):
-            yield from _class_counts(keys, classes)
-    return run
-
-
-def _frequent(counts: DataFrame, bits: int = TABLE_BITS, least: int = LEAST) -> DataFrame:
-    """Entries with a share of 2^-bits of all occurrences or more: 2^bits of them at most."""
-    total = counts.agg(F.sum(F.col("c0") + F.col("c1"))).first()[0] or 0
-    return counts.filter(F.col("c0") + F.col("c1") >= max(least, -(-total // (1 << bits))))
 
+def _name_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        u, w = (np.asarray(batch.column(i).to_numpy(), dtype=np.int64) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(pair_names(u, w)), batch.column(2), batch.column(3)], names=["k", "times", "value"])
 
-def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
-    table = df.select(*names).toArrow()
-    return [np.asarray(table.column(n).to_numpy(), dtype=np.int64) for n in names]
 
+def learn_counts(labelled: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """Expressions that speak for a class, from rows (text, label): k, times, value.
 
-def learn_counts(labelled: DataFrame, discount: float = DISCOUNT) -> dict:
-    """The model as plain arrays from rows (text, label): bounded by TABLE_BITS."""
-    spark = labelled.sparkSession
+    The value of a word is its evidence, that of a bigram what it adds to its word's.
+    """
     rows = labelled.select(F.col("text").cast("string"), F.col("label").cast("int"))
-    schema = "k long, c0 long, c1 long"
-    total = lambda df: df.groupBy("k").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    words = total(rows.mapInArrow(_count_words, schema)).persist()
-    vocabulary, w0, w1 = _columns(_frequent(words, TABLE_BITS - 1), "k", "c0", "c1")
-    words.unpersist()
-    order = np.argsort(vocabulary)
-    vocabulary = vocabulary[order]
-    # Place 0 is the unknown word.
-    counts = [np.concatenate([[0.0], x[order]]) for x in (w0, w1)]
-    sent = spark.sparkContext.broadcast(vocabulary)
-    size = len(vocabulary) + 1
-    grams = total(rows.mapInArrow(_count_bigrams(sent), schema)).withColumn(
-        "u", F.expr(f"k div {size}L")).withColumn("w", F.expr(f"k % {size}L")).persist()
-    k, c0, c1 = _columns(_frequent(grams), "k", "c0", "c1")
-    order = np.argsort(k)
-    u, n0, n1 = _columns(grams.groupBy("u").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1")), "u", "n0", "n1")
-    w, contexts = _columns(grams.groupBy("w").agg(F.count(F.lit(1)).alias("t")), "w", "t")
-    grams.unpersist()
-
-    def spread(at, values):
-        out = np.zeros(size, dtype=np.float64)
-        out[at] = values
-        return out
-
-    shared = spread(w, contexts) / max(contexts.sum(), 1)
-    kept = discounted(counts, discount)
-    every = sum(count.sum() for count in counts)
-    back = (every - sum(own.sum() for own in kept)) / max(every, 1.0)
-    word = [own / max(count.sum(), 1.0) + back * shared for own, count in zip(kept, counts, strict=True)]
-    order = np.argsort(k)
-    keys, n = k[order], [spread(u, n0), spread(u, n1)]
+    total = lambda df, *by: df.groupBy(*by).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    grams = materialize(total(rows.mapInArrow(_count_bigrams, "u long, w long, c0 long, c1 long"), "u", "w"), "toxicity-bigrams")
+    contexts = grams.groupBy("w").agg(F.count(F.lit(1)).alias("t"))
+    words = materialize(total(rows.mapInArrow(_count_words, "w long, c0 long, c1 long"), "w").join(contexts, "w"), "toxicity-words")
+    n0, n1, t, entries = (x or 0 for x in words.agg(
+        F.sum("c0"), F.sum("c1"), F.sum("t"), F.count(F.when(F.expr(f"c0 + c1 >= {LEAST}"), 1))).first())
+    if not n0 or not n1:
+        return words.limit(0).select(F.col("w").alias("k"), F.col("c0").alias("times"), F.lit(0.0).alias("value"))
+    kept = _discounted(words, discount, entries, f"{n0 / (n0 + n1)!r}D", f"{n1 / (n0 + n1)!r}D")
+    back = 1 - (kept.agg(F.sum(F.expr("k0 + k1"))).first()[0] or 0.0) / (n0 + n1)
+    kept = kept.withColumns({f"p{i}": F.expr(f"k{i} / {n} + {back!r}D * t / {t}") for i, n in enumerate((n0, n1))}).withColumn(
+        "value", _ratio("p0", "p1"))
+
     # A bigram has counts of its own only where its classes split otherwise than those of its word do.
-    of = keys % size
-    split = [(x[of] + 0.5) / (counts[0][of] + counts[1][of] + 1) for x in counts]
-    own = discounted([c[order].astype(np.float64) for c in (c0, c1)], discount, split)
-    both = np.maximum(n[0] + n[1], 1.0)
-    back = 1 - np.bincount(keys // size, weights=own[0] + own[1], minlength=size) / both
-    return {"vocabulary": vocabulary, "keys": keys, "own": own, "n": n, "back": back, "word": word}
-
-
-def discounted(counts: list[np.ndarray], discount: float, split: list[np.ndarray] | None = None) -> list[np.ndarray]:
-    """What each class keeps of its counts: nothing where they follow ``split`` (else the totals) up to chance."""
-    both = counts[0] + counts[1]
-    if not len(both) or (split is None and not min(c.sum() for c in counts)):
-        return [np.zeros(len(c)) for c in counts]
-    statistic = np.zeros(len(both))
-    for i, c in enumerate(counts):
-        share = c.sum() / both.sum() if split is None else split[i]
-        statistic += 2 * np.where(c > 0, c * np.log(np.maximum(c, 1) / np.maximum(both * share, 1e-12)), 0)
-    clear = (both >= LEAST) & (statistic > 3 * np.log(len(both) + 1))
-    return [np.where(clear, np.maximum(c - discount, 0), 0.0) for c in counts]
+    often = grams.filter(f"c0 + c1 >= {LEAST}")
+    of = kept.filter(f"c0 + c1 >= {LEAST}").select(
+        "w", F.expr("(c0 + 0.5D) / (c0 + c1 + 1)").alias("s0"), F.expr("(c1 + 0.5D) / (c0 + c1 + 1)").alias("s1"), "p0", "p1", "value")
+    own = materialize(_discounted(often.join(of, "w"), discount, often.count(), "s0", "s1").filter("k0 + k1 > 0"), "toxicity-own")
+    given = total(grams, "u").withColumnsRenamed({"c0": "n0", "c1": "n1"}).join(
+        own.groupBy("u").agg(F.sum(F.expr("k0 + k1")).alias("k")), "u").select("u", "n0", "n1", F.expr("1 - k / (n0 + n1)").alias("back"))
+    p = [f"k{i} / greatest(n{i}, 1) + back * p{i}" for i in range(2)]
+    bigrams = own.join(given, "u").select("u", "w", F.expr("c0 + c1").alias("times"), (_ratio(*p) - F.col("value")).alias("value"))
+    return materialize(kept.filter("k0 + k1 > 0").select(F.col("w").alias("k"), F.expr("c0 + c1").alias("times"), "value").union(
+        bigrams.mapInArrow(_name_pairs, "k long, times long, value double")), "toxicity-values")
+
+
+def _split(values: DataFrame) -> tuple[dict, DataFrame | None]:
+    """The head that is sent to executors, and the table of the others (None if there are none)."""
+    head, tail, slots = values, None, None
+    if values.count() > 1 << TABLE_BITS:
+        head = values.orderBy(F.desc("times"), "k").limit(1 << TABLE_BITS)
+    table = head.select("k", "value").toArrow()
+    keys, value = (np.asarray(table.column(c).to_numpy()) for c in ("k", "value"))
+    order = np.argsort(keys)
+    if head is not values:
+        sent = values.sparkSession.createDataFrame(pa.table({"k": pa.array(keys, pa.int64())}))
+        tail = materialize(values.join(sent, "k", "left_anti").select("k", "value"), "toxicity-tail")
+        slots = np.zeros(1 << TAIL_BITS, dtype=bool)
+        found = tail.select(F.shiftrightunsigned("k", 64 - TAIL_BITS).alias("slot")).distinct().toArrow()
+        slots[np.asarray(found.column("slot").to_numpy(), dtype=np.int64)] = True
+    return {"keys": keys[order].astype(np.int64), "value": value[order].astype(np.float64), "slots": slots}, tail
 
 
 def evidence(model: dict, hasher: WordHasher):
-    """A function from words to (number of distinct words, their sum of log P_toxic - log P_ordinary)."""
-    size, keys = len(model["vocabulary"]) + 1, model["keys"]
-    encode = _bigrams(model["vocabulary"], hasher)
-
-    def run(words: list[bytes]) -> tuple[int, float]:
-        codes = np.unique(encode(words))
-        if not len(codes):
-            return 0, 0.0
-        u, w = codes // size, codes % size
-        at = np.minimum(np.searchsorted(keys, codes), max(len(keys) - 1, 0))
-        known = keys[at] == codes if len(keys) else np.zeros(len(codes), dtype=bool)
-        logs = []
-        for i in range(2):
-            kept = np.where(known, model["own"][i][at], 0.0) if len(keys) else 0.0
-            p = kept / np.maximum(model["n"][i][u], 1.0) + model["back"][u] * model["word"][i][w]
-            logs.append(np.log(np.maximum(p, 1e-12)))
+    """A function from words to (number of distinct words, their evidence by the head, names and weights for the tail)."""
+    keys, value, slots = model["keys"], model["value"], model["slots"]
+
+    def run(words: list[bytes]) -> tuple[int, float, np.ndarray, np.ndarray]:
+        pairs = _pairs(words, hasher)
+        u, w = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
         # Each distinct word speaks once: the mean over its contexts.
-        _, place, times = np.unique(w, return_inverse=True, return_counts=True)
-        return len(times), float((np.bincount(place, weights=logs[1] - logs[0]) / times).sum())
+        own, place, times = np.unique(w, return_inverse=True, return_counts=True)
+        names = np.concatenate([own, pair_names(u, w)])
+        weights = np.concatenate([np.ones(len(own)), 1 / times[place]])
+        known, llr = np.zeros(len(names), dtype=bool), 0.0
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, names), len(keys) - 1)
+            known = keys[at] == names
+            llr = float((weights[known] * value[at[known]]).sum())
+        rest = np.zeros(len(names), dtype=bool)
+        if slots is not None:
+            rest = ~known & slots[(names.view(np.uint64) >> np.uint64(64 - TAIL_BITS)).astype(np.int64)]
+        return len(own), llr, names[rest], weights[rest]
 
     return run
 
 
 def _measure(model):
-    """Adds n (distinct words) and llr (their evidence) to rows with a column __text."""
+    """Adds n (distinct words), llr (their evidence by the head) and what the tail is asked for to rows with a column __text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = evidence(model.value, WordHasher())
         for batch in batches:
@@ -230,15 +230,25 @@ def _measure(model):
             keep = [i for i, name in enumerate(batch.schema.names) if name != "__text"]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in keep]
-                + [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64())],
-                names=[batch.schema.names[i] for i in keep] + ["__n", "__llr"])
+                + [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64()),
+                   pa.array([x[2] for x in found], pa.list_(pa.int64())), pa.array([x[3] for x in found], pa.list_(pa.float64()))],
+                names=[batch.schema.names[i] for i in keep] + ["__n", "__llr", "__names", "__weights"])
     return run
 
 
-def _measured(rows: DataFrame, model) -> DataFrame:
+def _measured(rows: DataFrame, model, tail: DataFrame | None) -> DataFrame:
     fields = [f for f in rows.schema.fields if f.name != "__text"]
-    return rows.mapInArrow(_measure(model), StructType(
-        [*fields, StructField("__n", LongType()), StructField("__llr", DoubleType())]))
+    out = rows.mapInArrow(_measure(model), StructType(
+        [*fields, StructField("__n", LongType()), StructField("__llr", DoubleType()),
+         StructField("__names", ArrayType(LongType())), StructField("__weights", ArrayType(DoubleType()))]))
+    if tail is None:
+        return out.drop("__names", "__weights")
+    out = materialize(out.withColumn("__row", F.monotonically_increasing_id()), "toxicity-measured")
+    more = out.select("__row", F.explode(F.arrays_zip("__names", "__weights")).alias("x")).select(
+        "__row", F.col("x.__names").alias("k"), F.col("x.__weights").alias("weight")).join(
+        tail.hint("shuffle_hash"), "k").groupBy("__row").agg(F.sum(F.col("weight") * F.col("value")).alias("__more"))
+    return out.drop("__names", "__weights").join(more, "__row", "left").withColumn(
+        "__llr", F.col("__llr") + F.coalesce("__more", F.lit(0.0))).drop("__row", "__more")
 
 
 def features(n: np.ndarray, llr: np.ndarray) -> np.ndarray:
@@ -278,13 +288,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     if labelled <= BROADCAST_LABELS:
         known = F.broadcast(known)
     taught = rows.filter(F.col("__part") != HELD_OUT).join(known, "__id")
-    model = learn_counts(taught.filter(F.col("__part") != FIT_PART).select(F.col("__text").alias("text"), "label"))
+    model, tail = _split(learn_counts(taught.filter(F.col("__part") != FIT_PART).select(F.col("__text").alias("text"), "label")))
     sent = spark.sparkContext.broadcast(model)
     fit = taught.filter(F.col("__part") == FIT_PART)
     if labelled > FIT_ROWS:
         # A share of the ids by hash: FIT_ROWS of all labels are more than FIT_ROWS of one part.
         fit = fit.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < (FIT_ROWS << 20) // labelled)
-    sample = _measured(fit.select("label", "__text"), sent).select("__n", "__llr", "label").toArrow()
+    sample = _measured(fit.select("label", "__text"), sent, tail).select("__n", "__llr", "label").toArrow()
     n, llr, y = (np.asarray(sample.column(c).to_numpy(), dtype=np.float64) for c in ("__n", "__llr", "label"))
     share = float(y.mean()) if len(y) else 0.0
     if len(y) and 0 < share < 1:
@@ -294,7 +304,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     kept = [F.col(c) for c in carry] if carry else [F.col(id_col).alias("doc_id")]
     measured = _measured(docs.select(
-        *kept, part(id_col).alias("__part"), F.col(text_col).cast("string").alias("__text")), sent)
+        *kept, part(id_col).alias("__part"), F.col(text_col).cast("string").alias("__text")), sent, tail)
     long = F.greatest(F.col("__n"), F.lit(1))
     z = (F.lit(float(beta[0])) + F.lit(float(beta[1])) * 10 * F.col("__llr") / long
          + F.lit(float(beta[2])) * F.col("__llr") / F.sqrt(long) + F.lit(float(beta[3])) * F.log1p("__n"))
