@@ -160,15 +160,21 @@ def _units_task(min_words: int):
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, node, start, end) to (node, text of the span, its bitmap)."""
+    """(text, node, start, end) to (node, text of the span, its bitmap), where the span has the node's set.
+
+    A repeated doc_id may bring other texts.
+    """
     hasher = WordHasher()
     for batch in batches:
         nodes, texts, bits = [], [], []
         for text, node, a, b in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-            words, _ = line_words(text)
+            words = line_words(text)[0][a:b]
+            own = shingle_set(hasher.of(words))
+            if set_name(own) != node:
+                continue
             nodes.append(node)
-            texts.append(b" ".join(words[a:b]).decode("utf-8", "surrogatepass"))
-            bits.append(bitmap(shingle_set(hasher.of(words[a:b]))))
+            texts.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+            bits.append(bitmap(own))
         yield pa.RecordBatch.from_arrays(
             [pa.array(nodes, pa.int64()), pa.array(texts, pa.string()), pa.array(bits, pa.list_(pa.int64()))], names=["node", "text", "bits"])
 
@@ -214,7 +220,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         places = lines.join(nodes.withColumnRenamed("node", "unit").hint("shuffle_hash"), "unit", "left_semi").groupBy("unit").agg(
             F.min(F.struct("doc_id", "start", "end")).alias("at")).select(
             "at.doc_id", F.col("unit").alias("node"), "at.start", "at.end")
-        return base.dropDuplicates(["doc_id"]).join(places.hint("shuffle_hash"), "doc_id").select(
+        return base.join(places.hint("shuffle_hash"), "doc_id").select(
             "text", "node", "start", "end").mapInArrow(_slices, "node long, text string, bits array<long>")
 
     linked = components(link_blocks(entries, texts_of, "paragraph"))

@@ -209,6 +209,14 @@ def test_substring_dedup_compares_later_documents_with_each_other(spark):
     assert dict(got) == want
 
 
+def test_substring_dedup_with_unlike_texts_of_one_id(spark):
+    one, two = ([f"{c}{i}" for i in range(90)] for c in "ab")
+    edited = [[*w[:45], "edit", *w[46:]] for w in (one, two)]
+    data = [(i, " ".join(w)) for i, w in ((1, one), (1, two), (2, edited[0]), (3, edited[1]))]
+    spans = paragraphs.repeated_spans(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.keep_id) for r in spans) == [(2, 0, 90, 1), (3, 0, 90, 1)]
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix_plan(docs).collect()
     assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix_plan(docs).collect()))
