@@ -21,15 +21,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id.
+    """One row of each group of near duplicates: the one with the smallest id (of these the longest text).
 
-    Blank texts form no group and stay, rows without an id too. Of rows that
-    repeat an id one stays (they are one node of the group).
+    Blank texts form no group and stay, rows without an id too. Rows that
+    repeat an id are told apart by their texts, so each goes only if another row of its own group stays.
     """
-    found = ngram_join.ngram_components(docs)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(keep, "doc_id", "left_semi").withColumn(
-        "__n", F.expr("row_number() over (partition by doc_id order by length(text) desc, text)")).filter("__n = 1").select(*docs.columns)
+    text = F.coalesce("text", F.lit(""))
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", (-F.length(text)).alias("longest"), F.xxhash64(text).alias("text")))
+    found = ngram_join.ngram_components(docs.select(key.alias("__key"), "text"), id_col="__key")
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__key"), (F.col("n_shingles") > 0).alias("__grouped")).distinct()
+    stay = docs.withColumn("__key", key).join(keep, "__key").withColumn(
+        "__n", F.expr("row_number() over (partition by __key order by text)")).filter("__n = 1 OR NOT __grouped").select(*docs.columns)
     return stay.unionByName(docs.filter("doc_id IS NULL"))
 
 

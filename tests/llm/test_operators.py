@@ -275,6 +275,16 @@ def test_ngram_components(docs, rows, none):
     assert ngram_join.ngram_components(none).count() == 0
 
 
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    long, near = " ".join(f"a{i}" for i in range(90)), " ".join(f"a{i}" for i in range(88))
+    data = [(1, long), (1, "some other text of seven words here"), (1, long), (2, near), (3, ""), (3, ""), (None, near)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert Counter(map(tuple, got)) == Counter([data[0], data[1], data[4], data[5], data[6]])
+
+
 def test_pipeline_stages_pass_documents_on(spark, docs, tmp_path):
     import corpus_pipeline
 
