@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, lines, mixing, ngram_join, paragraphs, secrets, sharding, toxicity, warc
-from .common import read_table
+from . import decontam, exact_dedup, lines, mixing, ngram_join, paragraphs, periodic, pii, secrets, sharding, toxicity, warc, whitening
+from .common import WHITESPACE_WORD, read_table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,37 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten (by crc32 of the id) repeats a stretch of its words to the end."""
+    words = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(
+        "coalesce(crc32(cast(cast(doc_id as string) as binary)), 1L)").alias("h"))
+    split = words.withColumn("w", F.when(F.expr("h % 10 = 0"), F.regexp_extract_all("text", F.lit(WHITESPACE_WORD), F.lit(0))))
+    placed = split.withColumn("n", F.expr("if(size(w) > 0, size(w), null)")).withColumn("g", F.expr("h div 10")).withColumn(
+        "a", F.expr("cast(g % n as int)")).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    return placed.select("doc_id", F.expr(
+        "CASE WHEN n IS NULL THEN text ELSE array_join(transform(w, (x, i) -> if(i >= a, w[a + (i - a) % p], x)), ' ') END").alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_periods(with_repeats(read_table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", F.expr("(1000 * length) div period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(read_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -70,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_pii": op11_pii,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
