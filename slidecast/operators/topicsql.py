@@ -35,7 +35,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import private_session, scratch_path
 from .windows import WINDOW_END, WINDOW_START
@@ -113,12 +113,11 @@ def choose_lane(spark: SparkSession, name: str, ql: str, schema: StructType,
 class OtherTopic:
     """Another topic's windowed rows visible to this topic's SQL (cross-topic).
 
-    ``end_col`` is the column of the window list that names which window of
-    the other topic each of this topic's windows sees (see ``crosstopic``).
+    ``rows`` carry the ``window_end`` of the reading topic's window that sees
+    them (see ``crosstopic``).
     """
     name: str
     rows: DataFrame
-    end_col: str
 
 
 def windowed_sql(rows: DataFrame, topic: str, ql: str, *, lane: str = "auto",
@@ -166,7 +165,7 @@ def _plan_lane(spark, rows, windows, topic, ql, record_cols, others) -> DataFram
         o.rows.createOrReplaceTempView(v)
         ocols = [c for c in o.rows.columns if c not in RESERVED]
         ctes.append(f"{_q(o.name)} AS (SELECT {', '.join(_q(c) for c in ocols)} "
-                    f"FROM {v} o WHERE o.{WINDOW_END} = w.{_q(o.end_col)})")
+                    f"FROM {v} o WHERE o.{WINDOW_END} = w.{WINDOW_END})")
     sql = (f"SELECT w.{WINDOW_START}, w.{WINDOW_END}, q.* FROM {views['wins']} w, LATERAL ("
            f"WITH {', '.join(ctes)} SELECT * FROM ({ql}) __topic_q) q")
     try:
@@ -211,7 +210,6 @@ def _loop_lane(spark, rows, windows, topic, ql, record_cols, others, chunk) -> D
     fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     sel = [F.date_format(WINDOW_START, fmt).alias("s"), F.date_format(WINDOW_END, fmt).alias("e"),
            _window_key(F.col(WINDOW_END)).alias("k")]
-    sel += [_window_key(F.col(o.end_col)).alias(f"k{i}") for i, o in enumerate(others)]
     # The window list is metadata (one small row per window, bounded by the
     # time span over the slide, not by the data volume); it is streamed to the
     # driver one partition at a time and consumed chunk by chunk.
@@ -231,16 +229,15 @@ def _loop_lane(spark, rows, windows, topic, ql, record_cols, others, chunk) -> D
     tag = uuid.uuid4().hex[:10]
     base_view = f"__sc_loop_{tag}"
     private.read.parquet(stored).createOrReplaceTempView(base_view)
-    for i, p in enumerate(other_paths):
-        private.read.parquet(p).createOrReplaceTempView(f"{base_view}_o{i}")
+    for i, (o, p) in enumerate(zip(others, other_paths, strict=True)):  # no window may see a row of it
+        private.read.schema(StructType([*o.rows.schema.fields, StructField("__wkey", StringType())])).parquet(p).createOrReplaceTempView(f"{base_view}_o{i}")
     cols = ", ".join(_q(c) for c in record_cols)
     ocols = [", ".join(_q(c) for c in o.rows.columns if c not in RESERVED) for o in others]
 
     def one_window(w) -> str:
         ctes = [f"{_q(topic)} AS (SELECT {cols} FROM {base_view} WHERE __wkey = '{w['k']}')"]
         for i, o in enumerate(others):
-            key = "NULL" if w[f"k{i}"] is None else f"'{w[f'k{i}']}'"
-            ctes.append(f"{_q(o.name)} AS (SELECT {ocols[i]} FROM {base_view}_o{i} WHERE __wkey = {key})")
+            ctes.append(f"{_q(o.name)} AS (SELECT {ocols[i]} FROM {base_view}_o{i} WHERE __wkey = '{w['k']}')")
         return (f"SELECT CAST('{w['s']}' AS {ts_type}) AS {WINDOW_START}, "
                 f"CAST('{w['e']}' AS {ts_type}) AS {WINDOW_END}, __q.* FROM "
                 f"(WITH {', '.join(ctes)} SELECT * FROM ({ql}) __t) __q")

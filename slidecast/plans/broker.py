@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..operators.crosstopic import referenced_topics, windows_with_views
 from ..operators.ordering import with_row_index
-from ..operators.panes import pane_aggregate
+from ..operators.panes import sliding_aggregate
 from ..operators.topicsql import windowed_sql
 from ..operators.windows import WINDOW_END, assign_windows
 from .spec import ChannelSpec, TopicSpec, resolve_pipeline
@@ -28,8 +28,8 @@ def run_topic(records: DataFrame, topic: TopicSpec, ts: str = "ts", lane: str =
     """Result of one topic over all its windows: window columns + its columns."""
     if topic.aggregate is not None:
         keys, aggs = topic.aggregate
-        out = pane_aggregate(records, topic.window_us / 1e6, topic.slide_us / 1e6, list(keys), list(aggs),
-                             topic.origin_us / 1e6, ts=ts)
+        out = sliding_aggregate(records, topic.window_us / 1e6, topic.slide_us / 1e6, list(keys), list(aggs),
+                                topic.origin_us / 1e6, ts=ts)
         return with_row_index(out, WINDOW_END, list(topic.order_by)) if topic.order_by else out
     rows = topic_rows(records, topic, ts)
     if topic.fn is not None:

@@ -63,9 +63,10 @@ class TopicSpec:
             raise SpecError(f"topic {self.name!r}: window and slide must be positive")
         if self.aggregate is not None:
             keys, aggs = self.aggregate
-            bad = [f for _, f, _ in aggs if f not in ("count", "sum", "min", "max")]
+            known = ("count", "sum", "min", "max", "count_distinct", "approx_distinct")
+            bad = [f for _, f, _ in aggs if f not in known]
             if bad or not aggs:
-                raise SpecError(f"topic {self.name!r}: aggregate form takes count/sum/min/max, not {bad}")
+                raise SpecError(f"topic {self.name!r}: aggregate form takes {'/'.join(known)}, not {bad}")
         if spark is not None and schema is not None and self.ql is not None:
             from ..operators.topicsql import analyse_topic_sql
             try:

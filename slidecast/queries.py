@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.sliding import sliding_top
+from .operators.windowjoin import Side, cogroup, has, join_rows
 from .operators.windows import WINDOW_END, WINDOW_START
 from .plans.broker import run_channel, run_topic
 from .plans.delivery import envelopes, messages, publish, subscribe
@@ -165,6 +167,18 @@ def q_w1c_sliding_sql_same(spark, sf_dir):
     return _topic(spark, sf_dir, "hourly_day", _HOURLY_SLIDE_SQL.format(t="hourly_day"), DAY, HOUR)
 
 
+def q_w1d_sliding_differences(spark, sf_dir):
+    """1-day windows every minute: counts and whole sums by what enters and what leaves."""
+    return run_topic(_events(spark, sf_dir), TopicSpec("minutely_day", window=DAY, slide=60, aggregate=(
+        ("event_type",), (("n", "count", "*"), ("users_sum", "sum", "user_id")))))
+
+
+def q_w1e_sliding_distinct(spark, sf_dir):
+    """Exact distinct users per 1-day window every hour; no row or value is copied per window."""
+    return run_topic(_events(spark, sf_dir), TopicSpec("hourly_users", window=DAY, slide=HOUR, aggregate=(
+        ("event_type",), (("n", "count", "*"), ("users", "count_distinct", "user_id")))))
+
+
 def _pane_topic() -> TopicSpec:
     return TopicSpec("hourly_day", window=DAY, slide=HOUR, aggregate=(
         ("event_type",), (("n", "count", "*"), ("users_sum", "sum", "user_id"),
@@ -231,6 +245,25 @@ def q_q5_cross_topic_asof(spark, sf_dir):
     return out
 
 
+def _theta_channel() -> ChannelSpec:
+    ch = "theta"
+    return ChannelSpec(ch, [
+        TopicSpec("fivehour", "select user_id, count(*) as n from fivehour group by user_id", 5 * HOUR, 5 * HOUR, ch),
+        TopicSpec("daily", "select d.user_id, d.n as day_n, f.mx as recent_max from "
+                  "(select user_id, count(*) as n from daily group by user_id) d join "
+                  "(select max(n) as mx from (select user_id, count(*) as n from fivehour group by user_id) u) f "
+                  "on d.n > f.mx", DAY, DAY, ch),
+    ])
+
+
+def q_q5c_cross_topic_theta(spark, sf_dir):
+    """A cross-topic join without an equality of its own: the window is still a join key."""
+    out = run_channel(_events(spark, sf_dir), _theta_channel())["daily"]
+    if isinstance(out, Exception):
+        raise out
+    return out
+
+
 def q_q5b_cross_topic_stream(spark, sf_dir):
     from .streaming.channel import lifecycle_roundtrip
     out = lifecycle_roundtrip(spark, _events(spark, sf_dir), _cross_channel(), n_files=4)
@@ -337,13 +370,6 @@ F_SQL = {
     "f9b_theta_join": (
         "select a.event_id, a.value from ev a, (select avg(value) as av, max(value) as mx from ev) b "
         "where a.value > b.mx * 0.9 and a.value > b.av"),
-    "f10_left_join": (
-        "select a.event_type, count(b.event_id) as hi from (select distinct event_type from ev) a "
-        "left join (select event_id, event_type from ev where value > 300) b "
-        "on a.event_type = b.event_type group by a.event_type"),
-    "f11_left_semi": (
-        "select a.event_id, a.user_id from ev a left semi join "
-        "(select user_id from ev where event_type = 'purchase') b on a.user_id = b.user_id"),
     "f12_union": (
         "select event_type, 'hi' as tag from ev where value > 300 union "
         "select event_type, 'lo' as tag from ev where value < 5"),
@@ -363,15 +389,8 @@ F_SQL = {
     "f1b_nested_access": (
         "select event_id, split(props, ' ')[1] as second_tok, from_json(props, 'map<string,int>')['k'] as k_val, "
         "array(user_id, event_id)[0] as first_el, named_struct('u', user_id, 'v', value).v as sv from ev"),
-    "f10b_full_outer": (
-        "select coalesce(a.event_type, b.event_type) as event_type, a.n as hi_n, b.n as lo_n from "
-        "(select event_type, count(*) as n from ev where value > 300 group by event_type) a full outer join "
-        "(select event_type, count(*) as n from ev where value < 5 group by event_type) b "
-        "on a.event_type = b.event_type"),
-    "f17_in_subquery": "select event_id, user_id from ev where user_id in (select user_id from ev where value > 400)",
     "f18_rank_window": (
         "select event_id, event_type, rank() over (partition by event_type order by value desc) as rk from ev"),
-    "f19_rollup": "select event_type, count(*) as n from ev group by rollup(event_type)",
     "f20_explode": "select event_id, tok from ev lateral view explode(split(props, ' ')) t as tok",
     "f21_pivot": (
         "select * from (select user_id, event_type from ev) "
@@ -451,6 +470,15 @@ F_ORACLE = {
     "f17_in_subquery": (
         f"SELECT a.window_start, a.window_end, a.event_id, a.user_id FROM {_W} a WHERE EXISTS ("
         f"SELECT 1 FROM {_W} b WHERE b.window_end = a.window_end AND b.user_id = a.user_id AND b.value > 400)"),
+    "f17b_not_in_subquery": (
+        f"SELECT a.window_start, a.window_end, a.event_id, a.user_id FROM {_W} a WHERE NOT EXISTS ("
+        f"SELECT 1 FROM {_W} b WHERE b.window_end = a.window_end AND b.user_id = a.user_id AND b.value > 400)"),
+    "f7b_sliding_topk": (
+        f"SELECT window_start, window_end, event_id, user_id, value, rank FROM (SELECT *, CAST(row_number() OVER "
+        f"(PARTITION BY window_end ORDER BY value DESC, event_id) AS INTEGER) AS rank FROM {duck_windows(DAY, HOUR)}) WHERE rank <= 3"),
+    "f16b_sliding_approx_distinct": (
+        f"SELECT window_start, window_end, event_type, count(DISTINCT user_id) AS users, true AS within_bound "
+        f"FROM {duck_windows(DAY, HOUR)} GROUP BY ALL"),
     "f18_rank_window": (
         f"SELECT window_start, window_end, event_id, event_type, rank() OVER (PARTITION BY window_end, event_type "
         f"ORDER BY value DESC) AS rk FROM {_W}"),
@@ -469,9 +497,70 @@ F_ORACLE = {
 def _left_join_by_window(rows: DataFrame) -> DataFrame:
     """f10 as a DataFrame-form topic: the join keys carry ``window_end`` (fully parallel)."""
     types = rows.select(WINDOW_START, WINDOW_END, "event_type").distinct()
-    high = rows.filter(F.col("value") > 300).select(WINDOW_END, "event_type", "event_id")
-    return (types.join(high, [WINDOW_END, "event_type"], "left")
-            .groupBy(WINDOW_START, WINDOW_END, "event_type").agg(F.count("event_id").alias("hi")))
+    high = rows.filter(F.col("value") > 300).groupBy(WINDOW_END, "event_type").agg(F.count("event_id").alias("hi"))
+    return types.join(high, [WINDOW_END, "event_type"], "left").select(
+        WINDOW_START, WINDOW_END, "event_type", F.coalesce("hi", F.lit(0)).alias("hi"))
+
+
+def _left_join(rows: DataFrame) -> DataFrame:
+    both = cogroup(rows, ["event_type"], {"a": Side(), "b": Side(F.col("value") > 300, [("hi", "count", "event_id")])})
+    return both.filter(has("a")).select(WINDOW_START, WINDOW_END, "event_type", F.coalesce("hi", F.lit(0)).alias("hi"))
+
+
+def _full_outer(rows: DataFrame) -> DataFrame:
+    return cogroup(rows, ["event_type"], {
+        "hi": Side(F.col("value") > 300, [("hi_n", "count", "*")]),
+        "lo": Side(F.col("value") < 5, [("lo_n", "count", "*")])}).drop(has("hi"), has("lo"))
+
+
+def _left_semi(rows: DataFrame) -> DataFrame:
+    buyers = rows.filter(F.col("event_type") == "purchase")
+    return join_rows(rows.select(WINDOW_START, WINDOW_END, "event_id", "user_id"), buyers, ["user_id"], "left_semi").select(
+        WINDOW_START, WINDOW_END, "event_id", "user_id")
+
+
+def _in_subquery(rows: DataFrame) -> DataFrame:
+    high = rows.filter(F.col("value") > 400)
+    return join_rows(rows.select(WINDOW_START, WINDOW_END, "event_id", "user_id"), high, ["user_id"], "left_semi").select(
+        WINDOW_START, WINDOW_END, "event_id", "user_id")
+
+
+def _not_in_subquery(rows: DataFrame) -> DataFrame:
+    high = rows.filter(F.col("value") > 400)
+    return join_rows(rows.select(WINDOW_START, WINDOW_END, "event_id", "user_id"), high, ["user_id"], "not_in").select(
+        WINDOW_START, WINDOW_END, "event_id", "user_id")
+
+
+def _rollup(rows: DataFrame) -> DataFrame:
+    window = [WINDOW_START, WINDOW_END]
+    return rows.groupingSets([[*window, "event_type"], window], *window, "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Joins and grouping sets as DataFrame-form topics: one plan for all windows.
+F_FN = {"f10_left_join": _left_join, "f10b_full_outer": _full_outer, "f11_left_semi": _left_semi,
+        "f17_in_subquery": _in_subquery, "f17b_not_in_subquery": _not_in_subquery, "f19_rollup": _rollup}
+
+
+def _fn_query(key: str):
+    def run(spark, sf_dir):
+        return run_topic(_events(spark, sf_dir), TopicSpec("ev", fn=F_FN[key], window=DAY))
+    run.__name__ = f"q_{key}"
+    return run
+
+
+def q_f7b_sliding_topk(spark, sf_dir):
+    """The three largest values of every 1-day window, every hour."""
+    top = sliding_top(_events(spark, sf_dir), DAY, HOUR, [F.desc("value"), F.asc("event_id")], 3)
+    return top.select(WINDOW_START, WINDOW_END, "event_id", "user_id", "value", "rank")
+
+
+def q_f16b_sliding_approx_distinct(spark, sf_dir):
+    """Approximate distinct users per 1-day window every hour, held against the exact count (within five standard errors)."""
+    t = TopicSpec("ev", window=DAY, slide=HOUR, aggregate=(("event_type",), (
+        ("users", "count_distinct", "user_id"), ("about", "approx_distinct", "user_id"))))
+    found = run_topic(_events(spark, sf_dir), t)
+    return found.select(WINDOW_START, WINDOW_END, "event_type", "users",
+                        (F.abs(F.col("about") - F.col("users")) <= 5 * 1.04 / 64 * F.col("users") + 1).alias("within_bound"))
 
 
 def q_f10c_left_join_dataframe_topic(spark, sf_dir):
@@ -499,6 +588,8 @@ def registry() -> dict:
         "w1_sliding_count": q_w1_sliding_count,
         "w1b_sliding_pane_agg": q_w1b_sliding_pane_agg,
         "w1c_sliding_sql_same": q_w1c_sliding_sql_same,
+        "w1d_sliding_differences": q_w1d_sliding_differences,
+        "w1e_sliding_distinct": q_w1e_sliding_distinct,
         "w2_tumbling_count": q_w2_tumbling_count,
         "w3_gapped_count": q_w3_gapped_count,
         "w4_multi_topic_fanout": q_w4_multi_topic_fanout,
@@ -513,6 +604,7 @@ def registry() -> dict:
         "q4_top_users": q_q4_top_users,
         "q5_cross_topic_asof": q_q5_cross_topic_asof,
         "q5b_cross_topic_stream": q_q5b_cross_topic_stream,
+        "q5c_cross_topic_theta": q_q5c_cross_topic_theta,
         "q6_ordered_result": q_q6_ordered_result,
         "p1_envelope": q_p1_envelope,
         "p3_subscribe": q_p3_subscribe,
@@ -523,7 +615,11 @@ def registry() -> dict:
     }
     for key in F_SQL:
         reg[key] = _f_query(key)
+    for key in F_FN:
+        reg[key] = _fn_query(key)
     reg["f10c_left_join_dataframe_topic"] = q_f10c_left_join_dataframe_topic
+    reg["f7b_sliding_topk"] = q_f7b_sliding_topk
+    reg["f16b_sliding_approx_distinct"] = q_f16b_sliding_approx_distinct
     return reg
 
 
@@ -559,6 +655,12 @@ def oracles() -> dict[str, str]:
         "w1b_sliding_pane_agg": (
             f"SELECT window_start, window_end, event_type, count(*) AS n, sum(user_id) AS users_sum, "
             f"min(value) AS vmin, max(value) AS vmax FROM {duck_windows(DAY, HOUR)} GROUP BY ALL"),
+        "w1d_sliding_differences": (
+            f"SELECT window_start, window_end, event_type, count(*) AS n, sum(user_id) AS users_sum "
+            f"FROM {duck_windows(DAY, 60)} GROUP BY ALL"),
+        "w1e_sliding_distinct": (
+            f"SELECT window_start, window_end, event_type, count(*) AS n, count(DISTINCT user_id) AS users "
+            f"FROM {duck_windows(DAY, HOUR)} GROUP BY ALL"),
         "w2_tumbling_count": duck_count_by_type(DAY),
         "w3_gapped_count": duck_count_by_type(6 * HOUR, 12 * HOUR),
         "w4_multi_topic_fanout": _fanout_oracle(),
@@ -583,6 +685,14 @@ def oracles() -> dict[str, str]:
             f"SELECT d.window_start, d.window_end, d.user_id, d.n AS day_n, f.n AS recent_n "
             f"FROM d JOIN seen s ON d.window_end = s.window_end "
             f"JOIN f ON f.window_end = s.f_end AND f.user_id = d.user_id"),
+        "q5c_cross_topic_theta": (
+            f"WITH d AS (SELECT window_start, window_end, user_id, count(*) AS n FROM {w_day} GROUP BY ALL), "
+            f"f AS (SELECT window_end, max(n) AS mx FROM (SELECT window_end, user_id, count(*) AS n FROM {five} GROUP BY ALL) "
+            f"GROUP BY window_end), "
+            f"seen AS (SELECT w.window_end, max(f.window_end) AS f_end FROM (SELECT DISTINCT window_end FROM d) w "
+            f"JOIN f ON f.window_end <= w.window_end GROUP BY w.window_end) "
+            f"SELECT d.window_start, d.window_end, d.user_id, d.n AS day_n, f.mx AS recent_max "
+            f"FROM d JOIN seen s ON d.window_end = s.window_end JOIN f ON f.window_end = s.f_end WHERE d.n > f.mx"),
         "q6_ordered_result": q6,
         "p1_envelope": (
             f"SELECT 'events_channel' AS channel, 'top_users' AS topic, window_start, window_end, "
