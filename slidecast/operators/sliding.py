@@ -80,26 +80,16 @@ def _prefix_sums(changes: DataFrame, keys: list[str], sums: list[str], grid: _Gr
     """(keys, __k, sums) changes to one row per key and window number where ``alive`` is above 0."""
     # A pane leaves at most ``reach`` windows after it enters: a bucket at least that long with totals above 0 holds a change.
     size = max(BUCKET_WINDOWS, grid.reach + 1)
-    bucket = _whole(F.col("__k"), size)
-    zeros = [F.lit(0).cast(changes.schema[c].dataType).alias(c) for c in sums]
-    by_bucket = changes.withColumn("__b", bucket)
-    # Each bucket starts with a row, so what is carried into it is stated from its first window on.
-    starts = by_bucket.select(*keys, "__b").distinct().select(*keys, "__b", (F.col("__b") * F.lit(size)).alias("__k"), *zeros)
-    points = by_bucket.select(*keys, "__b", "__k", *sums).unionByName(starts).groupBy(*keys, "__b", "__k").agg(*[F.sum(c).alias(c) for c in sums])
+    by_bucket = changes.withColumn("__b", _whole(F.col("__k"), size))
+    totals = by_bucket.groupBy(*keys, "__b").agg(*[F.sum(c).alias(c) for c in sums])
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    # Each bucket starts with what is carried into it.
+    carry = totals.select(*keys, "__b", (F.col("__b") * F.lit(size)).alias("__k"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in sums])
+    points = by_bucket.select(*keys, "__b", "__k", *sums).unionByName(carry).groupBy(*keys, "__b", "__k").agg(*[F.sum(c).alias(c) for c in sums])
     inside = Window.partitionBy(*keys, "__b").orderBy("__k")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    local = points.select(*keys, "__b", "__k", *[F.sum(c).over(upto).alias(c) for c in sums],
-                          F.lead("__k").over(inside).alias("__next"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = by_bucket.groupBy(*keys, "__b").agg(*[F.sum(c).alias(c) for c in sums]).select(
-        *[F.col(c).alias(f"__key{i}") for i, c in enumerate(keys)], F.col("__b").alias("__cb"),
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__c{i}") for i, c in enumerate(sums)])
-    same = F.col("__b") == F.col("__cb")
-    for i, c in enumerate(keys):
-        same = same & F.col(c).eqNullSafe(F.col(f"__key{i}"))
-    total = local.join(carry, same).select(
-        *keys, "__k", F.coalesce("__next", (F.col("__b") + 1) * F.lit(size)).alias("__next"),
-        *[(F.col(c) + F.col(f"__c{i}")).alias(c) for i, c in enumerate(sums)])
+    total = points.select(*keys, "__k", F.coalesce(F.lead("__k").over(inside), (F.col("__b") + 1) * F.lit(size)).alias("__next"),
+                          *[F.sum(c).over(upto).alias(c) for c in sums])
     # Totals stay as they are up to the next change: one row per window of the result.
     return total.filter(F.col(alive) > 0).select(*keys, F.explode(F.expr("sequence(__k, __next - 1)")).alias("__k"), *sums)
 

@@ -100,20 +100,60 @@ class ChannelSpec:
             t.validate(spark, schema)
         return self
 
+    def failing(self, spark: SparkSession, schema: StructType, ts: str = "ts") -> dict[str, Exception]:
+        """Topics that cannot run over records of this schema, with their errors.
+
+        SQL is analysed with every topic of the channel visible by its name, a DataFrame form is
+        applied to an empty table; nothing is read.
+        """
+        from ..operators.topicsql import analyse_topic_sql
+        from ..operators.windows import assign_windows
+        empty = spark.createDataFrame([], schema)
+        out: dict[str, Exception] = {}
+        for t in self.topics:
+            try:
+                if t.ql is not None:
+                    analyse_topic_sql(spark, t.name, t.ql, schema, {o.name: schema for o in self.topics if o is not t})
+                elif t.fn is not None:
+                    t.fn(assign_windows(empty, t.window_us / 1e6, t.slide_us / 1e6, t.origin_us / 1e6, ts=ts))
+                else:
+                    empty.select(*t.aggregate[0], *[c for _, _, c in t.aggregate[1] if c != "*"])
+            except Exception as exc:
+                out[t.name] = exc
+        return out
+
+    def to_table(self, spark: SparkSession) -> DataFrame:
+        """The channel as a spec table that :meth:`from_table` reads back (X5); DataFrame-form topics have no text."""
+        code = [t.name for t in self.topics if t.fn is not None]
+        if code:
+            raise SpecError(f"channel {self.name!r}: DataFrame-form topics {code} cannot be written to a table")
+        rows = [(self.name, t.name, t.ql, t.window_us / 1e6, t.slide_us / 1e6, i, t.origin_us / 1e6, list(t.order_by),
+                 t.aggregate and (list(t.aggregate[0]), [tuple(a) for a in t.aggregate[1]])) for i, t in enumerate(self.topics)]
+        return spark.createDataFrame(rows, (
+            "channel string, name string, ql string, `window` double, slide double, position int, origin double, order_by array<string>, "
+            "aggregate struct<keys: array<string>, aggs: array<struct<out: string, func: string, column: string>>>"))
+
     @staticmethod
     def from_table(spec_df: DataFrame, channel: str,
                    pipeline: Callable[[DataFrame], DataFrame] | str | None = None) -> ChannelSpec:
-        """Read a spec table ``(channel, name, ql, window, slide[, position])``.
+        """Read a spec table ``(channel, name, ql, window, slide[, position, origin, order_by, aggregate])``.
 
         The table is configuration (a handful of rows per channel); topic order
         is ``position`` when present, else the name.
         """
         cols = set(spec_df.columns)
         order = "position" if "position" in cols else "name"
+        optional = [c for c in ("origin", "order_by", "aggregate") if c in cols]
         rows = (spec_df.filter(spec_df["channel"] == channel)
-                .orderBy(order).select("channel", "name", "ql", "window", "slide").collect())
-        topics = [TopicSpec(name=r["name"], ql=r["ql"], window=r["window"], slide=r["slide"],
-                            channel=r["channel"]) for r in rows]
+                .orderBy(order).select("channel", "name", "ql", "window", "slide", *optional).collect())
+        topics = []
+        for r in rows:
+            extra = {c: r[c] for c in optional if r[c] is not None}
+            if "order_by" in extra:
+                extra["order_by"] = tuple(extra["order_by"])
+            if "aggregate" in extra:
+                extra["aggregate"] = (tuple(extra["aggregate"]["keys"]), tuple(tuple(a) for a in extra["aggregate"]["aggs"]))
+            topics.append(TopicSpec(name=r["name"], ql=r["ql"], window=r["window"], slide=r["slide"], channel=r["channel"], **extra))
         return ChannelSpec(channel, topics, pipeline)
 
 

@@ -1,7 +1,9 @@
 """Channels as named streaming queries: start, list, find, stop.
 
-A running channel is one Structured Streaming query per topic, named
-``<channel>.<topic>``, each writing flat envelopes to
+A running channel reads its source once for all its SQL and DataFrame-form topics:
+they share one query ``<channel>.<a>+<b>`` and one pane store. Topics of the
+aggregate form keep their own native query (state, no rows), and so does a
+topic that does not analyse, which fails alone. Each topic writes flat envelopes to
 ``<sink>/channel=<c>/topic=<t>/batch_id=<n>`` (routing by directory, so a
 subscriber's read prunes to its topic). Starting a channel that already
 runs is a no-op; stopping touches only that channel's queries.
@@ -19,7 +21,7 @@ from ..plans.delivery import envelope, subscribe_stream
 from ..plans.spec import ChannelSpec, resolve_pipeline
 from ..session import scratch_path, stream_session
 from ..sources.replay import replay_stream, stage_replay
-from .lanes import read_sink, start_native_topic, start_sql_topic, start_topic_group
+from .lanes import read_sink, start_native_topic, start_topic_group
 
 
 # Queries of started channels by (application, channel): whichever session started them, every handle sees them.
@@ -60,7 +62,7 @@ class Channel:
         return bool(self.queries())
 
     def start(self, source: DataFrame, ts: str = "ts", available_now: bool = False) -> list[StreamingQuery]:
-        """Start one query per topic; idempotent while the channel runs."""
+        """Start the channel's queries; idempotent while it runs."""
         if self.is_running:
             return self.queries()
         self._sessions.append(source.sparkSession)
@@ -69,31 +71,19 @@ class Channel:
         trigger = None if available_now else interval_text(to_micros(self.spec.batch_interval))
         delay_us = to_micros(self.spec.delay)
         started = []
-        for group in topic_groups(self.spec.topics):
-            if len(group) == 1 and group[0].aggregate is not None:
+        for group in topic_groups(self.spec, records, ts):
+            key = "+".join(t.name for t in group)
+            where = f"{self.state_root}/{ch}/{key}"
+            common = dict(ts=ts, available_now=available_now, query_name=_qname(ch, key), processing_time=trigger, delay_us=delay_us)
+            if len(group) == 1 and native(group[0]):
                 t = group[0]
                 started.append(start_native_topic(
-                    records, t, f"{self.sink}/channel={ch}/topic={t.name}",
-                    f"{self.state_root}/{ch}/{t.name}/checkpoint", ts=ts, available_now=available_now,
-                    query_name=_qname(ch, t.name),
-                    to_output=lambda df, name=t.name: envelope(df, ch, name).drop("channel", "topic"),
-                    processing_time=trigger, delay_us=delay_us))
-            elif len(group) == 1:
-                t = group[0]
-                started.append(start_sql_topic(
-                    records, t, f"{self.sink}/channel={ch}/topic={t.name}",
-                    f"{self.state_root}/{ch}/{t.name}/state", f"{self.state_root}/{ch}/{t.name}/checkpoint",
-                    ts=ts, available_now=available_now, query_name=_qname(ch, t.name),
-                    to_output=lambda df, name=t.name: envelope(df, ch, name).drop("channel", "topic"),
-                    processing_time=trigger, delay_us=delay_us))
+                    records, t, f"{self.sink}/channel={ch}/topic={t.name}", f"{where}/checkpoint",
+                    to_output=lambda df, name=t.name: envelope(df, ch, name).drop("channel", "topic"), **common))
             else:
-                key = "+".join(t.name for t in group)
                 started.append(start_topic_group(
-                    records, group, lambda name: f"{self.sink}/channel={ch}/topic={name}",
-                    f"{self.state_root}/{ch}/{key}/state", f"{self.state_root}/{ch}/{key}/checkpoint",
-                    _qname(ch, key), ts=ts, available_now=available_now,
-                    to_output=lambda name, df: envelope(df, ch, name).drop("channel", "topic"),
-                    processing_time=trigger, delay_us=delay_us))
+                    records, group, lambda name: f"{self.sink}/channel={ch}/topic={name}", f"{where}/state", f"{where}/checkpoint",
+                    to_output=lambda name, df: envelope(df, ch, name).drop("channel", "topic"), **common))
         self._started.extend(started)
         _REGISTRY.setdefault((self.spark.sparkContext.applicationId, ch), []).extend(started)
         return started
@@ -109,23 +99,22 @@ class Channel:
         return read_sink(self.spark, self.sink).filter(F.col("channel") == self.spec.name)
 
 
-def topic_groups(topics) -> list[list]:
-    """Topics linked by cross-topic references share one query (channel order kept)."""
-    names = [t.name for t in topics]
-    parent = {n: n for n in names}
+def native(topic) -> bool:
+    """Whether a topic runs as a native streaming aggregation."""
+    return topic.aggregate is not None and all(f in ("count", "sum", "min", "max") for _, f, _ in topic.aggregate[1])
+
+
+def topic_groups(spec: ChannelSpec, records: DataFrame, ts: str = "ts") -> list[list]:
+    """The topics of each query: all that need their windows' rows together (in channel order), the others alone.
 
-    def root(n):
-        while parent[n] != n:
-            n = parent[n]
-        return n
-    for t in topics:
-        if t.ql:
-            for other in referenced_topics(t.ql, [n for n in names if n != t.name]):
-                parent[root(other)] = root(t.name)
-    groups: dict[str, list] = {}
-    for t in topics:
-        groups.setdefault(root(t.name), []).append(t)
-    return list(groups.values())
+    A native topic that others read shares their store: its windows' rows are their table.
+    """
+    failing = spec.failing(records.sparkSession, records.schema, ts)
+    names = [t.name for t in spec.topics]
+    read = {n for t in spec.topics if t.ql and t.name not in failing for n in referenced_topics(t.ql, [x for x in names if x != t.name])}
+    alone = [t for t in spec.topics if t.name in failing or (native(t) and t.name not in read)]
+    shared = [t for t in spec.topics if t not in alone]
+    return ([shared] if shared else []) + [[t] for t in alone]
 
 
 def list_channels(spark: SparkSession) -> list[str]:
@@ -157,6 +146,8 @@ def lifecycle_roundtrip(spark: SparkSession, events: DataFrame, spec: ChannelSpe
     again = chan.start(stream, available_now=True)
     if chan.is_running and len(again) != len(first):
         raise RuntimeError("a running channel was started twice")
+    if chan.is_running and spec.name not in list_channels(spark):
+        raise RuntimeError("a running channel is not listed")
     for q in first:
         q.awaitTermination()
     chan.stop()

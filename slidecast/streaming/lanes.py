@@ -30,7 +30,7 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -41,11 +41,12 @@ from ..operators.ordering import with_row_index
 from ..operators.topicsql import choose_lane, windowed_sql
 from ..operators.windows import WINDOW_END, WINDOW_START, assign_windows, window_struct
 from ..plans.spec import TopicSpec
-from ..session import scratch_path, stream_session
+from ..session import delete_folder, list_folders, scratch_path, stream_session
 from ..sources.replay import replay_stream, stage_replay
 
 _EPOCH = _dt.datetime(1970, 1, 1)
 _MAX_GLOB_PANES = 2000
+_KEEP_PROGRESS = 1000
 
 
 def _micros(text: str) -> int:
@@ -169,7 +170,8 @@ def stream_pane_agg_replay(spark: SparkSession, df: DataFrame, topic: TopicSpec,
 
 def window_aggregate(rows: DataFrame, keys, aggs) -> DataFrame:
     """An aggregate-form topic over already windowed rows (closing windows only)."""
-    fns = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    fns = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max,
+           "count_distinct": F.count_distinct, "approx_distinct": F.approx_count_distinct}
     cols = [fns[f](F.lit(1) if c == "*" else F.col(c)).alias(o) for o, f, c in aggs]
     return rows.groupBy(WINDOW_START, WINDOW_END, *keys).agg(*cols)
 
@@ -177,11 +179,20 @@ def window_aggregate(rows: DataFrame, keys, aggs) -> DataFrame:
 class TopicGroupStream:
     """``foreachBatch`` handler that evaluates SQL topics on their closed windows.
 
-    One handler serves one topic, or a group of topics of a channel that read
-    each other's tables (cross-topic SQL must see the other topic's latest
-    window at each firing time, so the group shares one query). Rows are
-    stored once per batch; each topic keeps a window index (one row per
-    window that has fired) used for the cross-topic as-of lookup.
+    One handler serves the SQL topics of a channel: one read of the source and
+    one pane store for all of them, and cross-topic SQL sees the other
+    topic's latest window at each firing time. Rows are stored once per batch; a
+    topic that others read keeps a window index (one row per window that has
+    fired) for the as-of lookup.
+
+    Retention: before a batch is stored, panes that neither this batch nor any later one can
+    read are deleted: those that end before the watermark of the batches already committed
+    less the longest window (or, of a topic that others read, before its latest
+    fired window). A retry of the batch starts from the same watermark, so it finds all it
+    needs. Rows that come too late for every window are counted, not stored.
+
+    A topic whose SQL fails on the data (SQLSTATE class 22 or 42) is noted in
+    ``failures`` and left out from then on; the others go on.
     """
 
     def __init__(self, topics: Sequence[TopicSpec], sink_for: Callable[[str], str], state: str,
@@ -194,6 +205,7 @@ class TopicGroupStream:
         self.delay_us = delay_us
         self.to_output = to_output or (lambda name, df: df)
         self._lanes: dict[str, str] = {}  # chosen once, on the first batch
+        self._failed: set[str] = set()
         self._last = None  # (batch id, watermark text) of the last batch handled here
         # A pane is the smallest multiple of a slide that covers a window, so a
         # closing window reads one or two pane folders.
@@ -237,9 +249,9 @@ class TopicGroupStream:
         except AnalysisException as e:
             if not _missing(e) or lo_us is None:
                 raise
-            # No pane of that range holds rows; the store itself must be there.
-            spark.read.schema(self._stored_schema).option("basePath", rows_dir).parquet(f"{rows_dir}/__pane=*")
-            return spark.createDataFrame([], self._schema)
+            if not list_folders(spark, self.state):  # the store itself must be there
+                raise
+            return spark.createDataFrame([], self._schema)  # no pane of that range holds rows
         cond = F.col(self.ts) < self._at(hi_us)
         if lo_us is not None:
             cond = cond & (F.col(self.ts) >= self._at(lo_us))
@@ -273,6 +285,7 @@ class TopicGroupStream:
                 if not _missing(e) or batch_id > 0:
                     raise
                 prev = None  # the first batch
+        keep_from = None if prev is None else self._expire(spark, batch_id, _micros(prev) - self.delay_us)
         # 2. store this batch's rows by pane; dynamic overwrite replaces only this
         #    batch's folders, so a retried batch writes the same files once. The
         #    batch's max event time, and how many windows that had fired before a
@@ -288,6 +301,7 @@ class TopicGroupStream:
         stats = Observation(f"batch_{uuid.uuid4().hex[:8]}")
         (batch.observe(stats, F.max(self._instant(F.col(self.ts))).alias("m"),
                        F.sum(sum(late[1:], late[0])).alias("late"))
+              .filter(F.lit(True) if keep_from is None else F.col(self.ts) >= self._at(keep_from))
               .withColumn("__pane", self._pane_key(F.col(self.ts)))
               .withColumn("batch", F.lit(batch_id).cast("long"))
               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -295,10 +309,13 @@ class TopicGroupStream:
         batch_max, n_late = stats.get.get("m"), stats.get.get("late") or 0
         batch_max = None if batch_max is None else _text(batch_max)
         # 3. progress log; watermark = max event time over batches so far.
-        #    Times travel as fixed-width text, so text order is time order.
-        (spark.createDataFrame([(batch_id, batch_max, n_late)], "batch BIGINT, max_ts STRING, late BIGINT")
-              .write.mode("overwrite").parquet(f"{prog_dir}/b={batch_id}"))
+        #    Times travel as fixed-width text, so text order is time order. The
+        #    last entry says all, so old ones go.
         new = max((m for m in (prev, batch_max) if m is not None), default=None)
+        (spark.createDataFrame([(batch_id, new, n_late)], "batch BIGINT, max_ts STRING, late BIGINT")
+              .write.mode("overwrite").parquet(f"{prog_dir}/b={batch_id}"))
+        if batch_id >= _KEEP_PROGRESS:
+            delete_folder(spark, f"{prog_dir}/b={batch_id - _KEEP_PROGRESS}")
         self._last = (batch_id, new)
         if n_late:
             log.warning("batch %d: %d rows arrived after a window of theirs had fired", batch_id, n_late)
@@ -309,9 +326,7 @@ class TopicGroupStream:
         new_us = _micros(new) - self.delay_us
         prev_us = None if prev is None else _micros(prev) - self.delay_us
         closing = {t.name: self._windows(spark, t, prev_us, new_us) for t in self.topics}
-        names = [t.name for t in self.topics]
-        refs = {t.name: (referenced_topics(t.ql, [n for n in names if n != t.name]) if t.ql else [])
-                for t in self.topics}
+        names, refs = [t.name for t in self.topics], self._references()
         # 4. window index of every topic that others read (all topics' windows
         #    closing now are indexed first: a later topic fired at its own,
         #    earlier times)
@@ -321,34 +336,70 @@ class TopicGroupStream:
                 .write.mode("overwrite").parquet(f"{index_dir}/topic={name}/batch={batch_id}"))
         # 5. evaluate every topic on its closing windows
         for t in self.topics:
-            rows = closing[t.name]
-            if t.aggregate is not None:
-                result = window_aggregate(rows, *t.aggregate)
-            elif t.fn is not None:
-                result = t.fn(rows)
-            else:
-                if t.name not in self._lanes:
-                    schema = rows.drop(WINDOW_START, WINDOW_END).schema
-                    self._lanes[t.name] = choose_lane(spark, t.name, t.ql, schema,
-                                                      {n: schema for n in refs[t.name]})
-                if refs[t.name]:
-                    others = []
-                    for n in refs[t.name]:
-                        other = next(o for o in self.topics if o.name == n)
-                        seen = (spark.read.parquet(f"{index_dir}/topic={n}")
-                                .filter(F.col("batch") <= batch_id).select(WINDOW_END))
-                        earlier = n in names[:names.index(t.name)]
-                        others.append((n, self._seen_rows(spark, other, seen, prev_us, new_us), earlier))
-                    wins, orefs = windows_with_views(rows, others)
-                    result = windowed_sql(rows, t.name, t.ql, lane=self._lanes[t.name], windows=wins,
-                                          others=orefs, check=False)
-                else:
-                    result = windowed_sql(rows, t.name, t.ql, lane=self._lanes[t.name], check=False)
-            if t.order_by:
-                result = with_row_index(result, WINDOW_END, list(t.order_by))
-            (self.to_output(t.name, result).write.mode("overwrite")
-                 .parquet(f"{self.sink_for(t.name).rstrip('/')}/batch_id={batch_id}"))
-            log.debug("batch %d: topic %s written at %.2fs", batch_id, t.name, time.perf_counter() - t0)
+            if t.name in self._failed:
+                continue
+            try:
+                self._evaluate(spark, t, closing[t.name], batch_id, prev_us, new_us, names, refs[t.name])
+            except PySparkException as e:
+                if len(self.topics) == 1 or (e.getSqlState() or "")[:2] not in ("22", "42"):
+                    raise  # nothing else to go on with, or no fault of the topic's
+                self._failed.add(t.name)
+                log.error("batch %d: topic %s failed and is left out: %s", batch_id, t.name, e)
+                (spark.createDataFrame([(batch_id, t.name, str(e)[:2000])], "batch BIGINT, topic STRING, error STRING")
+                      .write.mode("overwrite").parquet(f"{self.state}/failures/{t.name}"))
+            log.debug("batch %d: topic %s done at %.2fs", batch_id, t.name, time.perf_counter() - t0)
+
+    def _references(self) -> dict[str, list[str]]:
+        names = [t.name for t in self.topics]
+        return {t.name: (referenced_topics(t.ql, [n for n in names if n != t.name]) if t.ql else []) for t in self.topics}
+
+    def _expire(self, spark, batch_id: int, fired_us: int) -> int:
+        """Delete the panes that nothing can read any more; the first instant still needed.
+
+        ``fired_us`` is the watermark up to which windows have fired in committed batches.
+        """
+        need = min(fired_us - t.window_us for t in self.topics)
+        for name in {n for r in self._references().values() for n in r}:
+            other = next(t for t in self.topics if t.name == name)
+            try:
+                ends = spark.read.parquet(f"{self.state}/windows/topic={name}").filter(F.col("batch") < batch_id)
+            except AnalysisException as e:
+                if not _missing(e):
+                    raise
+                continue  # none of its windows has fired
+            e = self._instant(F.col(WINDOW_END))
+            last = ends.agg(F.max(F.when(e <= fired_us, e))).first()[0]
+            if last is not None:
+                need = min(need, last - other.window_us)
+        first = (need - self.origin_us) // self.pane_us
+        for name in list_folders(spark, f"{self.state}/rows"):
+            if name.startswith("__pane=p") and int(name[8:]) < first:
+                delete_folder(spark, f"{self.state}/rows/{name}")
+        return first * self.pane_us + self.origin_us
+
+    def _evaluate(self, spark, t: TopicSpec, rows: DataFrame, batch_id: int, prev_us, new_us, names, refs) -> None:
+        if t.aggregate is not None:
+            result = window_aggregate(rows, *t.aggregate)
+        elif t.fn is not None:
+            result = t.fn(rows)
+        else:
+            if t.name not in self._lanes:
+                schema = rows.drop(WINDOW_START, WINDOW_END).schema
+                self._lanes[t.name] = choose_lane(spark, t.name, t.ql, schema, {n: schema for n in refs})
+            wins, orefs = None, ()
+            if refs:
+                others = []
+                for n in refs:
+                    other = next(o for o in self.topics if o.name == n)
+                    seen = (spark.read.parquet(f"{self.state}/windows/topic={n}")
+                            .filter(F.col("batch") <= batch_id).select(WINDOW_END))
+                    others.append((n, self._seen_rows(spark, other, seen, prev_us, new_us), names.index(n) < names.index(t.name)))
+                wins, orefs = windows_with_views(rows, others)
+            result = windowed_sql(rows, t.name, t.ql, lane=self._lanes[t.name], windows=wins, others=orefs, check=False)
+        if t.order_by:
+            result = with_row_index(result, WINDOW_END, list(t.order_by))
+        (self.to_output(t.name, result).write.mode("overwrite")
+             .parquet(f"{self.sink_for(t.name).rstrip('/')}/batch_id={batch_id}"))
 
     def _seen_rows(self, spark, other: TopicSpec, other_ends: DataFrame, prev_us, new_us) -> DataFrame:
         """Rows of ``other``'s windows that the reader's closing windows can see.

@@ -54,3 +54,23 @@ def test_aggregate_form_validation():
     TopicSpec("a", window=10, aggregate=(("k",), (("n", "count", "*"),))).validate()
     with pytest.raises(SpecError):
         TopicSpec("a", window=10, aggregate=(("k",), (("m", "median", "v"),))).validate()
+
+
+def test_spec_table_keeps_every_field(spark):
+    spec = ChannelSpec("ch", [
+        TopicSpec("b", "select 1 as x from b", 60, 30, "ch", origin=7, order_by=("x",)),
+        TopicSpec("a", window=60, channel="ch", aggregate=(("k",), (("n", "count", "*"), ("u", "count_distinct", "v"))))])
+    back = ChannelSpec.from_table(spec.to_table(spark), "ch")
+    for mine, theirs in zip(spec.topics, back.topics, strict=True):
+        assert (mine.name, mine.ql, mine.window_us, mine.slide_us, mine.origin_us, mine.order_by, mine.aggregate) == (
+            theirs.name, theirs.ql, theirs.window_us, theirs.slide_us, theirs.origin_us, theirs.order_by, theirs.aggregate)
+
+
+def test_failing_topics_are_found_before_a_run(spark):
+    spec = ChannelSpec("ch", [
+        TopicSpec("ok", "select k, (select count(*) from other) as n from ok", 60, 60, "ch"),
+        TopicSpec("other", "select missing from other", 60, 60, "ch"),
+        TopicSpec("fn", fn=lambda df: df.select("missing"), window=60, channel="ch"),
+        TopicSpec("agg", window=60, channel="ch", aggregate=(("missing",), (("n", "count", "*"),)))])
+    schema = spark.createDataFrame([], "k int, ts timestamp_ntz").schema
+    assert set(spec.failing(spark, schema)) == {"other", "fn", "agg"}
