@@ -14,7 +14,7 @@ from .operators.sliding import sliding_top
 from .operators.windowjoin import Side, cogroup, has, join_rows
 from .operators.windows import WINDOW_END, WINDOW_START
 from .plans.broker import run_channel, run_topic
-from .plans.delivery import envelopes, messages, publish, subscribe
+from .plans.delivery import ENVELOPE_COLUMNS, envelopes, messages, publish, subscribe
 from .plans.spec import ChannelSpec, TopicSpec, compose
 from .session import scratch_path, stream_session
 from .sources.codec import bbox_filter, decode, encode, project_record
@@ -137,6 +137,10 @@ def q_w3_gapped_count(spark, sf_dir):
 
 
 def q_w4_multi_topic_fanout(spark, sf_dir):
+    return _fanout_envelopes(spark, sf_dir).select(*ENVELOPE_COLUMNS)
+
+
+def _fanout_envelopes(spark, sf_dir):
     return envelopes(run_channel(_events(spark, sf_dir), _fanout_channel()), "events_channel")
 
 
@@ -285,21 +289,30 @@ def q_q6_ordered_result(spark, sf_dir):
 def q_p1_envelope(spark, sf_dir):
     res = q_q6_ordered_result(spark, sf_dir)
     from .plans.delivery import envelope
-    msgs = messages(envelope(res, "events_channel", "top_users"), max_rows=2)
-    return msgs.withColumn("payloads", F.array_join("data", "|")).drop("data")
+    msgs = messages(envelope(res, "events_channel", "top_users"), max_rows=2, ordered=True)
+    return msgs.withColumn("payloads", F.array_join("data", "|")).drop("data", "column_names")
 
 
 def q_p3_subscribe(spark, sf_dir):
     path = scratch_path(spark, "published")
-    publish(q_w4_multi_topic_fanout(spark, sf_dir), path)
-    return subscribe(spark, path, "events_channel", "gapped")
+    publish(_fanout_envelopes(spark, sf_dir), path)
+    return subscribe(spark, path, "events_channel", "gapped").select(*ENVELOPE_COLUMNS)
 
 
 def q_p4_listener(spark, sf_dir):
     from .streaming.channel import listener_roundtrip
     path = scratch_path(spark, "published")
-    publish(q_w4_multi_topic_fanout(spark, sf_dir), path)
-    return listener_roundtrip(spark, path, "events_channel", "tumbling")
+    publish(_fanout_envelopes(spark, sf_dir), path)
+    return listener_roundtrip(spark, path, "events_channel", "tumbling").select("delivered_topic", *ENVELOPE_COLUMNS)
+
+
+def q_p4b_ordered_messages_once(spark, sf_dir):
+    """Messages of the ordered topic, in row order, through a subscriber that dies and starts again; each once."""
+    from .streaming.channel import messages_roundtrip
+    env = envelopes({"top_users": q_q6_ordered_result(spark, sf_dir)}, "events_channel")
+    path = scratch_path(spark, "messages")
+    publish(messages(env, max_rows=2, ordered=True), path)
+    return messages_roundtrip(spark, path, "events_channel", "top_users")
 
 
 # ---------------------------------------------------------------- composition (2E)
@@ -338,6 +351,53 @@ def q_x2_log_to_channel_stream(spark, sf_dir):
     return chan.results().select("channel", "topic", WINDOW_START, WINDOW_END, "columns", "payload")
 
 
+def _landed_log(spark, sf_dir) -> str:
+    """Two log topics (even and odd events) whose records hold no time: only the log knows when they arrived."""
+    from .sources import landed
+    ev = _events(spark, sf_dir)
+    log = encode(ev, {"name": "event_type", "text": "props"}, key=F.col("event_id").cast("string"), keep=["ts", "event_id"])
+    path = scratch_path(spark, "log")
+    landed.land(landed.arrived(log, "ts"), path, F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd"))
+    return path
+
+
+def q_s1b_two_log_topics(spark, sf_dir):
+    """Two log topics as one stream, from an instant on, with the arrival time of each record."""
+    from .sources.landed import log_stream
+    log = log_stream(stream_session(spark), _landed_log(spark, sf_dir), ["even", "odd"], starting="2024-01-10 00:00:00", wall_clock=True, max_bytes=64 << 20)
+    out = scratch_path(spark, "log-out")
+    (log.select("key", "topic", F.col("timestamp").alias("arrived"), F.col("value").cast("string").alias("value"))
+     .writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "log-ckpt"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(out)
+
+
+def q_w7e_arrival_clock_stream(spark, sf_dir):
+    """Records ``(name, text, count)`` without a time of their own, windowed by the time the log took them in."""
+    from pyspark.sql.types import StructType
+    from .sources.landed import ARRIVAL, log_stream
+    from .streaming.channel import Channel
+    schema = StructType.fromDDL("name STRING, text STRING")
+    ch = ChannelSpec("arrivals", [TopicSpec(
+        "names", "select name, count(*) as n, sum(count) as c from names group by name", DAY, DAY // 2, "arrivals")],
+        pipeline=lambda df: project_record(decode(df, schema, keep=[ARRIVAL]), keep=[ARRIVAL]))
+    chan = Channel(spark, ch, scratch_path(spark, "arrival-sink"), scratch_path(spark, "arrival-state"))
+    log = log_stream(stream_session(spark), _landed_log(spark, sf_dir), ["even", "odd"], wall_clock=True)
+    for q in chan.start(log, ts=ARRIVAL, available_now=True):
+        q.awaitTermination()
+    return chan.results().select(*ENVELOPE_COLUMNS)
+
+
+def q_s3b_binary_records(spark, sf_dir):
+    """The binary record of two strings: encoded, error events truncated to half, decoded, malformed ones dropped."""
+    from .sources.binary import decode_strings, encode_strings
+    ev = _events(spark, sf_dir)
+    log = encode_strings(ev, ["event_type", "props"], key=F.col("event_id"), keep=["event_type"])
+    half = F.expr("substring(value, 1, cast(octet_length(value) / 2 as int))")
+    log = log.withColumn("value", F.when(F.col("event_type") == "error", half).otherwise(F.col("value")))
+    return decode_strings(log, ["name", "text"], keep=["key"])
+
+
 def q_x7_channel_lifecycle(spark, sf_dir):
     from .streaming.channel import lifecycle_roundtrip
     return lifecycle_roundtrip(spark, _events(spark, sf_dir), _fanout_channel(), n_files=4)
@@ -582,6 +642,8 @@ def registry() -> dict:
     reg = {
         "s1_replay_source": q_s1_replay_source,
         "s2_decode_drop_malformed": q_s2_decode_drop_malformed,
+        "s1b_two_log_topics": q_s1b_two_log_topics,
+        "s3b_binary_records": q_s3b_binary_records,
         "s4_project_record": q_s4_project_record,
         "s6_encode_roundtrip": q_s6_encode_roundtrip,
         "s7_bbox_filter": q_s7_bbox_filter,
@@ -598,6 +660,7 @@ def registry() -> dict:
         "w7b_stream_native_agg": q_w7b_stream_native_agg,
         "w7d_out_of_order_stream": q_w7d_out_of_order_stream,
         "w7c_stream_pane_agg": q_w7c_stream_pane_agg,
+        "w7e_arrival_clock_stream": q_w7e_arrival_clock_stream,
         "w8_origin_offset": q_w8_origin_offset,
         "w8b_ragged": q_w8b_ragged,
         "q3_all_records": q_q3_all_records,
@@ -609,6 +672,7 @@ def registry() -> dict:
         "p1_envelope": q_p1_envelope,
         "p3_subscribe": q_p3_subscribe,
         "p4_listener": q_p4_listener,
+        "p4b_ordered_messages_once": q_p4b_ordered_messages_once,
         "x1_pipeline_compose": q_x1_pipeline_compose,
         "x2_log_to_channel_stream": q_x2_log_to_channel_stream,
         "x7_channel_lifecycle": q_x7_channel_lifecycle,
@@ -646,6 +710,11 @@ def oracles() -> dict[str, str]:
         "s2_decode_drop_malformed": (
             "SELECT event_id, ts, user_id, event_type AS name, props AS text, value FROM events "
             "WHERE event_type <> 'error'"),
+        "s1b_two_log_topics": (
+            "SELECT CAST(event_id AS VARCHAR) AS key, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS topic, ts AS arrived, "
+            "CAST(to_json({'name': event_type, 'text': props}) AS VARCHAR) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'"),
+        "s3b_binary_records": (
+            "SELECT CAST(event_id AS VARCHAR) AS key, event_type AS name, props AS text FROM events WHERE event_type <> 'error'"),
         "s4_project_record": "SELECT event_type AS name, props AS text, CAST(0 AS INTEGER) AS count FROM events",
         "s6_encode_roundtrip": (
             "SELECT CAST(event_id AS VARCHAR) AS key, event_id, ts, event_type AS name, props AS text FROM events"),
@@ -703,6 +772,10 @@ def oracles() -> dict[str, str]:
         "p4_listener": (
             f"SELECT 'tumbling' AS delivered_topic, * FROM "
             f"({_duck_env('tumbling', duck_count_by_type(DAY), ['event_type', 'n'])})"),
+        "p4b_ordered_messages_once": (
+            f"SELECT 'top_users' AS delivered_topic, window_start, window_end, CAST(floor((row_index - 1) / 2) AS BIGINT) AS part, "
+            f"'event_type,n' AS columns, string_agg(CAST(to_json({{'event_type': event_type, 'n': n}}) AS VARCHAR), '|' "
+            f"ORDER BY row_index) AS payloads FROM ({q6}) GROUP BY ALL"),
         "x1_pipeline_compose": (
             f"SELECT window_start, window_end, CAST(floor(value / 50) AS BIGINT) AS band, count(*) AS n, "
             f"min(value) AS vmin, max(value) AS vmax FROM {duck_windows(DAY, src='(SELECT * FROM events WHERE user_id BETWEEN 10 AND 60 AND value BETWEEN 20.0 AND 200.0)')} "
@@ -719,6 +792,10 @@ def oracles() -> dict[str, str]:
         f"FROM (SELECT window_start, window_end, event_type AS name, count(*) AS tweets "
         f"FROM {duck_windows(DAY, src=ok)} GROUP BY ALL) "
         f"WHERE window_end <= (SELECT max(ts) FROM events WHERE event_type <> 'error')")
+    out["w7e_arrival_clock_stream"] = (
+        f"SELECT 'arrivals' AS channel, 'names' AS topic, window_start, window_end, 'name,n,c' AS columns, "
+        f"CAST(to_json({{'name': name, 'n': n, 'c': 0}}) AS VARCHAR) AS payload FROM (SELECT window_start, window_end, event_type AS name, "
+        f"count(*) AS n FROM {duck_windows(DAY, DAY // 2)} GROUP BY ALL) WHERE window_end <= (SELECT max(ts) FROM events)")
     out.update(F_ORACLE)
     out["f10c_left_join_dataframe_topic"] = F_ORACLE["f10_left_join"]
     return out

@@ -37,10 +37,11 @@ def encode(df: DataFrame, fields: dict[str, Column | str], key: Column | str | N
 
 
 def decode(log: DataFrame, schema: StructType, required: Sequence[str] | None = None,
-           observation: Observation | str | None = None, keep_key: bool = False) -> DataFrame:
+           observation: Observation | str | None = None, keep_key: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """``key, value`` log → typed records; malformed values are dropped.
 
-    ``required`` defaults to every field of ``schema``. With an
+    ``required`` defaults to every field of ``schema``; ``keep`` carries columns of the log along
+    (its arrival time). With an
     ``observation``, the counts ``events`` and ``dropped`` are recorded when
     the result is computed; on a stream pass a name instead, and the counts
     appear per micro-batch in ``query.lastProgress["observedMetrics"]``.
@@ -49,8 +50,8 @@ def decode(log: DataFrame, schema: StructType, required: Sequence[str] | None =
     with_corrupt = StructType(list(schema.fields) + [StructField(CORRUPT, StringType(), True)])
     opts = dict(JSON_OPTIONS, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
     parsed = F.from_json(F.col("value").cast("string"), with_corrupt, opts)
-    cols = [F.col("key")] if keep_key else []
-    out = log.select(*cols, parsed.alias("__r"))
+    kept = (["key"] if keep_key else []) + list(keep)
+    out = log.select(*kept, parsed.alias("__r"))
     ok = F.col("__r").isNotNull() & F.col(f"__r.{CORRUPT}").isNull()
     for name in required:
         ok = ok & F.col(f"__r.`{name}`").isNotNull()
@@ -58,8 +59,7 @@ def decode(log: DataFrame, schema: StructType, required: Sequence[str] | None =
     if observation is not None:
         out = out.observe(observation, F.count(F.lit(1)).alias("events"),
                           F.sum(F.when(F.col("__ok"), 0).otherwise(1)).alias("dropped"))
-    keep = ["key"] if keep_key else []
-    return out.filter("__ok").select(*keep, *[F.col(f"__r.`{n}`").alias(n) for n in schema.fieldNames()])
+    return out.filter("__ok").select(*kept, *[F.col(f"__r.`{n}`").alias(n) for n in schema.fieldNames()])
 
 
 def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
@@ -75,9 +75,9 @@ def ingest(df: DataFrame, fields: dict[str, Column | str], path: str,
     write_log(encode(df, fields), path)
 
 
-def project_record(df: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
-    """Decoded event → query record ``(name, text, count = 0)``."""
-    return df.select(F.col(name).alias("name"), F.col(text).alias("text"),
+def project_record(df: DataFrame, name: str = "name", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Decoded event → query record ``(name, text, count = 0)`` (S4); ``keep`` carries the arrival time along."""
+    return df.select(*keep, F.col(name).alias("name"), F.col(text).alias("text"),
                      F.lit(0).cast(IntegerType()).alias("count"))
 
 

@@ -47,7 +47,8 @@ def replay_stream(spark: SparkSession, path: str, schema: StructType,
 
 def broker_stream(spark: SparkSession, servers: str, topics: list[str],
                   starting_offsets: str = "latest", max_offsets_per_trigger: int | None = None) -> DataFrame:
-    """Subscribe to a set of log topics as one ``key STRING, value BINARY`` stream.
+    """Subscribe to a set of log topics as one ``key, value, timestamp, topic`` stream
+    (the form of ``landed.log_stream``; windows may run by the log's ``timestamp``).
 
     Starts at the latest offsets, as the reference does. Needs the Kafka
     connector on the classpath (absent in the test container).
@@ -65,7 +66,7 @@ def broker_stream(spark: SparkSession, servers: str, topics: list[str],
             raise RuntimeError("the Kafka connector (spark-sql-kafka) is not on the classpath; "
                                "use replay_stream over landed files instead") from exc
         raise
-    return src.selectExpr("CAST(key AS STRING) AS key", "value", "topic")
+    return src.selectExpr("CAST(key AS STRING) AS key", "value", "timestamp", "topic")
 
 
 def broker_sink_options(servers: str, topic: str) -> dict[str, str]:

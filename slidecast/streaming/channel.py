@@ -11,13 +11,14 @@ runs is a no-op; stopping touches only that channel's queries.
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.durations import interval_text, to_micros
 from ..operators.crosstopic import referenced_topics
-from ..plans.delivery import envelope, subscribe_stream
+from ..plans.delivery import deliver_messages, envelope, subscribe_stream
 from ..plans.spec import ChannelSpec, resolve_pipeline
 from ..session import scratch_path, stream_session
 from ..sources.replay import replay_stream, stage_replay
@@ -167,3 +168,29 @@ def listener_roundtrip(spark: SparkSession, published: str, channel: str, topic:
                          available_now=True)
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+def messages_roundtrip(spark: SparkSession, published: str, channel: str, topic: str) -> DataFrame:
+    """Deliver a topic's messages to a listener that fails once on its way; what it kept, after a restart."""
+    out, ledger, checkpoint = (scratch_path(spark, k) for k in ("messages-out", "messages-ledger", "messages-ckpt"))
+    calls = {"n": 0, "fail_at": 3}
+
+    def keep(delivered_topic: str, columns: list[str], message) -> None:
+        calls["n"] += 1
+        if calls["n"] == calls["fail_at"]:
+            raise RuntimeError("the subscriber died")
+        row = (delivered_topic, message.window_start, message.window_end, message.part, ",".join(columns), "|".join(message.data))
+        spark.createDataFrame([row], _KEPT).coalesce(1).write.mode("append").parquet(out)
+
+    spark.createDataFrame([], _KEPT).write.parquet(out)
+    for _ in range(2):
+        q = deliver_messages(spark, published, channel, topic, keep, ledger, checkpoint, available_now=True)
+        try:
+            q.awaitTermination()
+        except StreamingQueryException:
+            if calls["n"] != calls["fail_at"]:
+                raise
+    return spark.read.schema(_KEPT).parquet(out)
+
+
+_KEPT = "delivered_topic string, window_start timestamp_ntz, window_end timestamp_ntz, part long, columns string, payloads string"

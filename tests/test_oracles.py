@@ -17,6 +17,7 @@ FAST = ["s2_decode_drop_malformed", "s4_project_record", "s6_encode_roundtrip",
         "f1_scalar_funcs", "f2_filter", "f3_global_agg", "f7_topk", "f8_self_join", "f9b_theta_join",
         "f10_left_join", "f10b_full_outer", "f11_left_semi", "f17_in_subquery", "f17b_not_in_subquery", "f19_rollup",
         "q5c_cross_topic_theta", "w1d_sliding_differences", "w1e_sliding_distinct", "f7b_sliding_topk", "f16b_sliding_approx_distinct",
+        "s1b_two_log_topics", "s3b_binary_records", "w7e_arrival_clock_stream", "p4b_ordered_messages_once",
         "f12_union", "f13_intersect", "f14_except", "f15_with"]
 
 

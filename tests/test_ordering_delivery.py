@@ -94,3 +94,74 @@ def test_envelope_keeps_microseconds(spark, events_of):
     ev = events_of([(1.123456, 1, "view", 1.0)])
     env = envelope(windowed_sql(assign_windows(ev, 5), "t", "select ts from t"), "c", "t").collect()
     assert env[0].payload == '{"ts":"1970-01-01T00:00:01.123456"}' and env[0].columns == "ts"
+
+
+def test_envelopes_keep_order_and_column_names(spark, events_of):
+    from slidecast.operators.windows import assign_windows
+    from slidecast.plans.delivery import FULL_COLUMNS, envelopes
+    rows = assign_windows(events_of([(1, 1, "view", 3.0), (2, 2, "click", 2.0)]), 5)
+    res = with_row_index(rows.select("window_start", "window_end", F.col("value").alias("a,b")), "window_end", [F.col("`a,b`")])
+    env = envelopes({"o": res, "p": res.drop("row_index")}, "ch")
+    assert tuple(env.columns) == FULL_COLUMNS
+    path = scratch_path(spark, "ordered")
+    publish(env, path)
+    got = subscribe(spark, path, "ch", "o").orderBy("row_index").collect()
+    assert [(r.row_index, r.column_names, r.payload) for r in got] == [(1, ["a,b"], '{"a,b":2.0}'), (2, ["a,b"], '{"a,b":3.0}')]
+    assert [r.row_index for r in subscribe(spark, path, "ch", "p").collect()] == [None, None]
+    assert [m.data for m in messages(subscribe(spark, path, "ch", "o"), 5).collect()] == [['{"a,b":2.0}', '{"a,b":3.0}']]
+
+
+def test_slow_subscriber_takes_bounded_batches_and_goes_on_where_it_was(spark):
+    from slidecast.plans.delivery import ENVELOPE_SCHEMA, subscribe_stream
+    path, ck = scratch_path(spark, "bounded"), scratch_path(spark, "ck")
+    for i in range(6):
+        (spark.range(200).select(F.lit(None).cast("timestamp_ntz").alias("window_start"), F.lit(None).cast("timestamp_ntz").alias("window_end"),
+                                 F.lit("x").alias("columns"), F.concat(F.lit(f"{i}-"), "id").alias("payload"), F.array(F.lit("x")).alias("column_names"),
+                                 F.col("id").alias("row_index"), F.lit("c").alias("channel"), F.lit("t").alias("topic"))
+         .coalesce(1).write.mode("append").partitionBy("channel", "topic").parquet(path))
+    seen = []
+
+    def take(topic, columns, rows):
+        if len(seen) == 2:
+            raise RuntimeError("too much")
+        seen.append({r.payload for r in rows.collect()})
+
+    import pytest
+    with pytest.raises(Exception, match="too much"):
+        subscribe_stream(spark, path, "c", "t", take, ck, available_now=True, max_bytes=5000).awaitTermination()
+    first = list(seen)
+    seen.clear()
+    del take
+
+    def rest(topic, columns, rows):
+        seen.append({r.payload for r in rows.collect()})
+    subscribe_stream(spark, path, "c", "t", rest, ck, available_now=True, max_bytes=5000).awaitTermination()
+    batches = first + seen
+    assert len(batches) > 3 and max(map(len, batches)) <= 400
+    assert sum(map(len, batches)) == 1200 == len(set().union(*batches)) and "row_index" in ENVELOPE_SCHEMA.names
+
+
+def test_messages_are_delivered_once_in_window_order(spark, events_of):
+    from slidecast.operators.topicsql import windowed_sql
+    from slidecast.operators.windows import assign_windows
+    from slidecast.plans.delivery import deliver_messages, envelopes
+    ev = events_of([(i, 1, "view", float(i)) for i in range(40)])
+    res = windowed_sql(assign_windows(ev, 10), "t", "select event_id from t")
+    path, ledger, ck = (scratch_path(spark, k) for k in ("msg", "ledger", "ck"))
+    msgs = messages(envelopes({"t": res}, "ch"), max_rows=4)
+    publish(msgs, path)
+    got, fail = [], [5]
+
+    def listener(topic, columns, message):
+        if len(got) == fail[0]:
+            fail[0] = -1
+            raise RuntimeError("down")
+        got.append((message.window_end, message.part, message.n_rows, columns))
+
+    import pytest
+    with pytest.raises(Exception, match="down"):
+        deliver_messages(spark, path, "ch", "t", listener, ledger, ck, available_now=True).awaitTermination()
+    deliver_messages(spark, path, "ch", "t", listener, ledger, ck, available_now=True).awaitTermination()
+    publish(msgs, path)  # published a second time: nothing is delivered again
+    deliver_messages(spark, path, "ch", "t", listener, ledger, ck, available_now=True).awaitTermination()
+    assert got == sorted(got) and [g[1:3] for g in got] == [(0, 4), (1, 4), (2, 2)] * 4 and got[0][3] == ["event_id"]
