@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +52,11 @@ def bucketed(df: DataFrame, key: str, kind: str) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
+def quoted(names) -> list:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def ascii_lower(column):
     """Lower-case A-Z only, on the JVM."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -120,18 +122,3 @@ def parity_bits(s: np.ndarray, longs: int) -> np.ndarray:
     slot = (mix(s) >> np.uint64(40)) % np.uint64(64 * longs)
     odd = (np.bincount(slot.astype(np.int64), minlength=64 * longs) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
-
-
-def python_batches(batches, columns):
-    """Arrow batches as lists of Python values, column by column."""
-    for batch in batches:
-        yield [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
-
-
-def table_batches(rows: dict, schema: pa.Schema, size: int = 5000):
-    """Column lists as Arrow batches of bounded length."""
-    table = pa.table({f.name: pa.array(rows[f.name], type=f.type) for f in schema}, schema=schema)
-    yield from table.to_batches(max_chunksize=size)
-
-
-WORD_PATTERN = re.compile(WHITESPACE_WORD)

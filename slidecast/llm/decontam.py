@@ -191,7 +191,9 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with __n_words, __items array<string>, __spans array<struct<start,end>> (word positions)."""
     spark = docs.sparkSession
-    out = docs.withColumns({
+    names = docs.columns
+    text_col = f"__c{names.index(text_col)}"  # a column may have any name
+    out = docs.toDF(*[f"__c{i}" for i in range(len(names))]).withColumns({
         "__n_words": F.lit(0).cast("long"), "__items": F.array().cast("array<string>"),
         "__spans": F.array().cast("array<struct<start:bigint,end:bigint>>")})
     blocks = 0
@@ -202,7 +204,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     if not blocks:  # no items: words are counted all the same
         empty = spark.sparkContext.broadcast(query_set([], window))
         out = out.mapInArrow(_search_task(empty, text_col, shard_words), StructType(out.schema.fields))
-    return out
+    return out.toDF(*names, "__n_words", "__items", "__spans")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -232,7 +234,9 @@ def cut_spans(text: str | None, spans: list[dict]) -> str | None:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the removal spans cut out of their texts; all rows and columns stay."""
     found = find_spans(docs, benchmark, text_col, **options)
-    names = docs.columns
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    text_col = names[docs.columns.index(text_col)]
+    found = found.toDF(*names, "__n_words", "__items", "__spans")
 
     def cut(batches):
         for batch in batches:
@@ -243,4 +247,4 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
             yield pa.RecordBatch.from_arrays(
                 [new if n == text_col else batch.column(batch.schema.get_field_index(n)) for n in names], names=names)
 
-    return found.mapInArrow(cut, docs.schema)
+    return found.mapInArrow(cut, docs.toDF(*names).schema).toDF(*docs.columns)

@@ -16,7 +16,7 @@ collapsed, empty lines go. Tables with plain text use :func:`text_lines`.
 Edge cases: a null or empty page has no lines; a null URL or one without host
 belongs to the host ''; rows that repeat a page id are pages of their own;
 case counts; an empty table gives an empty result; other columns are passed
-through by :func:`drop_site_lines` and must not be named like its own.
+through by :func:`drop_site_lines`; one named like a column of the result gives way to it.
 """
 
 from __future__ import annotations
@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .common import materialize
+from .common import materialize, quoted
 
 RATIO = 0.3
 MIN_PAGES = 3
+RESULTS = ("host", "n_lines", "n_dropped", "clean")
 
 
 def host_of(url: Column) -> Column:
@@ -87,13 +88,16 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
 def drop_site_lines(pages: DataFrame, text_col: str, host: Column, cut=html_lines, ratio: float = RATIO,
                     min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` without their text, but with host, n_lines, n_dropped and clean (the lines that stay, joined)."""
-    names = [c for c in pages.columns if c != text_col]
-    rows = materialize(with_lines(pages, text_col, cut).withColumn("host", host), "site-lines")
-    bad = boilerplate(rows.select("host", "lines"), ratio, min_pages)
+    names = [c for c in pages.columns if c != text_col and c not in RESULTS]
+    inner = [f"__c{i}" for i in range(len(names))]
+    narrow = pages.select(*[c.alias(i) for c, i in zip(quoted(names), inner, strict=True)], host.alias("host"), quoted([text_col])[0].alias("__text"))
+    rows = materialize(with_lines(narrow, "__text", cut), "site-lines")
+    # Written first, so the join deals out both sides by itself and the pages of a hot host can be split.
+    bad = materialize(boilerplate(rows.select("host", "lines"), ratio, min_pages), "site-boilerplate")
     joined = rows.join(bad.hint("shuffle_hash"), "host", "left")
     kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.array_contains(F.col("boilerplate"), x)))
     return joined.withColumn("__kept", kept).select(
-        *names, "host", F.size("lines").cast("long").alias("n_lines"),
+        *[F.col(i).alias(c) for c, i in zip(names, inner, strict=True)], "host", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("__kept")).cast("long").alias("n_dropped"),
         F.array_join("__kept", "\n").alias("clean"))

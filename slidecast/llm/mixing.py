@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE_WORD, materialize
+from .common import WHITESPACE_WORD, materialize, quoted
 
 MAX_COPIES = 3
 BLOCK = 128
@@ -196,4 +196,4 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         plan,
         F.col(id_col).eqNullSafe(F.col("__mix_id")) & (F.col("__hash") == F.col("__mix_hash"))
         & (F.col("__nth") == F.col("__mix_nth")) & F.col(source_col).eqNullSafe(F.col("__mix_source")),
-    ).withColumn("__copy", F.explode(F.expr("sequence(1, __mix_copies)"))).select(*names)
+    ).withColumn("__copy", F.explode(F.expr("sequence(1, __mix_copies)"))).select(*quoted(names))

@@ -181,9 +181,12 @@ def _keep_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     rows, links = jaccard_links(docs, id_col, text_col)
-    # Ids are nodes of the graph too, so a repeated id joins the texts it stands on.
-    heads = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("head"))
-    comps = components(links).withColumnRenamed("component", "root")
+    placed = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "node")
+    heads = placed.groupBy("node").agg(F.min("doc_id").alias("head"))
+    # Ids are nodes of the graph too: an id that stands on several texts joins them.
+    several = placed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last").select("doc_id", "b")
+    bridges = placed.distinct().join(several, "doc_id").select(F.col("node").alias("a"), "b").filter("a <> b")
+    comps = components(links.select("a", "b").union(bridges)).withColumnRenamed("component", "root")
     of_node = heads.join(comps, "node", "left").select("node", "head", F.coalesce("root", "node").alias("root"))
     least = of_node.groupBy("root").agg(F.min("head").alias("component_id"))
     named = of_node.join(least, "root").select("node", "component_id")

@@ -6,7 +6,8 @@ them, long tokens of mixed letters and digits are *candidates*.
 
 Every span and candidate is hashed; hashes are counted over the whole corpus
 by distinct owners and distinct repositories. A value that ``widely`` owners
-or more have is a copied example; one that few owners have looks live. Base
+or more have, or ``widely_repos`` repositories or more (one owner who copies a template into many), is
+a copied example; one that few owners have in few repositories looks live. Base
 spans always stay and carry their verdict; a candidate becomes a span of kind
 ``token`` only if it belongs to few owners and stands apart from base spans.
 
@@ -16,8 +17,8 @@ results are written once with a row number of their own, so rows that repeat
 an id stay apart.
 
 Edge cases: null text counts as empty; null owners and repositories are
-values of their own; an empty table gives an empty result; other columns are
-ignored.
+values of their own; very long texts are scanned whole; spans that start together keep the order of
+``KINDS``; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 
-WIDELY = 3
+WIDELY, WIDELY_REPOS = 3, 12
 TOKEN_LENGTH = 20
 _ASSIGN = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(ACCESS)
@@ -100,7 +101,8 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 repo_cols: tuple[str, ...] = ("source", "lang"), widely: int = WIDELY) -> DataFrame:
+                 repo_cols: tuple[str, ...] = ("source", "lang"), widely: int = WIDELY,
+                 widely_repos: int = WIDELY_REPOS) -> DataFrame:
     """One row per document: doc_id, base and spans (structs in order, with owners, repos and live), counts by kind."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"),
@@ -112,7 +114,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("row", F.monotonically_increasing_id()), "secret-scan")
     each = scanned.filter(F.size("base") + F.size("tokens") > 0).select(
         "row", "owner", "repo", F.inline(F.concat("base", "tokens")))
-    owned = ownership(each).withColumn("live", F.col("owners") < widely)
+    owned = ownership(each).withColumn("live", (F.col("owners") < widely) & (F.col("repos") < widely_repos))
     judged = each.join(owned, "value_hash").filter("kind < 3 OR live")
     spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
         "start", "kind", "end", "value_hash", "owners", "repos", "live"))).alias("spans"))

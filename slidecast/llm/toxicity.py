@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 A bigram model per class (toxic, ordinary) over the words of labelled
-documents. N are numbers of documents, so that a long or repetitive document
-is one voice. Discounted class counts of bigrams are smoothed by discounted
+documents. N are numbers of distinct documents, so that a long or repetitive document
+is one voice, and so are the copies of one (equal texts). Discounted class counts of bigrams are smoothed by discounted
 class counts of words, and these by continuation counts (in how many contexts
 a word occurs) that both classes share:
 
@@ -15,8 +15,8 @@ falling back costs both classes the same. An expression that is rare, or whose c
 differ by no more than chance, is discounted in full, so it goes through the
 counts that both classes share and speaks for neither; others are discounted
 by ``DISCOUNT``. Chance is the likelihood-ratio statistic of the two counts,
-with a bar (3 ln V for V expressions) at which less than one expression in all
-passes by chance; bigrams are held against the split of their word. A
+with one bar (``CLEAR``, passed by chance by one expression in some ten million) at every input
+size; bigrams are held against the split of their word. A
 document's evidence is the mean over its distinct words
 (each the mean over its contexts) of ``log P_toxic - log P_ordinary``; a logistic curve, fitted on labelled
 documents that the counts have not seen, turns evidence and length into a
@@ -25,7 +25,7 @@ score from 0 to 1.
 Counts are Spark tables over every labelled document of the counting part
 (``crc32(id) mod 4`` of 0 or 1), of all words and of all bigrams of words (the
 first word's context is 0). An expression needs ``LEAST`` documents to speak for a
-class, at every input size. Where a bigram's own counts are discounted in full,
+class, at every input size, whatever the vocabulary. Where a bigram's own counts are discounted in full,
 the context cancels and its evidence is that of its word, which is 0 where the
 word's are too (all rare words). So a score needs the expressions that speak
 for a class only. The ``2^TABLE_BITS`` most frequent of them are sent to executors
@@ -43,7 +43,8 @@ Edge cases: a null or empty text has evidence 0 and length 0 and is scored by
 the curve like others; a null id is in part 0 but has no label; labels that
 repeat an id count once, toxic if any says so; without labels of both classes
 the score is the share of toxic labels (0 without any); an empty table gives
-an empty result; other columns are ignored.
+an empty result; very long texts are counted and scored whole; rows that repeat
+(id, text) are rows of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,12 +58,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import WordHasher, alnum_words, materialize, mix, signed
+from .common import WordHasher, alnum_words, materialize, mix, quoted, signed
 
 DISCOUNT = 0.75
 TABLE_BITS = 20
 TAIL_BITS = 23
 LEAST = 5
+CLEAR = 30.0
 FIT_ROWS = 50_000
 BROADCAST_LABELS = 2_000_000
 THRESHOLD = 0.3
@@ -129,11 +131,11 @@ def _class_counts(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, ..
     return distinct, first, np.bincount(at, minlength=len(distinct)).astype(np.int64) - toxic, toxic
 
 
-def _discounted(counts: DataFrame, discount: float, entries: int, share0: str, share1: str) -> DataFrame:
+def _discounted(counts: DataFrame, discount: float, share0: str, share1: str) -> DataFrame:
     """Adds k0 and k1, what each class keeps of its counts: nothing where they follow the shares up to chance."""
     term = "CASE WHEN {c} > 0 THEN {c} * ln({c} / greatest((c0 + c1) * ({s}), 1e-12)) ELSE 0 END"
     statistic = " + ".join(term.format(c=c, s=s) for c, s in (("c0", share0), ("c1", share1)))
-    clear = f"c0 + c1 >= {LEAST} AND 2 * ({statistic}) > {3 * math.log(entries + 1)!r}D"
+    clear = f"c0 + c1 >= {LEAST} AND 2 * ({statistic}) > {CLEAR!r}D"
     return counts.withColumns({f"k{i}": F.expr(f"CASE WHEN {clear} THEN greatest(c{i} - {discount!r}D, 0D) ELSE 0D END") for i in range(2)})
 
 
@@ -157,11 +159,10 @@ def learn_counts(labelled: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     grams = materialize(total(rows.mapInArrow(_count_bigrams, "u long, w long, c0 long, c1 long"), "u", "w"), "toxicity-bigrams")
     contexts = grams.groupBy("w").agg(F.count(F.lit(1)).alias("t"))
     words = materialize(total(rows.mapInArrow(_count_words, "w long, c0 long, c1 long"), "w").join(contexts, "w"), "toxicity-words")
-    n0, n1, t, entries = (x or 0 for x in words.agg(
-        F.sum("c0"), F.sum("c1"), F.sum("t"), F.count(F.when(F.expr(f"c0 + c1 >= {LEAST}"), 1))).first())
+    n0, n1, t = (x or 0 for x in words.agg(F.sum("c0"), F.sum("c1"), F.sum("t")).first())
     if not n0 or not n1:
-        return words.limit(0).select(F.col("w").alias("k"), F.col("c0").alias("times"), F.lit(0.0).alias("value"))
-    kept = _discounted(words, discount, entries, f"{n0 / (n0 + n1)!r}D", f"{n1 / (n0 + n1)!r}D")
+        return words.filter("false").select(F.col("w").alias("k"), F.col("c0").alias("times"), F.lit(0.0).alias("value"))
+    kept = _discounted(words, discount, f"{n0 / (n0 + n1)!r}D", f"{n1 / (n0 + n1)!r}D")
     back = 1 - (kept.agg(F.sum(F.expr("k0 + k1"))).first()[0] or 0.0) / (n0 + n1)
     kept = kept.withColumns({f"p{i}": F.expr(f"k{i} / {n} + {back!r}D * t / {t}") for i, n in enumerate((n0, n1))}).withColumn(
         "value", _ratio("p0", "p1"))
@@ -170,7 +171,7 @@ def learn_counts(labelled: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     often = grams.filter(f"c0 + c1 >= {LEAST}")
     of = kept.filter(f"c0 + c1 >= {LEAST}").select(
         "w", F.expr("(c0 + 0.5D) / (c0 + c1 + 1)").alias("s0"), F.expr("(c1 + 0.5D) / (c0 + c1 + 1)").alias("s1"), "p0", "p1", "value")
-    own = materialize(_discounted(often.join(of, "w"), discount, often.count(), "s0", "s1").filter("k0 + k1 > 0"), "toxicity-own")
+    own = materialize(_discounted(often.join(of, "w"), discount, "s0", "s1").filter("k0 + k1 > 0"), "toxicity-own")
     given = total(grams, "u").withColumnsRenamed({"c0": "n0", "c1": "n1"}).join(
         own.groupBy("u").agg(F.sum(F.expr("k0 + k1")).alias("k")), "u").select("u", "n0", "n1", F.expr("1 - k / (n0 + n1)").alias("back"))
     p = [f"k{i} / greatest(n{i}, 1) + back * p{i}" for i in range(2)]
@@ -179,11 +180,25 @@ def learn_counts(labelled: DataFrame, discount: float = DISCOUNT) -> DataFrame:
         bigrams.mapInArrow(_name_pairs, "k long, times long, value double")), "toxicity-values")
 
 
+def _one_of_each(taught: DataFrame) -> DataFrame:
+    """Of rows with equal texts those with the smallest id, so a copied document is one voice; only ids and hashes are dealt out."""
+    named = taught.withColumn("__copy", F.xxhash64("__text"))
+    first = named.groupBy("__copy").agg(F.min("__id").alias("__id"))
+    return named.join(first, ["__copy", "__id"], "left_semi")
+
+
 def _split(values: DataFrame) -> tuple[dict, DataFrame | None]:
     """The head that is sent to executors, and the table of the others (None if there are none)."""
     head, tail, slots = values, None, None
     if values.count() > 1 << TABLE_BITS:
-        head = values.orderBy(F.desc("times"), "k").limit(1 << TABLE_BITS)
+        # The bar that leaves at most that many above it, from how many expressions have each count.
+        room, bar = 1 << TABLE_BITS, 0
+        for row in values.groupBy(F.least("times", F.lit(1 << 20)).alias("times")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("times")).toLocalIterator():
+            if row.n > room:
+                bar = row.times
+                break
+            room -= row.n
+        head = values.filter(F.col("times") > bar)
     table = head.select("k", "value").toArrow()
     keys, value = (np.asarray(table.column(c).to_numpy()) for c in ("k", "value"))
     order = np.argsort(keys)
@@ -278,7 +293,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     carry: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, n_distinct words, evidence (mean per word).
 
-    With ``carry`` (columns of ``docs``) these come back with held_out, score and predicted instead.
+    With ``carry`` (columns of ``docs``, whatever their names) these come back with a struct ``__toxicity``
+    (held_out, score, predicted) instead.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("__id"), part(id_col).alias("__part"), F.col(text_col).cast("string").alias("__text"))
@@ -288,7 +304,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     if labelled <= BROADCAST_LABELS:
         known = F.broadcast(known)
     taught = rows.filter(F.col("__part") != HELD_OUT).join(known, "__id")
-    model, tail = _split(learn_counts(taught.filter(F.col("__part") != FIT_PART).select(F.col("__text").alias("text"), "label")))
+    model, tail = _split(learn_counts(_one_of_each(taught.filter(F.col("__part") != FIT_PART)).select(F.col("__text").alias("text"), "label")))
     sent = spark.sparkContext.broadcast(model)
     fit = taught.filter(F.col("__part") == FIT_PART)
     if labelled > FIT_ROWS:
@@ -302,7 +318,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     else:
         beta = np.array([math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0, 0.0])
 
-    kept = [F.col(c) for c in carry] if carry else [F.col(id_col).alias("doc_id")]
+    kept = [c.alias(f"__c{i}") for i, c in enumerate(quoted(carry))] if carry else [F.col(id_col).alias("doc_id")]
     measured = _measured(docs.select(
         *kept, part(id_col).alias("__part"), F.col(text_col).cast("string").alias("__text")), sent, tail)
     long = F.greatest(F.col("__n"), F.lit(1))
@@ -313,5 +329,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     judged = [(F.col("__part") == HELD_OUT).alias("held_out"), F.col("__score").alias("score"),
               (F.col("__score") >= threshold).cast("int").alias("predicted")]
     if carry:
-        return out.select(*carry, *judged)
+        return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], F.struct(*judged).alias("__toxicity"))
     return out.select("doc_id", *judged, F.col("__n").alias("n_distinct"), (F.col("__llr") / long).alias("evidence"))
