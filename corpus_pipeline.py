@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidecast.llm import decontam, mixing, ngram_join, sharding, toxicity
-from slidecast.llm.common import materialize, read_table
+from slidecast.llm.common import materialize, quoted, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models do not reject. A null id is scored like others."""
     scores = toxicity.toxicity_scores(docs, read_table(spark, sf_dir, "labels"), carry=docs.columns)
-    return scores.filter("predicted = 0").select(*docs.columns)
+    return scores.filter("__toxicity.predicted = 0").select(*quoted(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = ngram_join.ngram_components(docs.select(key.alias("__key"), "text"), id_col="__key")
     keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__key"), (F.col("n_shingles") > 0).alias("__grouped")).distinct()
     stay = docs.withColumn("__key", key).join(keep, "__key").withColumn(
-        "__n", F.expr("row_number() over (partition by __key order by text)")).filter("__n = 1 OR NOT __grouped").select(*docs.columns)
+        "__n", F.expr("row_number() over (partition by __key order by text)")).filter("__n = 1 OR NOT __grouped").select(*quoted(docs.columns))
     return stay.unionByName(docs.filter("doc_id IS NULL"))
 
 
@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """All documents, without the passages of benchmark items."""
     cleaned = decontam.remove_contamination(docs, read_table(spark, sf_dir, "benchmark"))
     changed = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
-    return changed.select(*docs.columns)
+    return changed.select(*quoted(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
