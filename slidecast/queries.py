@@ -15,7 +15,7 @@ from .operators.windowjoin import Side, cogroup, has, join_rows
 from .operators.windows import WINDOW_END, WINDOW_START
 from .plans.broker import run_channel, run_topic
 from .plans.delivery import ENVELOPE_COLUMNS, envelopes, messages, publish, subscribe
-from .plans.spec import ChannelSpec, TopicSpec, compose
+from .plans.spec import ChannelSpec, TopicSpec, compose, register_pipeline
 from .session import scratch_path, stream_session
 from .sources.codec import bbox_filter, decode, encode, project_record
 from .sources.tables import read_events
@@ -149,6 +149,11 @@ def q_w5_empty_suppressed(spark, sf_dir):
                   "select event_type, count(*) as n from hourly where value > 480 group by event_type", HOUR)
 
 
+def q_w5b_empty_windows(spark, sf_dir):
+    """Windows of a minute, most of them without a row: a global count fires only where rows are."""
+    return _topic(spark, sf_dir, "minutely", "select count(*) as n, min(event_id) as first_id from minutely", 60)
+
+
 def q_w8_origin_offset(spark, sf_dir):
     return _topic(spark, sf_dir, "shifted", COUNT_BY_TYPE.format(t="shifted"), DAY, DAY, origin=6 * HOUR)
 
@@ -315,6 +320,17 @@ def q_p4b_ordered_messages_once(spark, sf_dir):
     return messages_roundtrip(spark, path, "events_channel", "top_users")
 
 
+def q_p5_unsubscribe(spark, sf_dir):
+    """Two subscribers of a topic; the first leaves after the first half of January, the second stays."""
+    from .streaming.channel import unsubscribe_roundtrip
+    env = _fanout_envelopes(spark, sf_dir).filter(F.col("topic") == "gapped")
+    early = F.col(WINDOW_END) <= F.lit(_MID).cast("timestamp_ntz")
+    return unsubscribe_roundtrip(spark, [env.filter(early), env.filter(~early)], "events_channel", "gapped")
+
+
+_MID = "2024-01-15 00:00:00"
+
+
 # ---------------------------------------------------------------- composition (2E)
 
 
@@ -331,22 +347,56 @@ def q_x1_pipeline_compose(spark, sf_dir):
     return run_channel(ev, ch)["bands"]
 
 
+def q_x3_named_pipeline(spark, sf_dir):
+    """The channel of ``x1`` with its pipeline picked by name."""
+    register_pipeline("boxed_bands", compose(lambda d: bbox_filter(d, "user_id", "value", (10, 60), (20.0, 200.0)), _band))
+    ch = ChannelSpec("named", [TopicSpec(
+        "bands", "select band, count(*) as n, min(value) as vmin, max(value) as vmax from bands group by band",
+        DAY, DAY, "named")], pipeline="boxed_bands")
+    return run_channel(_events(spark, sf_dir), ch)["bands"]
+
+
+def q_x5_spec_table(spark, sf_dir):
+    """The fan-out channel written to a spec table in the shared folder, read back and run."""
+    path = scratch_path(spark, "specs")
+    _fanout_channel().to_table(spark).write.parquet(path)
+    ch = ChannelSpec.from_table(spark.read.parquet(path), "events_channel")
+    return envelopes(run_channel(_events(spark, sf_dir), ch), ch.name).select(*ENVELOPE_COLUMNS)
+
+
+def q_x6_validate(spark, sf_dir):
+    """Topics that cannot run over the events are found first; the others run."""
+    ev = _events(spark, sf_dir)
+    good = _fanout_channel()
+    spec = ChannelSpec(good.name, [*good.topics, TopicSpec("bad", "select no_such_column from bad", DAY, DAY, good.name),
+                                   TopicSpec("worse", "select from where", DAY, DAY, good.name)])
+    failing = spec.failing(spark, ev.schema)
+    fit = ChannelSpec(spec.name, [t for t in spec.topics if t.name not in failing])
+    return envelopes(run_channel(ev, fit), fit.name).select(*ENVELOPE_COLUMNS, F.lit(",".join(sorted(failing))).alias("left_out"))
+
+
+def q_x8_list_and_find(spark, sf_dir):
+    """A running channel is listed and found by name; when it has stopped it is not."""
+    from .streaming.channel import listed_roundtrip
+    return listed_roundtrip(spark, _events(spark, sf_dir), _fanout_channel())
+
+
 def q_x2_log_to_channel_stream(spark, sf_dir):
     """The reference's whole flow on a stream: encoded log (with truncated
-    records) → replay → decode pipeline (drop malformed) → channel with the
+    records) → landed log topic → decode pipeline (drop malformed) → channel with the
     example ``top_users`` topic → envelopes of the closed windows."""
     from pyspark.sql.types import StructType
-    from .sources.replay import replay_stream, stage_replay
+    from .sources import landed
     from .streaming.channel import Channel
-    ev = _events(spark, sf_dir)
-    log = _log(ev, True, keep=["ts"])
-    src = stage_replay(log, 4)
+    path = scratch_path(spark, "x2-log")
+    landed.land(landed.arrived(_log(_events(spark, sf_dir), True, keep=["ts"]), "ts"), path, "tweets")
+    log = landed.log_stream(stream_session(spark), path, ["tweets"], wall_clock=True)
     schema = StructType.fromDDL(_LOG_SCHEMA)
     ch = ChannelSpec("tweets_channel", [TopicSpec(
         "top_users", "select name, count(*) as tweets from top_users group by name order by tweets",
         DAY, DAY, "tweets_channel")], pipeline=lambda df: decode(df.select("key", "value"), schema))
     chan = Channel(spark, ch, scratch_path(spark, "x2-sink"), scratch_path(spark, "x2-state"))
-    for q in chan.start(replay_stream(stream_session(spark), src, log.schema), available_now=True):
+    for q in chan.start(log, available_now=True):
         q.awaitTermination()
     return chan.results().select("channel", "topic", WINDOW_START, WINDOW_END, "columns", "payload")
 
@@ -656,6 +706,7 @@ def registry() -> dict:
         "w3_gapped_count": q_w3_gapped_count,
         "w4_multi_topic_fanout": q_w4_multi_topic_fanout,
         "w5_empty_suppressed": q_w5_empty_suppressed,
+        "w5b_empty_windows": q_w5b_empty_windows,
         "w7_stream_equals_batch": q_w7_stream_equals_batch,
         "w7b_stream_native_agg": q_w7b_stream_native_agg,
         "w7d_out_of_order_stream": q_w7d_out_of_order_stream,
@@ -673,7 +724,12 @@ def registry() -> dict:
         "p3_subscribe": q_p3_subscribe,
         "p4_listener": q_p4_listener,
         "p4b_ordered_messages_once": q_p4b_ordered_messages_once,
+        "p5_unsubscribe": q_p5_unsubscribe,
         "x1_pipeline_compose": q_x1_pipeline_compose,
+        "x3_named_pipeline": q_x3_named_pipeline,
+        "x5_spec_table": q_x5_spec_table,
+        "x6_validate": q_x6_validate,
+        "x8_list_and_find": q_x8_list_and_find,
         "x2_log_to_channel_stream": q_x2_log_to_channel_stream,
         "x7_channel_lifecycle": q_x7_channel_lifecycle,
     }
@@ -792,6 +848,15 @@ def oracles() -> dict[str, str]:
         f"FROM (SELECT window_start, window_end, event_type AS name, count(*) AS tweets "
         f"FROM {duck_windows(DAY, src=ok)} GROUP BY ALL) "
         f"WHERE window_end <= (SELECT max(ts) FROM events WHERE event_type <> 'error')")
+    gapped = _duck_env("gapped", duck_count_by_type(6 * HOUR, 12 * HOUR), ["event_type", "n"])
+    out["p5_unsubscribe"] = (f"SELECT 'second' AS subscriber, * FROM ({gapped}) UNION ALL "
+                             f"SELECT 'first', * FROM ({gapped}) WHERE window_end <= TIMESTAMP '{_MID}'")
+    out["w5b_empty_windows"] = (f"SELECT window_start, window_end, count(*) AS n, min(event_id) AS first_id "
+                                f"FROM {duck_windows(60)} GROUP BY ALL")
+    out["x3_named_pipeline"] = out["x1_pipeline_compose"]
+    out["x5_spec_table"] = _fanout_oracle()
+    out["x6_validate"] = f"SELECT *, 'bad,worse' AS left_out FROM ({_fanout_oracle()})"
+    out["x8_list_and_find"] = f"SELECT *, true AS listed, 1 AS queries, false AS listed_after FROM ({_closed(_fanout_oracle())})"
     out["w7e_arrival_clock_stream"] = (
         f"SELECT 'arrivals' AS channel, 'names' AS topic, window_start, window_end, 'name,n,c' AS columns, "
         f"CAST(to_json({{'name': name, 'n': n, 'c': 0}}) AS VARCHAR) AS payload FROM (SELECT window_start, window_end, event_type AS name, "

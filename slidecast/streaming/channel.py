@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.durations import interval_text, to_micros
 from ..operators.crosstopic import referenced_topics
-from ..plans.delivery import deliver_messages, envelope, subscribe_stream
+from ..plans.delivery import ENVELOPE_COLUMNS, deliver_messages, envelope, publish, subscribe_stream
 from ..plans.spec import ChannelSpec, resolve_pipeline
 from ..session import scratch_path, stream_session
 from ..sources.replay import replay_stream, stage_replay
@@ -170,6 +170,44 @@ def listener_roundtrip(spark: SparkSession, published: str, channel: str, topic:
     return spark.read.parquet(out)
 
 
+def unsubscribe_roundtrip(spark: SparkSession, parts: list[DataFrame], channel: str, topic: str) -> DataFrame:
+    """Publish in two parts; the first subscriber leaves in between. What each of the two received (P5)."""
+    path = scratch_path(spark, "published")
+    received = {n: scratch_path(spark, f"received-{n}") for n in ("first", "second")}
+
+    def store(name):
+        def listener(delivered_topic: str, columns: list[str], rows: DataFrame) -> None:
+            rows.withColumn("subscriber", F.lit(name)).write.mode("append").parquet(received[name])
+        return listener
+
+    publish(parts[0], path)
+    subs = {n: subscribe_stream(spark, path, channel, topic, store(n), scratch_path(spark, f"sub-{n}")) for n in received}
+    try:
+        for q in subs.values():
+            q.processAllAvailable()
+        subs["first"].stop()
+        publish(parts[1], path)
+        subs["second"].processAllAvailable()
+    finally:
+        for q in subs.values():
+            q.stop()
+    return spark.read.parquet(*received.values()).select("subscriber", *ENVELOPE_COLUMNS)
+
+
+def listed_roundtrip(spark: SparkSession, events: DataFrame, spec: ChannelSpec) -> DataFrame:
+    """Results of a channel with what the registry said of it while it ran and after it stopped."""
+    src = stage_replay(events, 2)
+    chan = Channel(spark, spec, scratch_path(spark, "channel-sink"), scratch_path(spark, "channel-state"))
+    chan.start(replay_stream(stream_session(spark), src, events.schema))
+    try:
+        listed, found = spec.name in list_channels(spark), len(find_channel_queries(spark, spec.name))
+    finally:
+        chan.stop(graceful=True)
+    after = spec.name in list_channels(spark)
+    return chan.results().select(*ENVELOPE_COLUMNS).withColumns(
+        {"listed": F.lit(listed), "queries": F.lit(found), "listed_after": F.lit(after)})
+
+
 def messages_roundtrip(spark: SparkSession, published: str, channel: str, topic: str) -> DataFrame:
     """Deliver a topic's messages to a listener that fails once on its way; what it kept, after a restart."""
     out, ledger, checkpoint = (scratch_path(spark, k) for k in ("messages-out", "messages-ledger", "messages-ckpt"))

@@ -18,6 +18,7 @@ FAST = ["s2_decode_drop_malformed", "s4_project_record", "s6_encode_roundtrip",
         "f10_left_join", "f10b_full_outer", "f11_left_semi", "f17_in_subquery", "f17b_not_in_subquery", "f19_rollup",
         "q5c_cross_topic_theta", "w1d_sliding_differences", "w1e_sliding_distinct", "f7b_sliding_topk", "f16b_sliding_approx_distinct",
         "s1b_two_log_topics", "s3b_binary_records", "w7e_arrival_clock_stream", "p4b_ordered_messages_once",
+        "w5b_empty_windows", "p5_unsubscribe", "x2_log_to_channel_stream", "x3_named_pipeline", "x5_spec_table", "x6_validate", "x8_list_and_find",
         "f12_union", "f13_intersect", "f14_except", "f15_with"]
 
 
