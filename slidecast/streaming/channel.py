@@ -210,17 +210,15 @@ def listed_roundtrip(spark: SparkSession, events: DataFrame, spec: ChannelSpec)
 
 def messages_roundtrip(spark: SparkSession, published: str, channel: str, topic: str) -> DataFrame:
     """Deliver a topic's messages to a listener that fails once on its way; what it kept, after a restart."""
-    out, ledger, checkpoint = (scratch_path(spark, k) for k in ("messages-out", "messages-ledger", "messages-ckpt"))
-    calls = {"n": 0, "fail_at": 3}
+    ledger, checkpoint = scratch_path(spark, "messages-ledger"), scratch_path(spark, "messages-ckpt")
+    calls, kept = {"n": 0, "fail_at": 3}, []
 
     def keep(delivered_topic: str, columns: list[str], message) -> None:
         calls["n"] += 1
         if calls["n"] == calls["fail_at"]:
             raise RuntimeError("the subscriber died")
-        row = (delivered_topic, message.window_start, message.window_end, message.part, ",".join(columns), "|".join(message.data))
-        spark.createDataFrame([row], _KEPT).coalesce(1).write.mode("append").parquet(out)
+        kept.append((delivered_topic, message.window_start, message.window_end, message.part, ",".join(columns), "|".join(message.data)))
 
-    spark.createDataFrame([], _KEPT).write.parquet(out)
     for _ in range(2):
         q = deliver_messages(spark, published, channel, topic, keep, ledger, checkpoint, available_now=True)
         try:
@@ -228,7 +226,7 @@ def messages_roundtrip(spark: SparkSession, published: str, channel: str, topic:
         except StreamingQueryException:
             if calls["n"] != calls["fail_at"]:
                 raise
-    return spark.read.schema(_KEPT).parquet(out)
+    return spark.createDataFrame(kept, _KEPT)
 
 
 _KEPT = "delivered_topic string, window_start timestamp_ntz, window_end timestamp_ntz, part long, columns string, payloads string"
