@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from ..operators.ordering import with_row_index
 from ..operators.windows import WINDOW_END, WINDOW_START
-from ..session import list_folders
+from ..session import delete_folder, list_folders
 from ..sources.codec import JSON_OPTIONS
 
 ENVELOPE_COLUMNS = ("channel", "topic", WINDOW_START, WINDOW_END, "columns", "payload")
@@ -96,6 +96,7 @@ MESSAGE_SCHEMA = StructType([
     StructField("data", ArrayType(StringType())), StructField("column_names", ArrayType(StringType())),
     StructField("channel", StringType()), StructField("topic", StringType()),
 ])
+_LEDGER_FOLDERS = 256
 LEDGER_SCHEMA = StructType([StructField(WINDOW_END, TimestampNTZType()), StructField("part", LongType())])
 
 
@@ -150,8 +151,15 @@ def deliver_messages(spark: SparkSession, path: str, channel: str, topic: str,
     def deliver(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         attempt = uuid.uuid4().hex[:8]
+        entries = list_folders(session, ledger)
         done = (session.read.schema(LEDGER_SCHEMA).option("recursiveFileLookup", "true").parquet(ledger)
-                if list_folders(session, ledger) else session.createDataFrame([], LEDGER_SCHEMA))
+                if entries else session.createDataFrame([], LEDGER_SCHEMA))
+        if len(entries) > _LEDGER_FOLDERS:  # many small commits become one; entries that are there twice do no harm
+            whole = f"{ledger}/all-{batch_id}-{attempt}"
+            done.distinct().write.parquet(whole)
+            for name in entries:
+                delete_folder(session, f"{ledger}/{name}")
+            done = session.read.schema(LEDGER_SCHEMA).parquet(whole)
         todo = batch.dropDuplicates([WINDOW_END, "part"]).join(done, [WINDOW_END, "part"], "left_anti").orderBy(WINDOW_END, "part")
         pending: list[tuple] = []
 

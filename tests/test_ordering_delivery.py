@@ -141,7 +141,10 @@ def test_slow_subscriber_takes_bounded_batches_and_goes_on_where_it_was(spark):
     assert sum(map(len, batches)) == 1200 == len(set().union(*batches)) and "row_index" in ENVELOPE_SCHEMA.names
 
 
-def test_messages_are_delivered_once_in_window_order(spark, events_of):
+def test_messages_are_delivered_once_in_window_order(spark, events_of, monkeypatch):
+    from slidecast.plans import delivery
+    from slidecast.session import list_folders
+    monkeypatch.setattr(delivery, "_LEDGER_FOLDERS", 4)
     from slidecast.operators.topicsql import windowed_sql
     from slidecast.operators.windows import assign_windows
     from slidecast.plans.delivery import deliver_messages, envelopes
@@ -165,3 +168,4 @@ def test_messages_are_delivered_once_in_window_order(spark, events_of):
     publish(msgs, path)  # published a second time: nothing is delivered again
     deliver_messages(spark, path, "ch", "t", listener, ledger, ck, available_now=True).awaitTermination()
     assert got == sorted(got) and [g[1:3] for g in got] == [(0, 4), (1, 4), (2, 2)] * 4 and got[0][3] == ["event_id"]
+    assert len(list_folders(spark, ledger)) == 1  # the commits of before, as one

@@ -83,6 +83,13 @@ def test_differences_refuse_doubles_and_stay_two_rows_a_pane(events_of):
     assert changes.count() <= 2 * panes.count()
 
 
+def test_aggregates_without_keys(events_of):
+    data = rows()
+    got = sliding_aggregate(events_of(data), 10, 3, [], [("n", "count", "*"), ("d", "count_distinct", "user_id"), ("m", "max", "value")])
+    want = [(end, len(f), len({r[1] for r in f} - {None}), float(max(r[3] for r in f))) for end, f in windows_of(data, 10, 3, 0).items()]
+    assert sorted((secs(r.window_end), r.n, r.d, r.m) for r in got.collect()) == sorted(want)
+
+
 def test_empty_input(events_of):
     none = events_of([(1, 1, "a", 1)]).filter("false")
     assert sliding_aggregate(none, 10, 3, ["event_type"], [("n", "count", "*"), ("d", "count_distinct", "user_id")]).count() == 0
