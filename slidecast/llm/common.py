@@ -74,7 +74,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher(dict):
     """64-bit word hashes with a bounded memo."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000  # some 20 MB
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -96,6 +96,13 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(ALNUM_TABLE).split() if text else []
 
 
+def slices(batches, rows: int = 512):
+    """Batches cut small, so that no more than ``rows`` texts are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def shingles(hashes: np.ndarray) -> np.ndarray:
     """Hashes of all consecutive 5-word shingles; a shorter text is one shingle, no words give none."""
     n = len(hashes)

@@ -58,7 +58,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import WordHasher, alnum_words, materialize, mix, quoted, signed
+from .common import WordHasher, alnum_words, materialize, mix, quoted, signed, slices
 
 DISCOUNT = 0.75
 TABLE_BITS = 20
@@ -106,10 +106,10 @@ def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(x[j]) for x in (u[first], w[first], c0, c1)], names=["u", "w", "c0", "c1"])
 
 
-def _token_blocks(batches, encode, block: int = 1 << 20):
-    """Distinct codes of each text with its class, about a million at a time (texts whole)."""
+def _token_blocks(batches, encode, block: int = 1 << 19):
+    """Distinct codes of each text with its class, half a million at a time (texts whole)."""
     codes, classes, size = [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for text, label in zip(texts, labels, strict=True):
             c = encode(alnum_words(text))  # a document counts once
@@ -180,11 +180,14 @@ def learn_counts(labelled: DataFrame, discount: float = DISCOUNT) -> DataFrame:
         bigrams.mapInArrow(_name_pairs, "k long, times long, value double")), "toxicity-values")
 
 
-def _one_of_each(taught: DataFrame) -> DataFrame:
-    """Of rows with equal texts those with the smallest id, so a copied document is one voice; only ids and hashes are dealt out."""
+def _one_of_each(taught: DataFrame, few: bool) -> DataFrame:
+    """Of rows with equal texts those with the smallest id, so a copied document is one voice.
+
+    Ids and hashes meet first, without the texts; ``few`` says that they may be broadcast as the labels are.
+    """
     named = taught.withColumn("__copy", F.xxhash64("__text"))
-    first = named.groupBy("__copy").agg(F.min("__id").alias("__id"))
-    return named.join(first, ["__copy", "__id"], "left_semi")
+    first = materialize(named.groupBy("__copy").agg(F.min("__id").alias("__id")), "toxicity-distinct")
+    return named.join(F.broadcast(first) if few else first, ["__copy", "__id"], "left_semi")
 
 
 def _split(values: DataFrame) -> tuple[dict, DataFrame | None]:
@@ -239,7 +242,7 @@ def _measure(model):
     """Adds n (distinct words), llr (their evidence by the head) and what the tail is asked for to rows with a column __text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = evidence(model.value, WordHasher())
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
             found = [judge(alnum_words(text)) for text in texts]
             keep = [i for i, name in enumerate(batch.schema.names) if name != "__text"]
@@ -273,17 +276,32 @@ def features(n: np.ndarray, llr: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), 10 * mean, llr / np.sqrt(long), np.log1p(n)], axis=1)
 
 
-def fit_curve(n: np.ndarray, llr: np.ndarray, label: np.ndarray, steps: int = 30, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic regression by Newton steps."""
+def fit_curve(n: np.ndarray, llr: np.ndarray, label: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
+    """Logistic regression by Newton steps, each cut until the penalised likelihood grows.
+
+    So classes that the evidence separates, or a text with a hundred times the evidence of others, cannot throw it off.
+    """
     x = features(n, llr)
     beta = np.zeros(x.shape[1])
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(np.logaddexp(0, z).sum() - label @ z + ridge / 2 * b @ b)
+
+    now = loss(beta)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
         gradient = x.T @ (label - p) - ridge * beta
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
         step = np.linalg.solve(hessian, gradient)
-        beta += step
-        if np.abs(step).max() < 1e-8:
+        cut = 1.0
+        while loss(beta + cut * step) > now - 1e-4 * cut * (gradient @ step) and cut > 1e-9:
+            cut /= 2
+        after = loss(beta + cut * step)
+        if not after < now:
+            break
+        beta, gained, now = beta + cut * step, now - after, after
+        if gained < 1e-9 * max(1.0, now):
             break
     return beta
 
@@ -304,7 +322,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     if labelled <= BROADCAST_LABELS:
         known = F.broadcast(known)
     taught = rows.filter(F.col("__part") != HELD_OUT).join(known, "__id")
-    model, tail = _split(learn_counts(_one_of_each(taught.filter(F.col("__part") != FIT_PART)).select(F.col("__text").alias("text"), "label")))
+    model, tail = _split(learn_counts(_one_of_each(taught.filter(F.col("__part") != FIT_PART), labelled <= BROADCAST_LABELS).select(F.col("__text").alias("text"), "label")))
     sent = spark.sparkContext.broadcast(model)
     fit = taught.filter(F.col("__part") == FIT_PART)
     if labelled > FIT_ROWS:

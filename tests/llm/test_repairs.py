@@ -90,6 +90,21 @@ def test_counts_of_expressions_equal_brute_force(spark):
     assert got == want
 
 
+def test_curve_holds_for_separated_classes_and_far_outliers():
+    import numpy as np
+
+    rng = np.random.RandomState(0)
+    label = (rng.rand(5000) < 0.1).astype(float)
+    n = rng.randint(1, 400, 5000).astype(float)
+    llr = np.where(label == 1, rng.uniform(2, 30, 5000), np.where(rng.rand(5000) < 0.9, 0.0, rng.uniform(-5, 0.5, 5000)))
+    for far in (6000.0, -900.0):
+        llr[int(np.flatnonzero(label == (far > 0))[0])] = far
+    beta = toxicity.fit_curve(n, llr, label)
+    score = 1 / (1 + np.exp(-np.clip(toxicity.features(n, llr) @ beta, -30, 30)))
+    assert (score[label == 1] >= 0.3).mean() > 0.99 and (score[label == 0] >= 0.3).mean() < 0.01
+    assert np.abs(beta).max() < 1e4
+
+
 def test_toxicity_head_leaves_ties_to_the_tail(spark, monkeypatch):
     values = spark.createDataFrame([(i, 5 if i < 10 else 9 + i, 1.0) for i in range(20)], "k long, times long, value double")
     monkeypatch.setattr(toxicity, "TABLE_BITS", 4)
