@@ -74,7 +74,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher(dict):
     """64-bit word hashes with a bounded memo."""
 
-    LIMIT = 100_000  # some 20 MB
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
