@@ -18,10 +18,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, blank_words, bucketed, materialize, parity_bits, shingle_set
+from .common import WordHasher, blank_words, bucketed, materialize, parity_bits, shingle_set, slices
 from .graph import components
 
 NUM, DEN = 80, 100  # links have a Jaccard similarity of NUM / DEN or more
@@ -31,6 +32,17 @@ MORE_HUBS = (12, 24)
 BITMAP_LONGS = 16
 
 
+def packer():
+    """Packs whole texts for their way between tasks (one packer a task)."""
+    z = zstandard.ZstdCompressor(level=1)
+    return lambda text: z.compress(text.encode("utf-8", "surrogatepass"))
+
+
+def unpacker():
+    z = zstandard.ZstdDecompressor()
+    return lambda body: z.decompress(body).decode("utf-8", "surrogatepass")
+
+
 def placed_size(n: str, pos: str):
     """Set size and place in the set's order of blocks, packed in one number."""
     return F.shiftleft(F.col(n), 32) + F.col(pos)
@@ -44,24 +56,26 @@ def salts(weight: np.ndarray, node: int) -> np.ndarray:
 
 def _hub_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (col, salt, rank): pair each node of a block with the block's first one."""
-    block, hub, last = None, None, None
+    before = None  # the last row of the batch before: col, salt, node, and its block's hub with its size
     for batch in batches:
-        out = []
-        for col, salt, node, n in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-            if block != (col, salt):
-                block, hub, last = (col, salt), (node, n), node
-                if salt >= 0:  # the hub of a sub-block goes to the second step
-                    out.append((col, salt, node, n, node, n))
-            elif node != last:
-                last = node
-                if node != hub[0]:
-                    out.append((col, salt, hub[0], hub[1], node, n))
-        if out:
-            cols = list(zip(*out, strict=True))
+        if not batch.num_rows:
+            continue
+        col, salt, node, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
+        first, again = np.ones(len(col), dtype=bool), np.zeros(len(col), dtype=bool)
+        first[1:] = (col[1:] != col[:-1]) | (salt[1:] != salt[:-1])
+        again[1:] = node[1:] == node[:-1]
+        if before:
+            first[0], again[0] = (col[0], salt[0]) != before[:2], node[0] == before[2]
+        at = np.maximum.accumulate(np.where(first, np.arange(len(col)), -1))
+        hub, hub_n = node[at], n[at]
+        if before:
+            hub[at < 0], hub_n[at < 0] = before[3:]
+        # The hub of a sub-block goes to the second step; a node that comes twice is paired once.
+        keep = np.where(first, salt >= 0, ~again & (node != hub))
+        before = col[-1], salt[-1], node[-1], hub[-1], hub_n[-1]
+        if keep.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
-                 pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())],
-                names=["col", "salt", "hub", "hub_n", "node", "n"])
+                [pa.array(x[keep]) for x in (col, salt, hub, hub_n, node, n)], names=["col", "salt", "hub", "hub_n", "node", "n"])
 
 
 _HUB_SCHEMA = "col long, salt int, hub long, hub_n long, node long, n long"
@@ -71,7 +85,7 @@ def _hubs(entries: DataFrame) -> DataFrame:
     # A hub is drawn per node and half of the columns: members meet the same few hubs, but not one alone.
     rank = F.xxhash64("node", F.expr("col & 1"))
     return (
-        entries.withColumn("rank", rank).repartition(F.col("col"), F.col("salt"))
+        entries.repartition(F.col("col"), F.col("salt")).withColumn("rank", rank)
         .sortWithinPartitions("col", "salt", "rank", "node").select("col", "salt", "node", "n")
         .mapInArrow(_hub_task, _HUB_SCHEMA))
 
@@ -101,11 +115,11 @@ def bitmap(s: np.ndarray) -> list[int]:
 
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (hub, block, hub's text first): overlap of each member with the hub's set."""
-    hasher, key, base = WordHasher(), None, None
-    for batch in batches:
+    hasher, unpack, key, base = WordHasher(), unpacker(), None, None
+    for batch in slices(batches):
         a, b = [], []
-        for hub, block, node, text in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-            s = shingle_set(hasher.of(blank_words(text)))
+        for hub, block, node, body in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+            s = shingle_set(hasher.of(blank_words(unpack(body))))
             if node is None:
                 key, base = (hub, block), s
                 continue
@@ -127,7 +141,7 @@ def _count_overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         "hub", F.explode(F.expr("transform(sequence(0L, blocks - 1), x -> cast(x as int))")).alias("block"),
         F.lit(None).cast("long").alias("member"), F.col("hub").alias("node"))
     return (
-        heads.unionByName(members).join(texts.hint("shuffle_hash"), "node").select("hub", "block", "member", "text")
+        heads.unionByName(members).join(texts.hint("shuffle_hash"), "node").select("hub", "block", "member", "body")
         .repartition(F.col("hub"), F.col("block"))
         .sortWithinPartitions("hub", "block", F.col("member").asc_nulls_first())
         .mapInArrow(_count_task, "a long, b long"))
@@ -141,7 +155,8 @@ def _with_members(pairs: DataFrame) -> DataFrame:
 def link_blocks(entries: DataFrame, texts_of: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
     """Links (a, b) that connect whatever the links within blocks connect.
 
-    ``texts_of`` gets the nodes (one column, ``node``) and returns (node, text, bits), bits from :func:`bitmap`.
+    ``texts_of`` gets the nodes (one column, ``node``) and returns (node, body, bits): the text by :func:`packer` and
+    its set's :func:`bitmap`.
     """
     spark = entries.sparkSession
     near = materialize(_hubs(entries), f"{tag}-blocks")
@@ -153,7 +168,7 @@ def link_blocks(entries: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         _with_members(met.filter(_near("hub_n", "n")).select("hub", "node").distinct()), f"{tag}-pairs")
     # Every later join with the texts is on their node: stored by it once, they are not shuffled again.
     texts, name = bucketed(texts_of(met.select("node").union(met.select("hub")).distinct()), "node", f"{tag}_texts")
-    bitmaps, texts = texts.select("node", "bits").dropDuplicates(["node"]), texts.select("node", "text")
+    bitmaps, texts = texts.select("node", "bits").dropDuplicates(["node"]), texts.select("node", "body")
     links = materialize(_count_overlaps(pairs, texts), f"{tag}-links")
     tested = pairs.select(F.col("hub").alias("x"), F.col("node").alias("y"))
     entry = near.select("col", F.col("hub").alias("node"), F.col("hub_n").alias("n")).union(

@@ -37,9 +37,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         level += 1
         after = materialize(small, f"star-{level}")
         # Done when every node hangs on one root that hangs on nothing.
-        open_ends = after.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-        if not open_ends:
-            open_ends = after.select("v").distinct().join(after.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+        ends = after.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+            after.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        open_ends = ends.agg(F.max(F.expr("below > 1 OR (below = 1 AND above = 1)"))).first()[0]
         edges = after
         if not open_ends:
             break

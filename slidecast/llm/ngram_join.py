@@ -7,7 +7,8 @@ A x A' is at least the size-derived bound ``0.8 / 1.8 * (n_x + n_y)``.
 1. Documents with equal shingle sets share a row of A (a *node*, named by a
    64-bit hash of the set). Copies are never expanded.
 2. Columns are ordered by rarity (a counting sketch of fixed size over all
-   shingles of all documents; any order is correct, a good one is fast). By
+   shingles of all documents; any order is correct, a good one is fast). A
+   row's whole text is packed beside its columns and is dealt once. By
    the size bound a linked pair shares one of the first ``n - ceil(0.8 n) + 1``
    columns of both rows, so only these entries of A enter the product.
 3. Product by column blocks: sorted by column, each block's rows stream past.
@@ -35,15 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import DEN, NUM, bitmap, link_blocks, placed_size, salts
-from .common import WordHasher, blank_words, materialize, mix, shingle_set, signed
+from .blocks import DEN, NUM, bitmap, link_blocks, packer, placed_size, salts
+from .common import WordHasher, blank_words, materialize, mix, shingle_set, signed, slices
 from .graph import components
 
 SKETCH_BITS = 24
 SKETCH_CHUNK = 1 << 16
+STEPS = 8  # codes of the sketch per doubling of a count
 
 
 def prefix_length(n: int) -> int:
@@ -61,15 +64,15 @@ def _slots(s: np.ndarray) -> np.ndarray:
 
 
 def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One byte per slot and task; a slot that is hit 255 times in one task is hot whatever the rest."""
-    counts, hasher = np.zeros(1 << SKETCH_BITS, dtype=np.uint8), WordHasher()
+    """Hits per slot in one task, as packed chunks of counters; what is empty packs to nothing."""
+    counts, hasher, top = np.zeros(1 << SKETCH_BITS, dtype=np.uint16), WordHasher(), np.iinfo(np.uint16).max
     pending, waiting = [], 0
 
     def add():
-        slots, times = np.unique(np.concatenate(pending), return_counts=True)
-        counts[slots] = np.minimum(counts[slots].astype(np.int64) + times, 255).astype(np.uint8)
+        hit, times = np.unique(np.concatenate(pending), return_counts=True)
+        counts[hit] = np.minimum(counts[hit] + times, top)
 
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             s = shingle_set(hasher.of(blank_words(text)))
             pending.append(_slots(s))
@@ -79,60 +82,78 @@ def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pending, waiting = [], 0
     if pending:
         add()
-    counts = counts.reshape(-1, SKETCH_CHUNK)
+    z = zstandard.ZstdCompressor(level=1)
     # One chunk of counters per row; chunks meet by number, so no task sums more than its share.
-    for i, chunk in enumerate(counts):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([i], pa.int32()), pa.array([chunk.tobytes()], pa.binary())], names=["chunk", "counts"])
+    for i, chunk in enumerate(counts.reshape(-1, SKETCH_CHUNK)):
+        if chunk.any():
+            yield _chunk(i, z.compress(chunk.tobytes()))
+
+
+def _chunk(number: int, packed: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packed], pa.binary())], names=["chunk", "counts"])
 
 
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the chunks, coded by the logarithm: a byte holds any count, and the order of counts is kept."""
     totals: dict[int, np.ndarray] = {}
-    for batch in batches:
+    unpacker = zstandard.ZstdDecompressor()
+    for batch in slices(batches):
         for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
-            totals[chunk] = totals[chunk] + part if chunk in totals else part
+            part = np.frombuffer(unpacker.decompress(raw), dtype=np.uint16)
+            if chunk not in totals:
+                totals[chunk] = np.zeros(SKETCH_CHUNK, dtype=np.uint64)
+            totals[chunk] += part
+    z = zstandard.ZstdCompressor(level=1)
     for chunk, total in totals.items():
-        short = np.minimum(total, np.iinfo(np.uint16).max).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([chunk], pa.int32()), pa.array([short.tobytes()], pa.binary())], names=["chunk", "counts"])
+        code = np.minimum(np.round(STEPS * np.log2(1.0 + total)), 255).astype(np.uint8)
+        yield _chunk(chunk, z.compress(code.tobytes()))
+
+
+def sketch_counts() -> np.ndarray:
+    """The count that each code of the sketch stands for."""
+    return np.exp2(np.arange(256) / STEPS) - 1
 
 
 def column_sketch(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often each of 2^SKETCH_BITS slots of shingles is hit, over all documents (32 MB at every input size)."""
+    """How often each of 2^SKETCH_BITS slots of shingles is hit over all documents, as codes (16 MB at every input size)."""
     parts = docs.select(F.col(text_col).cast("string")).mapInArrow(_sketch_task, "chunk int, counts binary")
     summed = parts.repartition(32, "chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
-    counts = np.zeros((1 << SKETCH_BITS) // SKETCH_CHUNK * SKETCH_CHUNK, dtype=np.uint16).reshape(-1, SKETCH_CHUNK)
-    for row in summed.toLocalIterator():
-        counts[row.chunk] = np.frombuffer(row.counts, dtype=np.uint16)
-    return counts.reshape(-1)
+    codes = np.zeros(1 << SKETCH_BITS, dtype=np.uint8).reshape(-1, SKETCH_CHUNK)
+    unpacker = zstandard.ZstdDecompressor()
+    for row in summed.collect():  # 256 chunks of 64 KB, whatever the input
+        codes[row.chunk] = np.frombuffer(unpacker.decompress(row.counts), dtype=np.uint8)
+    return codes.reshape(-1)
+
+
+_ROWS_SCHEMA = "doc_id {id}, n_shingles long, node long, cols array<long>, salts array<int>, body binary, bits array<long>"
 
 
 def _rows_task(sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, hasher, seen = sketch.value, WordHasher(), set()
-        usual = float(order.mean())
-        for batch in batches:
+        order, hasher, seen, counts, pack = sketch.value, WordHasher(), set(), sketch_counts(), packer()
+        usual = float((np.bincount(order, minlength=256) * counts).sum() / len(order))
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(hasher.of(blank_words(text)))
                 if not len(s):
-                    rows.append((doc_id.as_py(), 0, None, None, None))
+                    rows.append((doc_id.as_py(), 0, None, None, None, None, None))
                     continue
                 node = _set_hash(s)
                 if not doc_id.is_valid or node in seen:  # no id to lend, or a copy whose columns went out already
-                    rows.append((doc_id.as_py(), len(s), node, None, None))
+                    rows.append((doc_id.as_py(), len(s), node, None, None, None, None))
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(node)
-                weight = order[_slots(s)].astype(np.int64)
+                weight = order[_slots(s)]
                 first = np.lexsort((s, weight))[: prefix_length(len(s))]
-                rows.append((doc_id.as_py(), len(s), node, signed(s[first]), salts(weight[first] - usual, node)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
+                rows.append((doc_id.as_py(), len(s), node, signed(s[first]), salts(counts[weight[first]] - usual, node), pack(text), bitmap(s)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                 pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.list_(pa.int32()))],
-                names=["doc_id", "n_shingles", "node", "cols", "salts"])
+                 pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.list_(pa.int32())),
+                 pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "node", "cols", "salts", "body", "bits"])
     return run
 
 
@@ -145,39 +166,24 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = spark.sparkContext.broadcast(column_sketch(base, "text"))
     id_type = base.schema["doc_id"].dataType.simpleString()
-    rows = materialize(base.mapInArrow(
-        _rows_task(sketch), f"doc_id {id_type}, n_shingles long, node long, cols array<long>, salts array<int>"), "ngram-rows")
-    entries = rows.filter("cols IS NOT NULL").select(
+    rows = materialize(base.mapInArrow(_rows_task(sketch), _ROWS_SCHEMA.format(id=id_type)), "ngram-rows")
+    sketch.destroy()  # the rows are a table now
+    lending = rows.filter("cols IS NOT NULL")
+    entries = lending.select(
         F.col("node"), F.col("n_shingles").alias("n"), F.posexplode(F.arrays_zip("cols", "salts")).alias("pos", "x")).select(
         F.col("x.cols").alias("col"), F.col("x.salts").alias("salt"), "node", placed_size("n", "pos").alias("n"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        """One document's text for each node."""
-        chosen = rows.join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL")
-        return base.join(chosen.hint("shuffle_hash"), "doc_id").mapInArrow(_keep_own, "node long, text string, bits array<long>")
+        """One document's text for each node. Rows meet by node and id, so the copies of one text lie in no one task."""
+        chosen = lending.select("node", "doc_id").join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(
+            F.min("doc_id").alias("doc_id"))
+        return lending.select("node", "doc_id", "body", "bits").join(chosen.hint("shuffle_hash"), ["node", "doc_id"]).select(
+            "node", "body", "bits")
 
     links = link_blocks(entries, texts_of, "ngram")
     return rows.select("doc_id", "n_shingles", "node"), links
 
 
-def _keep_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, node) rows whose text has the node's set (a repeated doc_id may bring another)."""
-    hasher = WordHasher()
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        nodes = batch.column(batch.schema.get_field_index("node")).to_pylist()
-        mine = {}
-        for node, text in zip(nodes, texts, strict=True):
-            s = shingle_set(hasher.of(blank_words(text)))
-            if len(s) and _set_hash(s) == node:
-                mine[node] = (text, bitmap(s))
-        found = [x[0] for x in mine.values()], [x[1] for x in mine.values()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(mine.keys(), pa.int64()), pa.array(found[0], pa.string()), pa.array(found[1], pa.list_(pa.int64()))],
-            names=["node", "text", "bits"])
-
-
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     rows, links = jaccard_links(docs, id_col, text_col)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import bitmap, link_blocks
+from .blocks import bitmap, link_blocks, packer
 from .common import SHINGLE_WORDS, WordHasher, materialize, mix, shingle_set, shingles, signed
 from .graph import components
 
@@ -160,11 +160,11 @@ def _units_task(min_words: int):
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, node, start, end) to (node, text of the span, its bitmap), where the span has the node's set.
+    """(text, node, start, end) to (node, packed text of the span, its bitmap), where the span has the node's set.
 
     A repeated doc_id may bring other texts.
     """
-    hasher = WordHasher()
+    hasher, pack = WordHasher(), packer()
     for batch in batches:
         nodes, texts, bits = [], [], []
         for text, node, a, b in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
@@ -173,10 +173,10 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if set_name(own) != node:
                 continue
             nodes.append(node)
-            texts.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+            texts.append(pack(b" ".join(words).decode("utf-8", "surrogatepass")))
             bits.append(bitmap(own))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.int64()), pa.array(texts, pa.string()), pa.array(bits, pa.list_(pa.int64()))], names=["node", "text", "bits"])
+            [pa.array(nodes, pa.int64()), pa.array(texts, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["node", "body", "bits"])
 
 
 def _windows_task(id_type: pa.DataType, size: int):
@@ -221,7 +221,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.min(F.struct("doc_id", "start", "end")).alias("at")).select(
             "at.doc_id", F.col("unit").alias("node"), "at.start", "at.end")
         return base.join(places.hint("shuffle_hash"), "doc_id").select(
-            "text", "node", "start", "end").mapInArrow(_slices, "node long, text string, bits array<long>")
+            "text", "node", "start", "end").mapInArrow(_slices, "node long, body binary, bits array<long>")
 
     linked = components(link_blocks(entries, texts_of, "paragraph"))
     placed = lines.select("doc_id", "unit", "start", "end").join(
