@@ -152,11 +152,25 @@ def _with_members(pairs: DataFrame) -> DataFrame:
     return pairs.join(sizes, "hub")
 
 
-def link_blocks(entries: DataFrame, texts_of: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+def _united(comps: DataFrame, found: DataFrame, tag: str) -> DataFrame:
+    """Components after some more links: only what the links join is worked on, component by component."""
+    of = comps.select("node", "component")
+    ends = found.join(of.withColumnsRenamed({"node": "a", "component": "at"}), "a", "left").join(
+        of.withColumnsRenamed({"node": "b", "component": "bt"}), "b", "left").select(
+        F.coalesce("at", "a").alias("a"), F.coalesce("bt", "b").alias("b")).filter("a <> b").distinct()
+    over = components(ends).withColumnsRenamed({"node": "component", "component": "root"})
+    alone = over.select(F.col("component").alias("node")).join(of, "node", "left_anti")
+    return materialize(
+        of.union(alone.select("node", F.col("node").alias("component"))).join(over, "component", "left").select(
+            "node", F.coalesce("root", "component").alias("component")), f"{tag}-components")
+
+
+def link_blocks(entries: DataFrame, bits_of: Callable[[DataFrame], DataFrame], texts_of: Callable[[DataFrame], DataFrame],
+                tag: str) -> DataFrame:
     """Links (a, b) that connect whatever the links within blocks connect.
 
-    ``texts_of`` gets the nodes (one column, ``node``) and returns (node, body, bits): the text by :func:`packer` and
-    its set's :func:`bitmap`.
+    ``bits_of`` gets nodes (one column, ``node``) and returns (node, bits), their sets' :func:`bitmap`; ``texts_of``
+    returns (node, body), their texts by :func:`packer`. Texts are dealt only of nodes that some pair may link.
     """
     spark = entries.sparkSession
     near = materialize(_hubs(entries), f"{tag}-blocks")
@@ -164,15 +178,23 @@ def link_blocks(entries: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         near.filter("salt >= 0").select("col", F.lit(-1).cast("int").alias("salt"), F.col("hub").alias("node"),
                                         F.col("hub_n").alias("n")).distinct()), f"{tag}-hot")
     met = near.unionByName(second).filter("hub <> node")
-    pairs = materialize(
-        _with_members(met.filter(_near("hub_n", "n")).select("hub", "node").distinct()), f"{tag}-pairs")
+    bitmaps = materialize(bits_of(met.select("node").union(met.select("hub")).distinct()), f"{tag}-bits")
+    size = (F.shiftleft(F.shiftright(x, 32), 32).alias(x) for x in ("hub_n", "n"))
+    fit = met.filter(_near("hub_n", "n")).select("hub", "node", *size).distinct()
+    of_hub = bitmaps.select(F.col("node").alias("hub"), F.col("bits").alias("hub_bits"))
+    fit = fit.join(bitmaps.hint("shuffle_hash"), "node").join(of_hub.hint("shuffle_hash"), "hub").filter(
+        _few_differ("hub_bits", "bits", "hub_n", "n")).select("hub", "node")
+    pairs = materialize(_with_members(materialize(fit, f"{tag}-fit")), f"{tag}-pairs")
+    # A block of two nodes is done with its one pair; only larger ones can hold links that no hub has met.
+    large = near.groupBy("col").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("col")
+    entry = near.join(large, "col")
+    entry = materialize(entry.select("col", F.col("hub").alias("node"), F.col("hub_n").alias("n")).union(
+        entry.select("col", "node", "n")).distinct(), f"{tag}-entry")
     # Every later join with the texts is on their node: stored by it once, they are not shuffled again.
-    texts, name = bucketed(texts_of(met.select("node").union(met.select("hub")).distinct()), "node", f"{tag}_texts")
-    bitmaps, texts = texts.select("node", "bits").dropDuplicates(["node"]), texts.select("node", "body")
+    wanted = pairs.select("node").union(pairs.select("hub")).union(entry.select("node")).distinct()
+    texts, name = bucketed(texts_of(wanted), "node", f"{tag}_texts")
     links = materialize(_count_overlaps(pairs, texts), f"{tag}-links")
     tested = pairs.select(F.col("hub").alias("x"), F.col("node").alias("y"))
-    entry = near.select("col", F.col("hub").alias("node"), F.col("hub_n").alias("n")).union(
-        near.select("col", "node", "n")).distinct()
 
     # Blocks whose members are in different components still: first against some hubs more (all of them in a small
     # block), then, in the large blocks that this leaves split, every pair across components.
@@ -204,6 +226,6 @@ def link_blocks(entries: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         tested = tested.union(more.select(F.col("hub").alias("x"), F.col("node").alias("y")))
         if not found.isEmpty():
             links = links.union(found)
-            comps = materialize(components(links), f"{tag}-components")
+            comps = _united(comps, found, tag)
     spark.sql(f"DROP TABLE {name}")  # the name only; nothing lazy reads it any more
     return links

@@ -173,14 +173,18 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("node"), F.col("n_shingles").alias("n"), F.posexplode(F.arrays_zip("cols", "salts")).alias("pos", "x")).select(
         F.col("x.cols").alias("col"), F.col("x.salts").alias("salt"), "node", placed_size("n", "pos").alias("n"))
 
+    def chosen(nodes: DataFrame) -> DataFrame:
+        """One document for each node. Rows meet by node and id, so the copies of one text lie in no one task."""
+        return lending.select("node", "doc_id").join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(
+            F.min("doc_id").alias("doc_id")).hint("shuffle_hash")
+
+    def bits_of(nodes: DataFrame) -> DataFrame:
+        return lending.select("node", "doc_id", "bits").join(chosen(nodes), ["node", "doc_id"]).select("node", "bits").dropDuplicates(["node"])
+
     def texts_of(nodes: DataFrame) -> DataFrame:
-        """One document's text for each node. Rows meet by node and id, so the copies of one text lie in no one task."""
-        chosen = lending.select("node", "doc_id").join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"))
-        return lending.select("node", "doc_id", "body", "bits").join(chosen.hint("shuffle_hash"), ["node", "doc_id"]).select(
-            "node", "body", "bits")
+        return lending.select("node", "doc_id", "body").join(chosen(nodes), ["node", "doc_id"]).select("node", "body")
 
-    links = link_blocks(entries, texts_of, "ngram")
+    links = link_blocks(entries, bits_of, texts_of, "ngram")
     return rows.select("doc_id", "n_shingles", "node"), links
 
 

@@ -216,14 +216,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.explode("cols").alias("col"), F.lit(-1).cast("int").alias("salt"), F.col("unit").alias("node"),
         F.shiftleft("n", 32).alias("n"))  # bands have no order: place 0
 
-    def texts_of(nodes: DataFrame) -> DataFrame:
+    def spans_of(nodes: DataFrame) -> DataFrame:
+        """One span for each node."""
         places = lines.join(nodes.withColumnRenamed("node", "unit").hint("shuffle_hash"), "unit", "left_semi").groupBy("unit").agg(
             F.min(F.struct("doc_id", "start", "end")).alias("at")).select(
             "at.doc_id", F.col("unit").alias("node"), "at.start", "at.end")
         return base.join(places.hint("shuffle_hash"), "doc_id").select(
             "text", "node", "start", "end").mapInArrow(_slices, "node long, body binary, bits array<long>")
 
-    linked = components(link_blocks(entries, texts_of, "paragraph"))
+    fetched = []
+
+    def bits_of(nodes: DataFrame) -> DataFrame:
+        fetched.append(materialize(spans_of(nodes), "paragraph-spans"))
+        return fetched[0].select("node", "bits").dropDuplicates(["node"])
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        return fetched[0].select("node", "body").join(nodes.hint("shuffle_hash"), "node", "left_semi")
+
+    linked = components(link_blocks(entries, bits_of, texts_of, "paragraph"))
     placed = lines.select("doc_id", "unit", "start", "end").join(
         linked.withColumnRenamed("node", "unit").hint("shuffle_hash"), "unit", "left").withColumn(
         "component", F.coalesce("component", "unit"))
