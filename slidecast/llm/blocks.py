@@ -158,7 +158,7 @@ def _united(comps: DataFrame, found: DataFrame, tag: str) -> DataFrame:
     ends = found.join(of.withColumnsRenamed({"node": "a", "component": "at"}), "a", "left").join(
         of.withColumnsRenamed({"node": "b", "component": "bt"}), "b", "left").select(
         F.coalesce("at", "a").alias("a"), F.coalesce("bt", "b").alias("b")).filter("a <> b").distinct()
-    over = components(ends).withColumnsRenamed({"node": "component", "component": "root"})
+    over = components(ends).select(F.col("component").alias("root"), F.col("node").alias("component"))
     alone = over.select(F.col("component").alias("node")).join(of, "node", "left_anti")
     return materialize(
         of.union(alone.select("node", F.col("node").alias("component"))).join(over, "component", "left").select(

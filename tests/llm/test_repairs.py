@@ -164,3 +164,13 @@ def test_the_rest_works_without_the_packages_of_the_llm_folder(missing):
     code = (f"import sys; sys.modules['{missing}'] = None\n"
             "import __spark_entry__ as e; q = e.queries(); assert 'q4_top_users' in q and 'pipeline' not in q")
     subprocess.run([sys.executable, "-c", code], check=True, cwd="/".join(__file__.split("/")[:-3]))
+
+
+def test_components_after_some_more_links(spark):
+    from slidecast.llm.blocks import _united
+    from slidecast.llm.graph import components
+
+    first, more = [(1, 2), (2, 3), (10, 11), (20, 21)], [(3, 11), (11, 1), (30, 31), (30, 21)]
+    comps = components(spark.createDataFrame(first, "a long, b long"))
+    got = {tuple(r) for r in _united(comps, spark.createDataFrame(more, "a long, b long"), "united").collect()}
+    assert got == {tuple(r) for r in components(spark.createDataFrame(first + more, "a long, b long")).collect()}
