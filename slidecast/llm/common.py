@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from slidecast.session import scratch_path, table_path
 
 SHINGLE_WORDS = 5
+BATCH_ROWS = 2048
 _MULTIPLIERS = np.array(
     [xxhash.xxh64_intdigest(f"shingle-{i}") | 1 for i in range(SHINGLE_WORDS)], dtype=np.uint64)
 _MIX_1, _MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -39,6 +40,14 @@ def materialize(df: DataFrame, kind: str, options: dict | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_texts(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows at most in this session, unless its own bound is lower: Spark hands
+    tasks 10,000 whole texts at a time, which JVM and worker hold beside the heap, several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def bucketed(df: DataFrame, key: str, kind: str) -> tuple[DataFrame, str]:
     """:func:`materialize` into one bucket per shuffle partition: joins on ``key`` read it without a shuffle.
 
@@ -71,19 +80,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
-class WordHasher(dict):
-    """64-bit word hashes with a bounded memo."""
-
-    LIMIT = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+class WordHasher:
+    """64-bit word hashes, without a memo: to look a word up costs more than its hash."""
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def blank_words(text: str | None) -> list[bytes]:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import alnum_words
+from .common import alnum_words, few_texts, slices
 from .fmindex import FMIndex
 
 WINDOW = 10
@@ -67,7 +67,7 @@ def query_set(items: list[tuple[str, str | None]], window: int) -> dict:
 
 def query_sets(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
                window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[dict]:
-    """The benchmark as blocks; the driver holds one block at a time."""
+    """The benchmark as blocks."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t"))
     block, size = [], 0
     for row in rows.toLocalIterator():
@@ -81,16 +81,15 @@ def query_sets(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
         yield query_set(block, window)
 
 
-def search_shard(texts: list[list[bytes]], queries: dict) -> tuple[list[list[str]], list[list[tuple[int, int]]]]:
-    """Items and merged word spans [start, end) of each document of a shard."""
+def search_shard(texts: list[np.ndarray], queries: dict) -> tuple[list[list[str]], list[list[tuple[int, int]]]]:
+    """Items and merged word spans [start, end) of each document of a shard, from the numbers of its words (0: no item's)."""
     items: list[list[str]] = [[] for _ in texts]
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    get = queries["vocabulary"].get
     sizes = np.array([len(w) for w in texts], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])  # one separator after each document
     ids = np.zeros(int(starts[-1]), dtype=np.int32)
     for at, words in zip(starts, texts, strict=False):
-        ids[at : at + len(words)] = np.fromiter(map(get, words, repeat(0)), dtype=np.int32, count=len(words))
+        ids[at : at + len(words)] = words
     edges = np.flatnonzero(np.diff(np.concatenate([[0], (ids != 0).astype(np.int8), [0]])))
     begins, lengths = edges[::2], edges[1::2] - edges[::2]
     fits = lengths >= queries["shortest"]
@@ -140,11 +139,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search_task(queries, text_col: str, shard_words: int):
-    """Adds to __items and __spans of each row; fills __n_words."""
+def _search_task(queries, text_col: str, shard_words: int, cut: bool):
+    """Adds to __items and __spans of each row; fills __n_words. ``cut`` takes the spans out of the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        texts: list[list[bytes]] = []
+        texts: list[np.ndarray] = []  # a number per word: the words of a shard are not held as objects
+        get = queries.value["vocabulary"].get
         size = 0
 
         def flush():
@@ -162,17 +162,20 @@ def _search_task(queries, text_col: str, shard_words: int):
                         for o, x in zip(old_spans, spans[at : at + n], strict=True)], _SPANS),
                 }
                 at += n
+                if cut:
+                    whole = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                    new[text_col] = pa.array([cut_spans(t, x) for t, x in zip(whole, new["__spans"].to_pylist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [new.get(name, batch.column(i)) for i, name in enumerate(batch.schema.names)], names=batch.schema.names)
             held.clear()
             texts.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(batch.schema.get_field_index(text_col))
             begin = 0
             for i in range(batch.num_rows):
                 words = alnum_words(column[i].as_py())
-                texts.append(words)
+                texts.append(np.fromiter(map(get, words, repeat(0)), dtype=np.int32, count=len(words)))
                 size += len(words)
                 if size >= shard_words:
                     held.append(batch.slice(begin, i + 1 - begin))
@@ -188,22 +191,25 @@ def _search_task(queries, text_col: str, shard_words: int):
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS,
-               block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with __n_words, __items array<string>, __spans array<struct<start,end>> (word positions)."""
+               block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+    """``docs`` with __n_words, __items array<string>, __spans array<struct<start,end>> (word positions).
+
+    ``cut`` takes the spans out of the texts, in the task that finds the last of them.
+    """
     spark = docs.sparkSession
+    few_texts(spark)
     names = docs.columns
     text_col = f"__c{names.index(text_col)}"  # a column may have any name
     out = docs.toDF(*[f"__c{i}" for i in range(len(names))]).withColumns({
         "__n_words": F.lit(0).cast("long"), "__items": F.array().cast("array<string>"),
         "__spans": F.array().cast("array<struct<start:bigint,end:bigint>>")})
-    blocks = 0
-    for queries in query_sets(benchmark, item_col, item_text_col, window, block_bytes):
+    blocks = query_sets(benchmark, item_col, item_text_col, window, block_bytes)
+    queries = next(blocks, None) or query_set([], window)  # no items: words are counted all the same
+    while queries is not None:
+        after = next(blocks, None)
         out = out.mapInArrow(
-            _search_task(spark.sparkContext.broadcast(queries), text_col, shard_words), StructType(out.schema.fields))
-        blocks += 1
-    if not blocks:  # no items: words are counted all the same
-        empty = spark.sparkContext.broadcast(query_set([], window))
-        out = out.mapInArrow(_search_task(empty, text_col, shard_words), StructType(out.schema.fields))
+            _search_task(spark.sparkContext.broadcast(queries), text_col, shard_words, cut and after is None), StructType(out.schema.fields))
+        queries = after
     return out.toDF(*names, "__n_words", "__items", "__spans")
 
 
@@ -233,18 +239,6 @@ def cut_spans(text: str | None, spans: list[dict]) -> str | None:
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the removal spans cut out of their texts; all rows and columns stay."""
-    found = find_spans(docs, benchmark, text_col, **options)
+    found = find_spans(docs, benchmark, text_col, cut=True, **options)
     names = [f"__c{i}" for i in range(len(docs.columns))]
-    text_col = names[docs.columns.index(text_col)]
-    found = found.toDF(*names, "__n_words", "__items", "__spans")
-
-    def cut(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            texts = batch.column(at).to_pylist()
-            spans = batch.column(batch.schema.get_field_index("__spans")).to_pylist()
-            new = pa.array([cut_spans(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [new if n == text_col else batch.column(batch.schema.get_field_index(n)) for n in names], names=names)
-
-    return found.mapInArrow(cut, docs.toDF(*names).schema).toDF(*docs.columns)
+    return found.toDF(*names, "__n_words", "__items", "__spans").select(*names).toDF(*docs.columns)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import DEN, NUM, bitmap, link_blocks, packer, placed_size, salts
-from .common import WordHasher, blank_words, materialize, mix, shingle_set, signed, slices
+from .common import WordHasher, blank_words, few_texts, materialize, mix, shingle_set, signed, slices
 from .graph import components
 
 SKETCH_BITS = 24
@@ -114,6 +114,14 @@ def sketch_counts() -> np.ndarray:
     return np.exp2(np.arange(256) / STEPS) - 1
 
 
+def usual_count(order: np.ndarray, counts: np.ndarray) -> float:
+    """Mean count of a slot. Chunk by chunk: numpy counts codes as longs, eight times the sketch at once."""
+    found = np.zeros(256, dtype=np.int64)
+    for i in range(0, len(order), SKETCH_CHUNK):
+        found += np.bincount(order[i : i + SKETCH_CHUNK], minlength=256)
+    return float((found * counts).sum() / len(order))
+
+
 def column_sketch(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """How often each of 2^SKETCH_BITS slots of shingles is hit over all documents, as codes (16 MB at every input size)."""
     parts = docs.select(F.col(text_col).cast("string")).mapInArrow(_sketch_task, "chunk int, counts binary")
@@ -131,7 +139,7 @@ _ROWS_SCHEMA = "doc_id {id}, n_shingles long, node long, cols array<long>, salts
 def _rows_task(sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, hasher, seen, counts, pack = sketch.value, WordHasher(), set(), sketch_counts(), packer()
-        usual = float((np.bincount(order, minlength=256) * counts).sum() / len(order))
+        usual = usual_count(order, counts)
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -163,6 +171,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The links connect exactly what all links connect; copies share a node.
     """
     spark = docs.sparkSession
+    few_texts(spark)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = spark.sparkContext.broadcast(column_sketch(base, "text"))
     id_type = base.schema["doc_id"].dataType.simpleString()
