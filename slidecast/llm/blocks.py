@@ -10,6 +10,9 @@ that every link between components that some block holds is found, whatever
 the hubs were. These later pairs must also pass a bitmap of each set: a slot
 whose parity differs holds an element that only one of the two has, so the
 differing slots bound the symmetric difference from below and no link is lost.
+
+Joins that every turn makes again go by merge at every size, so the driver
+gathers no tables for them; only the few hubs of a turn may be broadcast.
 """
 
 from __future__ import annotations
@@ -149,19 +152,19 @@ def _count_overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _with_members(pairs: DataFrame) -> DataFrame:
     sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
-    return pairs.join(sizes, "hub")
+    return pairs.join(sizes.hint("merge"), "hub")
 
 
 def _united(comps: DataFrame, found: DataFrame, tag: str) -> DataFrame:
     """Components after some more links: only what the links join is worked on, component by component."""
     of = comps.select("node", "component")
-    ends = found.join(of.withColumnsRenamed({"node": "a", "component": "at"}), "a", "left").join(
-        of.withColumnsRenamed({"node": "b", "component": "bt"}), "b", "left").select(
+    ends = found.join(of.withColumnsRenamed({"node": "a", "component": "at"}).hint("merge"), "a", "left").join(
+        of.withColumnsRenamed({"node": "b", "component": "bt"}).hint("merge"), "b", "left").select(
         F.coalesce("at", "a").alias("a"), F.coalesce("bt", "b").alias("b")).filter("a <> b").distinct()
     over = components(ends).select(F.col("component").alias("root"), F.col("node").alias("component"))
-    alone = over.select(F.col("component").alias("node")).join(of, "node", "left_anti")
+    alone = over.select(F.col("component").alias("node")).join(of.hint("merge"), "node", "left_anti")
     return materialize(
-        of.union(alone.select("node", F.col("node").alias("component"))).join(over, "component", "left").select(
+        of.union(alone.select("node", F.col("node").alias("component"))).join(over.hint("merge"), "component", "left").select(
             "node", F.coalesce("root", "component").alias("component")), f"{tag}-components")
 
 
@@ -187,7 +190,7 @@ def link_blocks(entries: DataFrame, bits_of: Callable[[DataFrame], DataFrame], t
     pairs = materialize(_with_members(materialize(fit, f"{tag}-fit")), f"{tag}-pairs")
     # A block of two nodes is done with its one pair; only larger ones can hold links that no hub has met.
     large = near.groupBy("col").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("col")
-    entry = near.join(large, "col")
+    entry = near.join(large.hint("merge"), "col")
     entry = materialize(entry.select("col", F.col("hub").alias("node"), F.col("hub_n").alias("n")).union(
         entry.select("col", "node", "n")).distinct(), f"{tag}-entry")
     # Every later join with the texts is on their node: stored by it once, they are not shuffled again.
@@ -200,11 +203,11 @@ def link_blocks(entries: DataFrame, bits_of: Callable[[DataFrame], DataFrame], t
     # block), then, in the large blocks that this leaves split, every pair across components.
     comps = materialize(components(links), f"{tag}-components")
     for turn, some in enumerate((*MORE_HUBS, None)):
-        placed = entry.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        placed = entry.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         split = placed.groupBy("col").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).filter(
             f"lo < hi AND k > {2 if turn == 0 else 2 * MORE_HUBS[0] - 1}")
-        rest = placed.join(split.select("col", "k"), "col")
+        rest = placed.join(split.select("col", "k").hint("merge"), "col")
         rest = materialize(rest if turn else rest.join(bitmaps.hint("shuffle_hash"), "node"), f"{tag}-rest")
         entry = rest.drop("comp", "k")  # components only grow, so no other block can be split later
         if rest.isEmpty():
@@ -217,8 +220,8 @@ def link_blocks(entries: DataFrame, bits_of: Callable[[DataFrame], DataFrame], t
         more = rest.join(other, "col").filter(
             F.expr(f"hub_comp <> comp AND (NOT ({once}) OR hub < node)") & _near("hub_n", "n")
             & _few_differ("hub_bits", "bits", "hub_n", "n")).select("hub", "node").distinct()
-        more = more.join(tested, (F.col("hub") == F.col("x")) & (F.col("node") == F.col("y")), "left_anti").join(
-            tested, (F.col("hub") == F.col("y")) & (F.col("node") == F.col("x")), "left_anti")
+        more = more.join(tested.hint("merge"), (F.col("hub") == F.col("x")) & (F.col("node") == F.col("y")), "left_anti").join(
+            tested.hint("merge"), (F.col("hub") == F.col("y")) & (F.col("node") == F.col("x")), "left_anti")
         more = materialize(more, f"{tag}-more")
         if more.isEmpty():
             continue

@@ -14,8 +14,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round hangs every node's larger (then smaller) neighbours on the
     smallest node near it. Rounds grow with the log of the longest path; links
     stay at most as many as given. A round's links are written to the shared
-    work folder. Null nodes and links of a node to itself are ignored; an
-    empty table gives an empty result.
+    work folder. Joins are by merge at every size: rounds are many and short,
+    and the driver would hold a table for each. Null nodes and links of a node
+    to itself are ignored; an empty table gives an empty result.
     """
     edges = materialize(
         links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
@@ -25,15 +26,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Large star: every larger neighbour of a node goes to the smallest in the node's neighbourhood.
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-        large = (
-            edges.withColumnsRenamed({"u": "w", "v": "u"})  # w > u
-            .join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).filter("u <> v")
-            .union(low.filter("u <> m").select("u", F.col("m").alias("v"))).distinct())
-        # Small star: a node and its smaller neighbours go to the smallest of them.
+        # One row for each link: (w, u) with w > u becomes (w, m). Nothing is cut off: where m < u, the link of u to m has a row too.
+        large = edges.withColumnsRenamed({"u": "w", "v": "u"}).join(low.hint("merge"), "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        # Small star: a node and its smaller neighbours go to the smallest of them; the row of that one stands for the node.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-            .union(least.select("u", F.col("m").alias("v"))).distinct())
+        small = large.join(least.hint("merge"), "u").select(
+            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         level += 1
         after = materialize(small, f"star-{level}")
         # Done when every node hangs on one root that hangs on nothing.

@@ -1,9 +1,11 @@
 """What tasks hold and how often they work, where a limit was broken."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 
-from slidecast.llm import common, decontam, ngram_join, toxicity
+from slidecast.llm import blocks, common, decontam, graph, ngram_join, toxicity
 
 
 def test_a_carried_text_is_sent_once(spark, monkeypatch):
@@ -64,3 +66,45 @@ def test_the_usual_count_of_a_sketch():
     order = np.random.default_rng(2).integers(0, 40, 3 * ngram_join.SKETCH_CHUNK + 5).astype(np.uint8)
     counts = ngram_join.sketch_counts()
     assert ngram_join.usual_count(order, counts) == float((np.bincount(order, minlength=256) * counts).sum() / len(order))
+
+
+def test_rounds_of_the_star_join_send_no_table_to_the_driver(spark, monkeypatch):
+    plans = []
+    for module in (graph, blocks):
+        monkeypatch.setattr(module, "materialize", lambda df, kind, *a, write=module.materialize: plans.append(
+            (kind, df._jdf.queryExecution().executedPlan().toString())) or write(df, kind, *a))
+    links = [(i, i + 1) for i in range(1, 30)] + [(100 + i, 100) for i in range(1, 9)] + [(7, 7), (None, 5), (200, 201), (200, 201)]
+    got = {tuple(r) for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {(i, 1) for i in range(1, 31)} | {(i, 100) for i in range(100, 109)} | {(200, 200), (201, 200)}
+    comps = graph.components(spark.createDataFrame([(1, 2), (3, 4), (8, 9)], "a long, b long"))
+    united = blocks._united(comps, spark.createDataFrame([(2, 4), (4, 6)], "a long, b long"), "test")
+    assert {tuple(r) for r in united.collect()} == {(i, 1) for i in (1, 2, 3, 4, 6)} | {(8, 8), (9, 8)}
+    plans.append(("members", blocks._with_members(spark.createDataFrame([(1, 2), (1, 3)], "hub long, node long"))._jdf.queryExecution().executedPlan().toString()))
+    assert {"star-0", "star-1", "test-components", "members"} <= {kind for kind, _ in plans}
+    assert [kind for kind, plan in plans if "Broadcast" in plan] == []
+
+
+def test_a_round_of_the_star_join_deals_its_links_few_times(spark, monkeypatch):
+    plans, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, kind, *a: plans.append(
+        (kind, df._jdf.queryExecution().executedPlan().toString())) or write(df, kind, *a))
+    rng, links = random.Random(3), []
+    for i in range(300):  # chains, stars and tangles of 1 to 30 nodes with ids in no order
+        ids = rng.sample(range(i * 1000, i * 1000 + 1000), rng.randint(2, 30))
+        links += [(b, a) if rng.random() < 0.5 else (a, b) for a, b in zip(ids, ids[1:])] if i % 3 else [(ids[0], x) for x in ids[1:]]
+        links += [tuple(rng.choices(ids, k=2)) for _ in range(i % 7)]
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in linked}
+    rounds = [plan for kind, plan in plans if kind != "star-0"]
+    assert rounds and all(plan.count("Union") == 2 for plan in rounds)  # links and their reverse, for each of the two reads
